@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
+from weftgraph.llm.chat import op6_chat
+from weftgraph.llm.classifiers import op1_quality, op10_toxicity
 from weftgraph.llm.decontaminate import op8_decontaminate
+from weftgraph.llm.language import op2_language
+from weftgraph.llm.mixing import op4_mix
 from weftgraph.llm.simhash import op5_simhash
+from weftgraph.llm.suffix_dedup import op7_suffix_dedup
 from weftgraph.llm.token_counts import op9_token_counts
+from weftgraph.llm.topk import op3_topk
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
+    "op3_topk": op3_topk,
+    "op4_mix": op4_mix,
     "op5_simhash": op5_simhash,
+    "op6_chat": op6_chat,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    "op3_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
     "op8_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
