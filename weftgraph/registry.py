@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weftgraph.plans import graphs, overlaps, reads
+
+QUERIES = {**reads.QUERIES, **overlaps.QUERIES, **graphs.QUERIES}
+ORACLES = {**reads.ORACLES, **overlaps.ORACLES, **graphs.ORACLES}
