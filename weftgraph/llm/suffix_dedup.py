@@ -30,6 +30,8 @@ SHARD_BYTES = 500_000
 SKETCH_BYTES = 1_000_000
 #: An anchor with more differing or distant stretches than this is dealt out again window by window.
 CROWDED = 20_000
+#: Windows of a stretch that are compared together where an anchor's stretches differ.
+RANGE = 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed odd multiplier, 2^64 over the golden ratio
 
 
@@ -211,14 +213,14 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, bodies = batch.column("doc").to_numpy(), as_bytes(batch.column("text"))
-            lists = batch.column("stretches").to_pylist()
+            lists = batch.column("stretches")
             seen: dict[int, tuple[int, int]] = {}
             out: list[tuple] = []
             for i in np.argsort(docs, kind="stable").tolist():
                 doc, raw = int(docs[i]), bodies[i]
-                for start, n in sorted((x["start"], x["n"]) for x in lists[i] or ()):
-                    body = raw[start : start + n + length - 1]
-                    _place(out, seen, doc, start, n, body)
+                packed = np.sort(lists[i].values.to_numpy())
+                for start, n in zip((packed >> 32).tolist(), (packed & 0xFFFFFFFF).tolist(), strict=True):
+                    _place(out, seen, doc, start, n, raw[start : start + n + length - 1])
                 if len(out) > 50_000:
                     yield _placed(out, length)
                     out, seen = [], {}
@@ -283,6 +285,48 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], ["doc", "start", "end", "n", "stretch"])
 
 
+def _settle(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with a group key and a digest: copies of an earlier equal row, and the first of each digest with their
+    group's number, in groups where digests differ. Rows of one place, as repeated rows have, aren't copies.
+    """
+    order = np.lexsort((start, doc, digest, key))
+    k, d = key[order], digest[order]
+    same_key = np.append(False, k[1:] == k[:-1])[: len(k)]
+    same = same_key & np.append(False, d[1:] == d[:-1])[: len(k)]
+    first = order[np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))]
+    copies = order[same & ((doc[order] != doc[first]) | (start[order] != start[first]))]
+    firsts, group = order[~same], np.cumsum(~same_key)[~same]
+    differ = np.bincount(group)[group] > 1
+    return copies, firsts[differ], group[differ]
+
+
+def _ranges(bodies: list[bytes], group: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple:
+    """Cut stretches of one anchor into ranges of RANGE windows by their distance from the anchor: (key, digest, doc, start, n, body).
+
+    All windows of a range share length - RANGE + 1 bytes around the anchor, which are the key: ranges whose keys differ hold no equal windows.
+    """
+    joined = np.frombuffer(b"".join(bodies), np.uint8)
+    begins = np.cumsum([0, *(len(x) for x in bodies)])[:-1]
+    anchors = (_least(_anchor_hashes(joined), length - ANCHOR + 1)[begins] - begins).tolist()
+    core = length - RANGE + 1
+    key, digest, owner, first, count, out = [], [], [], [], [], []
+    hash_ = xxhash.xxh3_64_intdigest
+    for i, (body, g, q, windows) in enumerate(zip(bodies, group.tolist(), anchors, n.tolist(), strict=True)):
+        # windows p = 0 .. windows - 1 stand at distance q - p before the anchor
+        for bucket in range((q - windows + 1) // RANGE, q // RANGE + 1):
+            last = q - bucket * RANGE
+            a, b = max(0, last - RANGE + 1), min(windows - 1, last)
+            piece = body[a : b + length]
+            key.append((hash_(body[last : last + core], bucket) ^ g * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF)
+            digest.append(hash_(piece) >> 1)
+            owner.append(i)
+            first.append(a)
+            count.append(b - a + 1)
+            out.append(piece)
+    owner, first = np.array(owner), np.array(first, np.int64)
+    return np.array(key, np.int64), np.array(digest, np.int64), doc[owner], start[owner] + first, np.array(count, np.int64), out
+
+
 def _resolve(length: int, crowded: int):
     """Windows that repeat an earlier one, as removed stretches; rows of crowded anchors go through, with their bytes."""
 
@@ -298,34 +342,32 @@ def _resolve(length: int, crowded: int):
 
         for rows, piece in sorted_runs(batches, "key", crowded):
             key, digest, doc, start, n = (rows.column(x).to_numpy() for x in ("key", "hash", "doc", "start", "n"))
-            start = start.astype(np.int64)
+            start, n = start.astype(np.int64), n.astype(np.int64)
             stretch = rows.column("stretch").combine_chunks()
             settled = stretch.is_null().to_numpy(zero_copy_only=False)
             if settled.any():
                 yield _spans(doc[settled], start[settled], start[settled] + n[settled] + length - 1)
             live = np.flatnonzero(~settled)
             if piece and len(live):
-                taken = pa.array(live)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[live]), pa.array(start[live]), pa.nulls(len(live), pa.int64()), pa.array(n[live]), stretch.take(taken)], ["doc", "start", "end", "n", "stretch"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[live]), pa.array(start[live]), pa.nulls(len(live), pa.int64()), pa.array(n[live].astype(np.int32)), stretch.take(pa.array(live))], ["doc", "start", "end", "n", "stretch"])
                 continue
-            order = live[np.lexsort((start[live], doc[live], digest[live], key[live]))]
-            if not len(order):
+            if not len(live):
                 continue
-            k, d = key[order], digest[order]
-            same_key = np.append(False, k[1:] == k[:-1])
-            same = same_key & np.append(False, d[1:] == d[:-1])
-            first = order[np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))]
-            copies = order[same & ((doc[order] != doc[first]) | (start[order] != start[first]))]
+            copies, firsts, group = _settle(key[live], digest[live], doc[live], start[live])
+            copies, firsts = live[copies], live[firsts]
             if len(copies):
                 yield _spans(doc[copies], start[copies], start[copies] + n[copies] + length - 1)
-            firsts, group = order[~same], np.cumsum(~same_key)[~same]
-            differ = np.bincount(group)[group] > 1  # anchors with stretches that differ
-            firsts, group = firsts[differ], group[differ]
             if not len(firsts):
                 continue
             bodies = stretch.take(pa.array(firsts)).to_pylist()
-            ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))  # whole anchors go into a merge
-            size = np.cumsum([len(x) + 1 for x in bodies])[ends - 1]
+            key, digest, doc, start, n, bodies = _ranges(bodies, group, doc[firsts], start[firsts], n[firsts], length)
+            copies, firsts, group = _settle(key, digest, doc, start)
+            if len(copies):
+                yield _spans(doc[copies], start[copies], start[copies] + n[copies] + length - 1)
+            if not len(firsts):
+                continue
+            ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))  # whole groups go into a merge
+            size = np.cumsum([len(bodies[i]) + 1 for i in firsts.tolist()])[ends - 1]
             at = 0
             while at < len(ends):
                 done = int(size[at - 1]) if at else 0
@@ -333,9 +375,8 @@ def _resolve(length: int, crowded: int):
                 if end <= at and not held:
                     end = at + 1
                 if end > at:
-                    a, b = (int(ends[at - 1]) if at else 0), int(ends[end - 1])
-                    part = firsts[a:b]
-                    pending.append((bodies[a:b], n[part].astype(np.int64), doc[part], start[part]))
+                    part = firsts[int(ends[at - 1]) if at else 0 : int(ends[end - 1])]
+                    pending.append(([bodies[i] for i in part.tolist()], n[part], doc[part], start[part]))
                     held += int(size[end - 1]) - done
                     at = end
                 if at < len(ends) or held >= MERGE_BYTES:
@@ -358,21 +399,17 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join stretches that meet, within a batch, before they travel."""
+    """Join each document's removed stretches that meet."""
     for batch in batches:
-        doc, start, end = (batch.column(x).to_numpy() for x in ("doc", "start", "end"))
-        if not len(doc):
-            continue
-        order = np.lexsort((start, doc))
-        doc, start, end = doc[order], start[order], end[order]
-        reach = np.maximum.accumulate(end + doc_rank(doc) * (1 << 40)) - doc_rank(doc) * (1 << 40)
-        cut = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1]))
-        last = np.append(np.flatnonzero(cut)[1:], len(doc)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(start[cut]), pa.array(reach[last])], ["doc", "start", "end"])
-
-
-def doc_rank(doc: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.append(0, doc[1:] != doc[:-1])).astype(np.int64)
+        spans = []
+        for packed in batch.column("spans"):
+            x = np.sort(packed.values.to_numpy())
+            start, end = x >> 32, (x >> 32) + (x & 0xFFFFFFFF)
+            reach = np.maximum.accumulate(end)
+            cut = np.append(True, start[1:] > reach[:-1])
+            last = np.append(np.flatnonzero(cut)[1:], len(x)) - 1
+            spans.append([{"start": a, "end": b} for a, b in zip(start[cut].tolist(), reach[last].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc", "spans"])
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
@@ -387,7 +424,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowded: int = CROW
     bound_batches(docs.sparkSession)
     sketch = docs.mapInArrow(_sketch(length), _ONE).repartition("key").sortWithinPartitions("key")
     found = sketch.mapInArrow(_repeated, "doc long, start int, n int")
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("stretches"))
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("stretches"))
     pieces = docs.join(by_doc, "doc").mapInArrow(_cut(length), _TWO).repartition("key").sortWithinPartitions("key")
     first = materialize(pieces.mapInArrow(_resolve(length, crowded), _SPAN), "stretches")
     removed = first.where("stretch is null").select("doc", "start", "end")
@@ -396,8 +433,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowded: int = CROW
         windows = again.select("doc", F.col("start").cast("int"), "n", "stretch").mapInArrow(_windows(length), _TWO)
         windows = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(length, 1 << 62), _SPAN)
         removed = removed.unionByName(windows.select("doc", "start", "end"))
-    removed = removed.mapInArrow(_fewer, "doc long, start long, end long")
-    return removed.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    packed = F.shiftleft(F.col("start"), 32) + (F.col("end") - F.col("start"))
+    by_doc = removed.groupBy("doc").agg(F.collect_set(packed).alias("spans"))
+    return by_doc.mapInArrow(_fewer, "doc long, spans array<struct<start:long,end:long>>")
 
 
 #: Removed stretches of all documents, in bytes, up to which they are sent to every executor instead of shuffling the texts.
