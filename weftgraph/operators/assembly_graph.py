@@ -27,18 +27,15 @@ def linear_chains(edges: DataFrame) -> DataFrame:
     steps = materialize(a.join(inner, "node").join(b, "node").select("eid", "next"), "chain-steps")
     # each edge points back to an edge `far` before it; `least` is the smallest edge passed on the way
     hops = edges.select("eid").join(steps.select(F.col("next").alias("eid"), F.col("eid").alias("before")), "eid", "left")
-    hops = materialize(hops.select("eid", "before", F.when(F.col("before").isNull(), 0).otherwise(1).cast("long").alias("far"), F.least("eid", F.coalesce("before", "eid")).alias("least")), "chain")
+    hops = hops.select("eid", "before", F.when(F.col("before").isNull(), 0).otherwise(1).cast("long").alias("far"), F.least("eid", F.coalesce("before", "eid")).alias("least"), F.when(F.col("before").isNull(), F.col("eid")).alias("root"))
+    hops = materialize(hops, "chain")
     total = edges.count()
     reach = 1
     while reach < 2 * total and not hops.where("before is not null").isEmpty():
-        right = hops.select(F.col("eid").alias("before"), F.col("before").alias("before2"), F.col("far").alias("far2"), F.col("least").alias("least2"))
-        joined = hops.where("before is not null").join(right, "before").select("eid", F.col("before2").alias("before"), (F.col("far") + F.col("far2")).alias("far"), F.least("least", "least2").alias("least"), F.when(F.col("before2").isNull(), F.col("before")).alias("root"))
-        ended = hops.where("before is null")
-        ended = ended if "root" in hops.columns else ended.withColumn("root", F.col("eid"))
-        hops = materialize(joined.unionByName(ended.select("eid", "before", "far", "least", "root")), "chain")
+        right = hops.select(F.col("eid").alias("before"), F.col("before").alias("before2"), F.col("far").alias("far2"), F.col("least").alias("least2"), F.col("root").alias("root2"))
+        joined = hops.where("before is not null").join(right, "before").select("eid", F.col("before2").alias("before"), (F.col("far") + F.col("far2")).alias("far"), F.least("least", "least2").alias("least"), F.col("root2").alias("root"))
+        hops = materialize(joined.unionByName(hops.where("before is null")), "chain")
         reach *= 2
-    if "root" not in hops.columns:
-        hops = hops.withColumn("root", F.when(F.col("before").isNull(), F.col("eid")))
     straight = hops.where("before is null").select("eid", F.col("root").alias("chain"), F.col("far").alias("position"))
     circles = hops.where("before is not null").select("eid", F.col("least").alias("chain"))
     if circles.isEmpty():

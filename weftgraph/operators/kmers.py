@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators.sequences import reverse_complement, with_both_strands
+from weftgraph.storage import materialize
 
 #: Hashes are the first 15 hexadecimal digits of an MD5, so that other engines can compute them.
 HASH_RANGE = 16**15
@@ -114,7 +115,7 @@ def find_markers(reads: DataFrame, selected: DataFrame, k: int) -> DataFrame:
 
     A selection small enough goes to every executor, so reads aren't shuffled for the lookup.
     """
-    kmers = selected.select("kmer")
+    kmers = materialize(selected.select("kmer"), "selected")
     if kmers.count() <= SMALL_TABLE:
         kmers = F.broadcast(kmers)
     both = with_both_strands(reads, "read_id", "bases").select("oriented_id", "bases")

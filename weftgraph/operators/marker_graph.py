@@ -79,7 +79,8 @@ def automatic_min_coverage(histogram: list[int], least_area: float = 0.08, first
     part = histogram[first:]
     peaks = coverage_peaks(part)
     if len(peaks) > 1 and sum(part):
-        _, left, right, _ = sorted(peaks[:2])[1]
+        near, far = sorted(peaks[:2])
+        left, right = (far[1] if far[3] < near[3] else near[2] + 1), far[2]
         if sum(part[left : right + 1]) / sum(part) > least_area:
             return left + first
     return otherwise

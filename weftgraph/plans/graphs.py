@@ -161,7 +161,7 @@ def _sides(spark, sf_dir) -> DataFrame:
     ).groupBy("bubble", "member").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 0).alias("n0")).select("bubble", "member", F.when(F.col("n1") * 3 > F.col("n0"), 1).otherwise(0).alias("side"))
 
 
-_LOOSE = {"min_concordant": 10, "max_discordant": 60, "min_log_p": 0.5}
+_LOOSE = {"min_concordant": 10, "max_discordant": 60, "min_log_p": -1e6}
 
 
 def phasing_edges(spark, sf_dir):
@@ -212,13 +212,13 @@ def jaccard_graph(spark, sf_dir):
 
 def gfa_lines(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.upper(F.regexp_replace("p_name", "[^a-zA-Z]", "")).alias("sequence"), F.col("p_size").alias("reads"))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("from_id"), F.lead("l_partkey").over(order).alias("to_id"), F.lit("+").alias("from_strand"), F.lit("+").alias("to_strand"), F.lit("0M").alias("cigar")).where("to_id is not null").distinct()
     return W.gfa_lines(parts, links)
 
 
 def cigar(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), (F.col("l_discount") * 100).cast("int").alias("d")))).alias("x"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
     left, right = F.transform("x", lambda v: v["q"]), F.transform("x", lambda v: v["q"] % 7 + 1)
     return rows.select("l_orderkey", W.run_length_cigar(left, right).alias("cigar"))
 
@@ -237,7 +237,7 @@ QUERIES = {
     "next_vertices": lambda s, d: G.next_vertices(_vertices(s, d).drop("props"), 1),
     "intervals_between": lambda s, d: G.intervals_between(_vertices(s, d).drop("props"), 101, 201),
     "parallel_edges": lambda s, d: G.parallel_edges(_supplies(s, d)),
-    "degrees": lambda s, d: G.degrees(_forward(s, d)),
+    "degrees": lambda s, d: G.degrees(_forward(s, d)).withColumn("first_out", F.coalesce("first_out", F.lit(-1))),
     "coverage_histogram": lambda s, d: G.coverage_histogram(_edges(s, d)),
     "edge_paths": lambda s, d: G.edge_paths(_vertices(s, d).drop("props"), _forward(s, d)),
     "induced_alignment": lambda s, d: G.induced_alignment(marker_vertices(s, d)),
@@ -349,7 +349,7 @@ SELECT vid, node // 16777216 AS oriented_id, CAST(node % 16777216 AS INTEGER) AS
     "next_vertices": f"WITH {_V} SELECT src, dst, oriented_id, o0, o1 FROM st WHERE o1 - o0 <= 1",
     "intervals_between": f"WITH {_V} SELECT oriented_id, o0, o1 FROM st WHERE src = 101 AND dst = 201",
     "parallel_edges": f"WITH {_SUP} SELECT src, dst, count(*) AS n FROM sup GROUP BY 1, 2 HAVING count(*) > 1",
-    "degrees": f"WITH {_V}, {_DEG.format('fw', 'dg')} SELECT * FROM dg",
+    "degrees": f"WITH {_V}, {_DEG.format('fw', 'dg')} SELECT node, in_degree, out_degree, coalesce(first_out, -1) AS first_out FROM dg",
     "coverage_histogram": f"WITH {_V} SELECT coverage, count(*) AS n FROM e GROUP BY 1",
     "edge_paths": f"WITH {_V} SELECT oriented_id, CAST(o0 + 1 AS INTEGER) AS step, eid FROM st JOIN fw USING (src, dst)",
     "duplicate_markers": f"WITH {_V} SELECT vid, oriented_id, ordinal, count(*) OVER (PARTITION BY vid, oriented_id) > 1 AS duplicate FROM v",
@@ -394,7 +394,7 @@ SELECT count(*) FILTER (a <> b AND a % 2 = b % 2) AS transitions, count(*) FILTE
     "branch_reads": f"WITH {_SUP} SELECT src, dst, count(DISTINCT l_orderkey) AS reads, min(coverage) AS min_coverage, round(avg(coverage), 6) AS avg_coverage, max(coverage) AS max_coverage FROM sup GROUP BY 1, 2",
     "phasing_matrix": f"WITH {_SIDES} SELECT * FROM pm",
     "phase_scores": f"WITH {_SCORES} SELECT * FROM hy",
-    "phasing_edges": f"WITH {_SCORES} SELECT * FROM hy WHERE greatest(m00 + m11, m01 + m10) >= 10 AND least(m00 + m11, m01 + m10) <= 60 AND log_p > 0.5",
+    "phasing_edges": f"WITH {_SCORES} SELECT * FROM hy WHERE greatest(m00 + m11, m01 + m10) >= 10 AND least(m00 + m11, m01 + m10) <= 60 AND log_p > -1e6",
     "segment_journeys": f"WITH {_JOUR} SELECT * FROM jo",
     "transitions": f"WITH {_JOUR} SELECT *, first1 - last0 AS gap FROM tr WHERE s1 IS NOT NULL",
     "links": f"WITH {_JOUR} SELECT * FROM li WHERE coverage >= 3",
@@ -411,8 +411,8 @@ SELECT a, b, common, ua AS unexplained_a, ub AS unexplained_b, sa AS short_a, sb
     "fasta_lines": "SELECT '>' || p_partkey || ' length ' || length(s) || chr(10) || s AS value FROM (SELECT p_partkey, upper(regexp_replace(p_name, '[^a-zA-Z]', '', 'g')) AS s FROM part)",
     "gfa_lines": """SELECT 'H' || chr(9) || 'VN:Z:1.0' AS value UNION ALL
 SELECT concat_ws(chr(9), 'S', CAST(p_partkey AS VARCHAR), s, 'LN:i:' || length(s), 'RC:i:' || p_size) FROM (SELECT p_partkey, p_size, upper(regexp_replace(p_name, '[^a-zA-Z]', '', 'g')) AS s FROM part) UNION ALL
-SELECT DISTINCT concat_ws(chr(9), 'L', CAST(a AS VARCHAR), '+', CAST(b AS VARCHAR), '+', '0M') FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM lineitem) WHERE b IS NOT NULL""",
-    "run_length_cigar": """WITH q AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS a, CAST(l_quantity AS INTEGER) % 7 + 1 AS b FROM lineitem),
+SELECT DISTINCT concat_ws(chr(9), 'L', CAST(a AS VARCHAR), '+', CAST(b AS VARCHAR), '+', '0M') FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL""",
+    "run_length_cigar": """WITH q AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INTEGER)) AS l_linenumber, CAST(l_quantity AS INTEGER) AS a, CAST(l_quantity AS INTEGER) % 7 + 1 AS b FROM lineitem),
 ops AS (SELECT l_orderkey, l_linenumber, 0 AS k, least(a, b) AS n, 'M' AS op FROM q UNION ALL SELECT l_orderkey, l_linenumber, 1, abs(a - b), CASE WHEN a > b THEN 'D' ELSE 'I' END FROM q WHERE a <> b),
 o AS (SELECT *, CASE WHEN lag(op) OVER w = op THEN 0 ELSE 1 END AS s FROM ops WHERE n > 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, k)),
 r AS (SELECT *, sum(s) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, k) AS g FROM o), j AS (SELECT l_orderkey, g, sum(n) AS n, min(op) AS op FROM r GROUP BY 1, 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,9 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that materialize() wrote, through the file system that holds it."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of stages whose result is already written and that no frame refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
