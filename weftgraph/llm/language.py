@@ -101,7 +101,7 @@ def page_evidence(pages: DataFrame, names: list[str], model: np.ndarray) -> Data
         .withColumns({
             "domain": F.substring_index("host", ".", -2), "suffix": last,
             "declared": F.when(F.array_contains(known, F.col("declared")), F.col("declared")),
-            "address": F.coalesce(F.when(F.array_contains(known, last), last), F.element_at(F.filter("segments", lambda x: F.array_contains(known, x)), 1)) if names else F.lit(None).cast("string"),
+            "address": F.coalesce(F.when(F.array_contains(known, last), last), F.get(F.filter("segments", lambda x: F.array_contains(known, x)), F.lit(0))) if names else F.lit(None).cast("string"),
         })
         .drop("segments")
     )
