@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes, bound_batches, sorted_runs, table, text_buffer
-from weftgraph.storage import materialize
+from weftgraph.storage import materialize, release
 
 LENGTH = 100
 ANCHOR = 32
@@ -424,7 +424,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowded: int = CROW
     bound_batches(docs.sparkSession)
     sketch = docs.mapInArrow(_sketch(length), _ONE).repartition("key").sortWithinPartitions("key")
     found = sketch.mapInArrow(_repeated, "doc long, start int, n int")
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("stretches"))
+    by_doc = materialize(found.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("stretches")), "anchors")
+    del sketch, found
+    release(docs.sparkSession)
     pieces = docs.join(by_doc, "doc").mapInArrow(_cut(length), _TWO).repartition("key").sortWithinPartitions("key")
     first = materialize(pieces.mapInArrow(_resolve(length, crowded), _SPAN), "stretches")
     removed = first.where("stretch is null").select("doc", "start", "end")
