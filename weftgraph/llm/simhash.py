@@ -145,7 +145,7 @@ def _links(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, most: int
         part = [w[a : a + n] for w in words]
         label = np.arange(n)
         todo = np.ones(n, bool)
-        while todo.any():  # spread from one row through all that it reaches
+        while todo.any():  # spread from the least node through all that it reaches, so that many keys give the same edges
             front = np.array([int(np.argmax(todo))])
             root = front[0]
             todo[root] = False
@@ -214,7 +214,7 @@ def links(distinct: DataFrame, *, bits: int = 64, segments: int = 2, most: int =
 
     found, todo = [], distinct.select(F.lit(0).cast("long").alias("key"), *names, "node", F.lit(0).cast("long").alias("over"))
     for level in range(3):
-        dealt = todo.mapInArrow(expand(level > 0), schema).repartition("key").sortWithinPartitions("key")
+        dealt = todo.mapInArrow(expand(level > 0), schema).repartition("key").sortWithinPartitions("key", "node")
         out = materialize(dealt.mapInArrow(compare(level), schema), "links")
         found.append(out.where("over = 0").select(F.col("key").alias("a"), F.col("node").alias("b")))
         todo = out.where("over = 1")
