@@ -58,7 +58,7 @@ def _pairs(spark, sf_dir):
 
 def aligned(method: int):
     def run(spark, sf_dir):
-        options = A.AlignOptions(method=method, min_entries=2, cell_x=60)
+        options = A.AlignOptions(method=method)
         found = A.compute_alignments(candidates(spark, sf_dir), _words(spark, sf_dir), options)
         return A.alignment_metrics(found)
 
