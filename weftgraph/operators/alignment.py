@@ -127,7 +127,7 @@ def overlap_length(n0: Column, n1: Column, offset: Column) -> Column:
 def swapped(chains: DataFrame) -> DataFrame:
     """The same alignments seen from the other read."""
     names = {"r0": "r1", "r1": "r0", "o0": "o1", "o1": "o0", "n0": "n1", "n1": "n0"}
-    return chains.withColumnsRenamed(names).select(chains.columns)
+    return chains.select(*(F.col(names.get(c, c)).alias(c) for c in chains.columns))
 
 
 def reversed_strands(chains: DataFrame) -> DataFrame:

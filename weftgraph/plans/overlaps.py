@@ -34,6 +34,11 @@ def alignment_metrics(spark, sf_dir):
     return A.alignment_metrics(_chains(spark, sf_dir))
 
 
+def _long(df: DataFrame) -> DataFrame:
+    """Counts and ordinals as longs."""
+    return df.select(*(F.col(c).cast("long") if kind == "int" else F.col(c) for c, kind in df.dtypes))
+
+
 def _info(spark, sf_dir):
     info = alignment_metrics(spark, sf_dir)
     return materialize(info.withColumns({"aid": F.col("r0") * 10_000_000 + F.col("r1"), "u": F.col("r0"), "v": F.col("r1"), "trim": F.greatest("left_trim", "right_trim")}), "info")
@@ -91,13 +96,13 @@ QUERIES = {
     "all_pairs": lambda s, d: L.all_pairs(table(s, d, "nation"), "n_nationkey"),
     "contamination_candidates": lambda s, d: L.cross_candidates(_words(s, d), _words(s, d, "benchmark"), 4, 10, 2).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "hits"),
     "common_members": lambda s, d: L.common_members(table(s, d, "lineitem"), "l_suppkey", "l_partkey"),
-    "alignment_metrics": alignment_metrics,
+    "alignment_metrics": lambda s, d: _long(alignment_metrics(s, d)),
     "alignment_classify": lambda s, d: A.classify(alignment_metrics(s, d), TRIM).select("r0", "r1", "kind"),
     "alignment_filter": lambda s, d: A.filter_alignments(alignment_metrics(s, d), A.AlignOptions(min_aligned_markers=5, max_trim=200)).select("r0", "r1", "markers"),
     "alignment_streaks": lambda s, d: A.streaks(_chains(s, d)),
     "alignment_streaks_round_trip": streak_round_trip,
     "alignment_matrix": lambda s, d: A.alignment_matrix(A.common_markers(candidates(s, d), _words(s, d), 1), 50),
-    "alignment_swapped": lambda s, d: A.alignment_metrics(A.swapped(_chains(s, d))).select("r0", "r1", "first0", "last0", "first1", "last1"),
+    "alignment_swapped": lambda s, d: _long(A.alignment_metrics(A.swapped(_chains(s, d))).select("r0", "r1", "first0", "last0", "first1", "last1")),
     "align_shortest_path": aligned(0), "align_global": aligned(1), "align_downsampled": aligned(3), "align_cells": aligned(4),
     "read_graph_topk": lambda s, d: R.top_k_edges(_edges(s, d), TOP),
     "read_graph_isolated": lambda s, d: R.isolated(table(s, d, "documents").select("doc_id"), _edges(s, d).select("u", "v"), "doc_id"),
