@@ -9,13 +9,12 @@ from weftgraph.llm.classifiers import quality
 from weftgraph.llm.common import small_enough, table
 from weftgraph.llm.decontaminate import contamination
 from weftgraph.llm.mixing import mix, word_count
-from weftgraph.llm.simhash import near_duplicates
+from weftgraph.llm.simhash import similar_documents
 from weftgraph.llm.suffix_dedup import remove_repeats
 from weftgraph.storage import materialize
 
-#: The near-duplicate stage: 128-bit fingerprints of five-word shingles. A Jaccard similarity of 0.8 is a
-#: cosine of 8/9, at which 19.4 of 128 bits differ on average (standard deviation 4.1).
-SHINGLE, BITS, SEGMENTS, MOST_BITS = 5, 128, 8, 25
+#: The near-duplicate stage: links of at least this Jaccard similarity of the sets of five-word shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +22,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """`docs` with a number of its own for every row (__row), written so that it stays."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), label)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies (operator 5); documents without an id stay."""
-    found = materialize(near_duplicates(docs, shingle=SHINGLE, bits=BITS, segments=SEGMENTS, most=MOST_BITS), "groups")
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(small_enough(gone, 16), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(repeated.select(*docs.columns))
+    """One row, that of the least doc_id, of each group of near copies (operator 5's search, each link verified)."""
+    rows = numbered(docs, "numbered")
+    groups = materialize(similar_documents(rows, key="__row", shingle=SHINGLE, similarity=SIMILARITY), "groups")
+    placed = groups.join(rows.select("__row", "doc_id"), "__row").select("__row", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("place"))
+    first = placed.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("members")).where("members > 1")
+    gone = materialize(placed.join(first, "component").where("place > first").select("__row"), "gone")
+    return rows.join(small_enough(gone, 16), "__row", "left_anti").select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,63 @@ def test_contaminated_go_and_mix_takes_all_sources(stages):
     sums = stages[5].groupBy("source").agg(F.sum("size").alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) < 0.15 * r.target + 50 for r in sums)
     assert stages[5].agg(F.max("copy")).first()[0] <= 3
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_are_those_of_the_jaccard_similarity(spark):
+    """Pairs of texts of 5 to 120 words against brute force: every link at 0.8 or more and none below."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, pairs = [], []
+    for k in range(400):
+        w = [f"{k}w{i}" for i in rng.integers(0, 10**6, int(rng.integers(8, 25) if k % 2 else rng.integers(25, 120)))]
+        v = list(w)
+        if k % 4 == 1:
+            v[-1] = "last"  # short texts, often below 0.8
+        elif k % 4 == 3:
+            v.append("more")
+        else:
+            for _ in range(int(rng.integers(1, 4))):
+                v[int(rng.integers(len(v)))] = "zz"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]) >= 0.8)
+    kept = {r.doc_id for r in P.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    gone = [2 * k + 1 not in kept for k in range(len(pairs))]
+    right = sum(g and p for g, p in zip(gone, pairs, strict=True))
+    print("pairs", len(pairs), "similar", sum(pairs), "removed", sum(gone), "rightly", right)
+    assert all(2 * k in kept for k in range(len(pairs)))
+    assert right == sum(gone) and right >= 0.98 * sum(pairs)
+
+
+def test_crowded_near_copies_lose_no_link(spark):
+    """A crowd of copies that differ among themselves, linked through their pattern or not at all."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for at in rng.choice(100, 1 + i % 7, replace=False):
+            w[at] = f"x{i}"
+        texts.append(" ".join(w))
+    label = list(range(240))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(240):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    want = {i for i in range(240) if root(i) == i}
+    got = {r.doc_id for r in P.near_duplicate_stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF).collect()}
+    print("groups", len(want), "kept", len(got))
+    assert len(want) > 1 and want <= got and len(got) <= 1.02 * len(want) + 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes, bound_batches, sorted_runs, table
 from weftgraph.operators.graph import connected_components
-from weftgraph.storage import materialize
+from weftgraph.storage import materialize, release
 
 SEED = 42
 #: Fingerprints with one key that are compared in one piece; a key of more is split by finer keys.
@@ -243,6 +243,207 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 64, segmen
     return rows.join(label, "node").select("doc_id", *names, "component_id")
 
 
+# ---- Links verified by the Jaccard similarity of shingle sets (the pipeline's stage) --------------------
+
+#: Bits of one print, its segments, and the members of a key up to which all its pairs are listed at once.
+PRINT, PARTS, LISTED = 128, 8, 64
+#: Partners that each member of a more crowded key tries in a round, and rounds before all pairs left are tried.
+NEAREST, ROUNDS = 3, 4
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The 64-bit finalizer of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """(n, 2): the distinct 128-bit digests of a text's word shingles, sorted; words and short texts as in fingerprint()."""
+    words = text.lower().split()
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    raw = b"".join([xxhash.xxh3_128_digest(x, SEED) for x in grams])
+    each = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
+    return each[np.lexsort((each[:, 1], each[:, 0]))]
+
+
+def _prints(digests: np.ndarray, prints: int) -> np.ndarray:
+    """The majority bits of a set's digests, and of each further print's remixed digests, as words of 64 bits."""
+    each = [digests, *(_mix(digests ^ np.uint64(0x9E3779B97F4A7C15 * p % 2**64)) for p in range(1, prints))]
+    bits = np.unpackbits(np.ascontiguousarray(np.concatenate(each, 1)).view(np.uint8), axis=1)
+    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(digests)).view(np.uint64)
+
+
+def set_prints(rows: DataFrame, *, shingle: int, prints: int, key: str, text: str = "text") -> DataFrame:
+    """(key, node, n, w0, w1, ...): of every row, a digest of its shingle set, the set's size and its prints."""
+    bound_batches(rows.sparkSession)
+    names = ["node", "n", *(f"w{i}" for i in range(2 * prints))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, len(names)), np.int64)
+            for i, x in enumerate(as_bytes(batch.column("text"))):
+                digests = shingle_set(x, shingle)
+                out[i, :2] = np.uint64(xxhash.xxh64_intdigest(digests.tobytes(), SEED)).view(np.int64), len(digests)
+                if len(digests):
+                    out[i, 2:] = _prints(digests, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, out.T.copy())], [key, *names])
+
+    return rows.select(F.col(key).cast("long"), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{x} long" for x in [key, *names]))
+
+
+def _shingles(rows: DataFrame, shingle: int, text: str) -> DataFrame:
+    """(node, shingles): the sets of rows that have a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(d[:, 0] ^ _mix(d[:, 1])).view(np.int64) for d in (shingle_set(x, shingle) for x in as_bytes(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return rows.select("node", F.col(text).alias("text")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def _pairs_of(key, words, node, n, label, most: int, similarity: float, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of equal key, at most `most` differing bits, sizes that allow `similarity` and not the same label but 0: all, or each row's `nearest`."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    bounds = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(bounds, len(key)))
+
+    def possible(i, j) -> np.ndarray:
+        fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        return fits & ((label[i] != label[j]) | (label[i] == 0)) & (node[i] != node[j])
+
+    def apart(i, j) -> np.ndarray:
+        return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in words)
+
+    def split(i, j) -> np.ndarray:
+        """False for pairs that agree in the wildcard's place too: they meet under the exact key."""
+        width = PRINT // PARTS
+        place = ((key[i] >> np.uint64(40)) & np.uint64(255)).astype(np.int64)
+        at = ((key[i] >> np.uint64(48)) & np.uint64(15)).astype(np.int64) * width + np.minimum(place, width - 1)
+        diff = np.where(at < 64, words[0][i] ^ words[0][j], words[1][i] ^ words[1][j])
+        return (place == width) | (((diff >> (at % 64).astype(np.uint64)) & np.uint64(1)) == 1)
+
+    rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= LISTED), sizes))
+    for step in range(1, LISTED):
+        i = rows[rows + step < len(key)]
+        rows = i = i[key[i] == key[i + step]]
+        if not len(i):
+            break
+        i = i[apart(i, i + step) <= most]
+        i = i[possible(i, i + step)]
+        i = i[split(i, i + step)]
+        out.append((node[i], node[i + step]))
+    for a, size in zip(bounds[sizes > LISTED].tolist(), sizes[sizes > LISTED].tolist(), strict=True):
+        every = np.arange(a, a + size)
+        for at in range(0, size, 128):
+            i, j = every[at : at + 128, None], every[None, :]
+            bits = np.where(possible(i, j), apart(i, j), most + 1)
+            if nearest < size:
+                best = np.argpartition(bits, nearest - 1, 1)[:, :nearest]
+                x, y = np.nonzero(np.take_along_axis(bits, best, 1) <= most)
+                out.append((node[a + at + x], node[a + best[x, y]]))
+            else:
+                x, y = np.nonzero((bits <= most) & (i < j))
+                out.append((node[a + at + x], node[a + y]))
+    if not out:
+        return node[:0], node[:0]
+    a, b = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _pass(rows: DataFrame, most: int, similarity: float, *, listing: bool = False, nearest: int = 1 << 62) -> DataFrame:
+    """(key, w0, w1, node, n, label): pairs as (key, node) with n = -1; with `listing`, rows of crowded keys come back as they are."""
+    columns = ["key", "w0", "w1", "node", "n", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, piece in sorted_runs(batches, "key", LISTED if listing else 1 << 62):
+            key, w0, w1, node, n, label = (part.column(c).to_numpy() for c in columns)
+            if piece:
+                yield from part.to_batches()
+                continue
+            big = np.zeros(len(key), bool)
+            if listing:
+                _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+                big = count[inverse] > LISTED
+                if big.any():
+                    yield from part.filter(pa.array(big)).to_batches()
+            small = ~big
+            a, b = _pairs_of(key[small].view(np.uint64), [w0[small].view(np.uint64), w1[small].view(np.uint64)], node[small], n[small], label[small], most, similarity, nearest)
+            none = np.zeros(len(a), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, none, none, b, none - 1, none)], columns)
+
+    dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in columns))
+
+
+def _expanded(distinct: DataFrame, p: int) -> DataFrame:
+    """Every node under all keys of its print p."""
+    columns = ["key", "w0", "w1", "node", "n", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                w0, w1, node, n = (x.to_numpy() for x in batch.slice(at, 500).columns)
+                keys = (_keys([w0, w1], PARTS, PRINT // PARTS) | (np.uint64(p) << np.uint64(52))).view(np.int64)
+                each = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(x, each) for x in (w0, w1, node, n)), np.zeros(keys.size, np.int64))], columns)
+
+    return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n").mapInArrow(run, ", ".join(f"{x} long" for x in columns))
+
+
+def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity: float = 0.8, prints: int = 3, most: int = 36, text: str = "text") -> DataFrame:
+    """(key, component) of every row: rows joined, directly or through others, by links of at least this Jaccard similarity of shingle sets.
+
+    Rows of equal sets are merged. Candidates are sets of which one of `prints` independent prints of 128 bits differs in at most
+    `most` bits, and in at most one of some 16-bit segment (deletion variants, as in links()); every candidate is then checked on the
+    sets themselves, so that no component holds a false link. In keys of over LISTED members each first tries its nearest partners
+    of other components, round by round; all pairs that are still in different components then follow, so none is left out.
+    """
+    spark = rows.sparkSession
+    held = materialize(set_prints(rows, shingle=shingle, prints=prints, key=key, text=text), "prints")
+    names = [f"w{i}" for i in range(2 * prints)]
+    distinct = materialize(held.where("n > 0").groupBy("node").agg(F.min(key).alias(key), *(F.first(c).alias(c) for c in ("n", *names))), "sets")
+    found = []
+    for p in range(prints):
+        found.append(materialize(_pass(_expanded(distinct, p), most, similarity, listing=True), "pairs"))
+        release(spark)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    crowded = out.where("n >= 0")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.where("n < 0").select(F.col("key").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = rows.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(distinct.join(ends, "node", "left_semi").select(F.col(key).alias("__key"), "node"), "__key")
+        sets = materialize(_shingles(texts, shingle, "text"), "shingles")
+        one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        kept = F.col("common") + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))
+        links = materialize(both.where(kept).select("a", "b"), "verified")
+        release(spark)
+        return links
+
+    edges = verified(out)
+    parts = materialize(connected_components(edges), "parts")
+    if not crowded.isEmpty():
+        for step in range(ROUNDS + 1):
+            labelled = crowded.drop("label").join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
+            last = step == ROUNDS
+            new = verified(materialize(_pass(labelled, most, similarity, **({} if last else {"nearest": NEAREST})), "pairs"))
+            if not new.isEmpty():
+                edges = edges.unionByName(new)
+                parts = materialize(connected_components(edges), "parts")
+            elif not last:  # the nearest are used up: what is left is tried in full
+                labelled = crowded.drop("label").join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
+                edges = edges.unionByName(verified(materialize(_pass(labelled, most, similarity), "pairs")))
+                parts = materialize(connected_components(edges), "parts")
+                break
+    return held.join(parts, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
