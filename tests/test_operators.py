@@ -194,3 +194,40 @@ def test_units_and_small_graphs():
     assert B.dominator_tree([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], 1) == {2: 1, 3: 1, 4: 1, 5: 4}
     assert B.self_avoiding_paths([(1, 2), (2, 3), (1, 3)], 1, 3) == [[1, 2, 3], [1, 3]]
     assert G.automatic_min_coverage([0, 0, 50, 20, 5, 1, 8, 30, 60, 30, 8]) == 6
+
+
+def test_candidates_until_equal_a_loop(spark, monkeypatch):
+    """The registered query iterates to its stop over the counted documents, as a plain loop does; low stops and tables without enough pairs too."""
+    import hashlib
+    from collections import Counter, defaultdict
+
+    import __spark_entry__ as entry
+    from weftgraph.operators import lowhash as L
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, (r.text or "").lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    buckets = defaultdict(list)
+    for i, w in docs:
+        for o in range(len(w) - 3):
+            buckets[" ".join(w[o : o + 4])].append(i)
+    buckets = {f: x for f, x in buckets.items() if 2 <= len(x) <= 10}
+    everything = {(a, b) for x in buckets.values() for a in x for b in x if a < b}
+
+    def loop(per_read):
+        hits, i = Counter(), 0
+        while True:
+            for f, x in buckets.items():
+                if int(hashlib.md5(f"{i}|{f}".encode()).hexdigest()[:15], 16) < int(0.02 * 16**15):
+                    hits.update((a, b) for a in x for b in x if a < b)
+            i += 1
+            found = {k: n for k, n in hits.items() if n >= 2}
+            if 2 * len(found) / len(docs) >= per_read or len(found) >= len(everything):
+                return found
+
+    words = L.word_markers(spark.read.parquet(f"{sf}/documents.parquet"))
+    for per_read in (0.2, 0.5):
+        got = L.candidates_until(words, len(docs), L.LowHashOptions(hash_fraction=0.02, candidates_per_read=per_read))
+        assert {(r.r0, r.r1): r.hits for r in got.collect()} == loop(per_read)
+    got = {(r.r0, r.r1): r.hits for r in entry.queries()["lowhash_until"](spark, sf).collect()}
+    print("documents", len(docs), "all", len(everything), "found", len(got))
+    assert got == loop(20.0)

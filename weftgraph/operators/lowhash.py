@@ -76,19 +76,35 @@ def candidates(markers: DataFrame, options: LowHashOptions = LowHashOptions(), *
     return pairs.groupBy("r0", "r1", "same_strand").agg(F.count("*").alias("hits")).where(F.col("hits") >= options.min_frequency)
 
 
-def candidates_until(markers: DataFrame, reads: int, options: LowHashOptions = LowHashOptions(), *, stranded: bool = False, most: int = 1000) -> DataFrame:
-    """Iterate until the candidates found before an iteration reach candidates_per_read a read."""
-    feats = materialize(features(markers, options.m), "features")
+def candidates_until(markers: DataFrame, reads: int, options: LowHashOptions = LowHashOptions(), *, stranded: bool = False, most: int | None = None) -> DataFrame:
+    """Iterate until the candidates found before an iteration reach candidates_per_read a read, or no pair is left to find.
+
+    A feature's bucket has the same size in every iteration, so only features within the size bounds are hashed, and the pairs
+    that share one are all that can ever be found. Iterations run several at a time; those after the stop are dropped.
+    """
+    pair = ["r0", "r1", "same_strand"]
+    feats = materialize(_usable(features(markers, options.m).withColumns({"iteration": F.lit(0), "hash": F.col("feature")}), options).drop("iteration", "hash", "size"), "features")
+    everything = _pairs(feats.withColumns({"iteration": F.lit(0), "hash": F.col("feature")}), options, stranded).select(*pair).distinct().count()
     total: DataFrame | None = None
-    for i in range(most):
-        if total is not None:
-            n = total.where(F.col("hits") >= options.min_frequency).count()
-            if 2 * n / max(1, reads) >= options.candidates_per_read:
-                break
-        found = _pairs(low_hashes(feats, options, [i]), options, stranded).groupBy("r0", "r1", "same_strand").agg(F.count("*").alias("hits"))
+    done, known, step = 0, 0, 1
+    while most is None or done < most:
+        until = done + step if most is None else min(most, done + step)
+        found = _pairs(low_hashes(feats, options, list(range(done, until))), options, stranded).groupBy(*pair, "iteration").agg(F.count("*").alias("hits"))
         if total is not None:
-            found = total.unionByName(found).groupBy("r0", "r1", "same_strand").agg(F.sum("hits").alias("hits"))
-        total = materialize(found, "hits")
+            found = found.unionByName(total.withColumn("iteration", F.lit(done - 1)))
+        found = materialize(found, "hits")
+        so_far = F.sum("hits").over(Window.partitionBy(*pair).orderBy("iteration"))
+        reached = found.withColumn("so_far", so_far).where(F.col("so_far") >= options.min_frequency).groupBy(*pair).agg(F.min("iteration").alias("iteration"))
+        counts = {r["iteration"]: r["count"] for r in reached.where(F.col("iteration") >= done).groupBy("iteration").count().collect()}
+        ended = False
+        while done < until and not ended:
+            known += counts.get(done, 0)
+            done += 1
+            ended = 2 * known / max(1, reads) >= options.candidates_per_read or known >= everything
+        total = materialize(found.where(F.col("iteration") < done).groupBy(*pair).agg(F.sum("hits").alias("hits")), "hits")
+        if ended:
+            break
+        step = min(16, 2 * step)
     return total.where(F.col("hits") >= options.min_frequency)
 
 

@@ -90,7 +90,7 @@ QUERIES = {
     "lowhash_bucket_histogram": lambda s, d: L.bucket_histogram(_words(s, d), OPTIONS),
     "lowhash_read_statistics": lambda s, d: L.read_statistics(_words(s, d), OPTIONS),
     "lowhash_features": lambda s, d: L.common_features(_words(s, d), OPTIONS),
-    "lowhash_until": lambda s, d: L.candidates_until(_words(s, d), 100, L.LowHashOptions(hash_fraction=0.02, candidates_per_read=0.05), most=6),
+    "lowhash_until": lambda s, d: L.candidates_until(_words(s, d), table(s, d, "documents").count(), L.LowHashOptions(hash_fraction=0.02)),
     "candidate_table": lambda s, d: L.candidate_table(candidates(s, d), stranded=False).select("oriented_id", F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others")),
     "candidates_oriented": lambda s, d: L.symmetric_view(candidates(s, d)),
     "all_pairs": lambda s, d: L.all_pairs(table(s, d, "nation"), "n_nationkey"),
