@@ -231,3 +231,34 @@ def test_candidates_until_equal_a_loop(spark, monkeypatch):
     got = {(r.r0, r.r1): r.hits for r in entry.queries()["lowhash_until"](spark, sf).collect()}
     print("documents", len(docs), "all", len(everything), "found", len(got))
     assert got == loop(20.0)
+
+
+def test_contamination_in_many_copies_is_found(spark):
+    """The registered query against brute force; a passage that many documents hold counts as any other."""
+    from collections import Counter
+
+    import __spark_entry__ as entry
+    from weftgraph.operators import lowhash as L
+
+    sf = "/root/testdata/sf0.001"
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+
+    def brute(docs, items):
+        hits = Counter()
+        for d, t in docs:
+            g = grams(t)
+            hits.update({(d, i): n for i, x in items if (n := len(g & x)) >= 2})
+        return dict(hits)
+
+    read = lambda name, key: [(r[key], r.text) for r in spark.read.parquet(f"{sf}/{name}.parquet").collect()]
+    want = brute(read("documents", "doc_id"), [(i, grams(t)) for i, t in read("benchmark", "item_id")])
+    got = {(r.doc_id, r.item_id): r.hits for r in entry.queries()["contamination_candidates"](spark, sf).collect()}
+    print("pairs", len(want), "found", len(got))
+    assert got == want
+    docs = [(i, f"w{i} the passage that all copies hold x{i}") for i in range(30)]
+    of = lambda rows: L.word_markers(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = L.cross_candidates(of(docs), of([(7, "the passage that all copies hold")]), m=4, min_frequency=2)
+    assert {(r.left_id, r.right_id, r.hits) for r in found.collect()} == {(i, 7, 3) for i in range(30)}

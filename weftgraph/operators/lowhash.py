@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.llm.common import small_enough
 from weftgraph.operators.kmers import HASH_RANGE, stable_hash
 from weftgraph.storage import materialize
 
@@ -162,12 +163,16 @@ def candidate_table(pairs: DataFrame, *, stranded: bool = True) -> DataFrame:
     return symmetric_view(pairs, stranded=stranded).groupBy("oriented_id").agg(F.sort_array(F.collect_set("other")).alias("others"))
 
 
-def cross_candidates(left: DataFrame, right: DataFrame, m: int, max_bucket: int, min_frequency: int) -> DataFrame:
-    """J1 between two sets of marker sequences: (left_id, right_id, hits) of distinct shared features that at most max_bucket left rows hold."""
-    a = features(left, m).select(F.col("oriented_id").alias("left_id"), "feature").distinct()
-    b = features(right, m).select(F.col("oriented_id").alias("right_id"), "feature").distinct()
-    held = a.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") <= max_bucket).select("feature")
-    return a.join(held, "feature").join(b, "feature").groupBy("left_id", "right_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_frequency)
+def cross_candidates(left: DataFrame, right: DataFrame, m: int, min_frequency: int) -> DataFrame:
+    """J1 between two sets of marker sequences: (left_id, right_id, hits) of distinct shared features, however many left rows hold them.
+
+    The right set is the small one: a feature's right rows come as one list, so the left side meets each feature once.
+    """
+    b = features(right, m).groupBy("feature").agg(F.collect_set("oriented_id").alias("right_ids"))
+    b = materialize(b, "right_features")
+    a = features(left, m).select(F.col("oriented_id").alias("left_id"), "feature")
+    shared = a.join(small_enough(b, 128), "feature").select("left_id", "feature", "right_ids").distinct()
+    return shared.select("left_id", F.explode("right_ids").alias("right_id")).groupBy("left_id", "right_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_frequency)
 
 
 def common_members(sets: DataFrame, owner: str, member: str) -> DataFrame:

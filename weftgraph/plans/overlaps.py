@@ -94,7 +94,7 @@ QUERIES = {
     "candidate_table": lambda s, d: L.candidate_table(candidates(s, d), stranded=False).select("oriented_id", F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others")),
     "candidates_oriented": lambda s, d: L.symmetric_view(candidates(s, d)),
     "all_pairs": lambda s, d: L.all_pairs(table(s, d, "nation"), "n_nationkey"),
-    "contamination_candidates": lambda s, d: L.cross_candidates(_words(s, d), _words(s, d, "benchmark"), 4, 10, 2).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "hits"),
+    "contamination_candidates": lambda s, d: L.cross_candidates(_words(s, d), _words(s, d, "benchmark"), 4, 2).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "hits"),
     "common_members": lambda s, d: L.common_members(table(s, d, "lineitem"), "l_suppkey", "l_partkey"),
     "alignment_metrics": lambda s, d: _long(alignment_metrics(s, d)),
     "alignment_classify": lambda s, d: A.classify(alignment_metrics(s, d), TRIM).select("r0", "r1", "kind"),
