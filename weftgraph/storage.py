@@ -26,8 +26,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write `df` to the shared folder and read it back: computed once, and safe from lost executors."""
+    """Write `df` to the shared folder and read it back: computed once, and safe from lost executors.
+
+    The shuffle files of this and later jobs of the session go as soon as each job has ended, so that a
+    chain of stages never holds more than one stage's.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
