@@ -178,37 +178,76 @@ def removed(rows, length):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+def odd_texts(n=90):
     rng = np.random.default_rng(0)
     pieces = [lambda: "ab" * int(rng.integers(1, 120)), lambda: "x" * int(rng.integers(1, 300)), lambda: "".join(map(chr, rng.integers(97, 100, int(rng.integers(1, 200))))), lambda: "".join(f"{j * j} " for j in range(int(rng.integers(1, 90)))), lambda: "é" * int(rng.integers(1, 90))]
-    rows = [(i, "".join(pieces[int(rng.integers(5))]() for _ in range(int(rng.integers(0, 7)))) if i % 13 else None) for i in range(90)]
+    return [(i, "".join(pieces[int(rng.integers(5))]() for _ in range(int(rng.integers(0, 7)))) if i % 13 else None) for i in range(n)]
+
+
+def test_repeats_equal_brute_force(spark):
+    rows = odd_texts()
     rows.append((200, rows[5][1]))
+    long = " ".join(texts(1, 5, 60_000, 60_001))  # longer than what is sketched at a time
+    rows += [(300, long), (301, long[1000:250_000] + "!" + long[100_000:])]
     want = removed(rows, 100)
     for parts in (1, 5):
         df = docs_of(spark, [*rows, rows[7]]).repartition(parts)
         got = suffix_dedup.remove_repeats(df).collect()
         assert len(got) == len(rows) + 1 and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
     plain = df.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    crowded = {r.doc: sum(x.end - x.start for x in r.spans) for r in suffix_dedup.repeated_spans(plain, crowded=4).collect()}
-    assert crowded == {i: w[1] for i, w in want.items() if w[1]}
+    for most in (4, 40):  # groups dealt out again by longer texts and by windows
+        crowded = {r.doc: sum(x & 0xFFFFFFFF for x in r.spans) for r in suffix_dedup.repeated_spans(plain, crowded=most).collect()}
+        assert crowded == {i: w[1] for i, w in want.items() if w[1]}
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
+    few = suffix_dedup.remove_repeats(docs_of(spark, [(None, "ab" * 99), (None, "ab" * 99), (1, None), (2, "")])).collect()
+    assert [r.n_removed for r in few] == [0] * 4
 
 
-def test_merged_transforms_give_blocks_of_equal_prefixes():
+def test_crowded_passage_in_other_surroundings(spark):
+    """One passage in many texts, each of its own surroundings, and windows that share 89 bytes but not 100."""
+    rng = np.random.default_rng(1)
+    passage = texts(1, 9, 60, 61)[0]
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    rows = [(i, word(int(rng.integers(0, 200))) + passage[int(rng.integers(0, 30)) :] + word(int(rng.integers(0, 12))) + "tail" * int(rng.integers(0, 40))) for i in range(120)]
+    want = {i: w[1] for i, w in removed(rows, 100).items() if w[1]}
+    plain = spark.createDataFrame(rows, "doc long, text string").repartition(4)
+    for most in (3, 20, suffix_dedup.CROWDED):
+        assert {r.doc: sum(x & 0xFFFFFFFF for x in r.spans) for r in suffix_dedup.repeated_spans(plain, crowded=most).collect()} == want
+
+
+def test_merges_of_several_shards_decide(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    found = suffix_dedup.found_stretches(docs).groupBy("shards").agg(F.sum(F.col("end") - F.col("start")).alias("bytes")).collect()
+    by = {r.shards: r.bytes for r in found}
+    assert all(k is None or k >= 2 for k in by) and max(k for k in by if k) > 2 and sum(v for k, v in by.items() if k) > 0.3 * sum(by.values())
+
+
+@pytest.mark.parametrize(("shard", "most"), [(64, 300), (500, 2000), (32 << 10, 256 << 10)])
+def test_merge_equals_brute_force(monkeypatch, shard, most):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", most)
+    rows = [(i, (t or "").encode()) for i, t in odd_texts(40)]
+    bodies = [t for _, t in rows]
+    windows = np.array([max(0, len(t) - 99) for t in bodies])
+    doc, start, end, shards = suffix_dedup.repeated_windows(bodies, windows, np.arange(40), np.zeros(40, np.int64), 100)
+    gone = Counter()
+    for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
+        gone[d] += b - a
+    assert gone == {i: w[1] for i, w in removed([(i, t.decode()) for i, t in rows], 100).items() if w[1]} and shards >= 2
+
+
+def test_common_prefixes_of_merged_transforms():
     rng = np.random.default_rng(4)
     bodies = [bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(6)]
-    shards = [np.append(np.frombuffer(b"".join(bodies[i : i + 2]), np.uint8), 0) for i in (0, 2, 4)]
-    merged, block = suffix_dedup.merge_transforms(shards, 5)
-    whole = np.concatenate([np.append(s, s[:5]) for s in shards])
-    starts = np.cumsum([0, *(len(s) + 5 for s in shards)])
-    at = np.cumsum([0, *(len(s) for s in shards)])
-    prefix = []
-    for p in merged:
-        k = int(np.searchsorted(at, p, "right")) - 1
-        q = starts[k] + p - at[k]
-        prefix.append(whole[q : q + 5].tobytes())
-    assert prefix == sorted(prefix)
-    assert all((block[i] == block[i + 1]) == (prefix[i] == prefix[i + 1]) for i in range(len(prefix) - 1))
+    shards, _, _ = suffix_dedup.shards_of(bodies)
+    for depth in (5, 8, 1):
+        merged, common = suffix_dedup.merge_transforms(shards, depth)
+        ahead = np.concatenate([np.stack([np.roll(s, -i) for i in range(depth)], 1) for s in shards])
+        prefix = [ahead[p].tobytes() for p in merged]
+        assert prefix == sorted(prefix) and sorted(merged) == list(range(len(merged)))
+        for i in range(1, len(prefix)):
+            same = next((k for k in range(depth) if prefix[i][k] != prefix[i - 1][k]), depth)
+            assert common[i] == (same if same == depth else same // suffix_dedup.STEP * suffix_dedup.STEP)
 
 
 # ---- 4 mixing --------------------------------------------------------------------------------------------

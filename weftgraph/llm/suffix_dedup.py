@@ -3,14 +3,16 @@
 A string of LENGTH bytes that occurs twice holds the same anchor in both places: the 32-byte substring
 of least hash in it. So every window of LENGTH bytes belongs to the anchor chosen in it, windows of
 different anchors' texts never match, and the work falls into independent groups, one for each anchor
-text. Groups of one occurrence end there. In the others, occurrences whose whole stretch of windows is
-equal are copies of the first; the stretches that differ go into shard transforms, which are merged.
+text. The anchors only deal out the work. Every distinct stretch of windows whose anchor stands in
+another place too goes into a shard transform, together with its second place, and the merge of the
+shards decides which windows repeat. A stretch's third and later places take the verdict of the second.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +21,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes, bound_batches, sorted_runs, table, text_buffer
-from weftgraph.storage import materialize, release
+from weftgraph.storage import materialize
 
 LENGTH = 100
 ANCHOR = 32
-#: Bytes of differing stretches that one merge takes, and of one of its shards.
-MERGE_BYTES = 2_000_000
-SHARD_BYTES = 500_000
+#: Bytes of stretches that one merge takes, and of one of its shards.
+MERGE_BYTES = 256 << 10
+SHARD_BYTES = 32 << 10
 #: Bytes whose anchors are chosen at a time.
-SKETCH_BYTES = 1_000_000
-#: An anchor with more differing or distant stretches than this is dealt out again window by window.
-CROWDED = 20_000
-#: Windows of a stretch that are compared together where an anchor's stretches differ.
+SKETCH_BYTES = 256 << 10
+#: A group of more distinct stretches than this is dealt out again by a longer text around the anchor, and then window by window.
+CROWDED = 8192
+#: Windows of a stretch that stay together when it is dealt out by a longer text.
 RANGE = 12
+#: Symbols by which a round of the merge moves on.
+STEP = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed odd multiplier, 2^64 over the golden ratio
 
 
@@ -64,8 +68,17 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _stretches(buffer: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, start, windows, hash): every text's windows, cut into runs that chose the same anchor.
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+    up, down = np.full(n, _ODD), np.full(n, inverse)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _stretches(buffer: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, start, windows, anchor hash, digest of all its bytes): every text's windows, cut into runs that chose the same anchor.
 
     Goes through the bytes piece by piece; a run that a piece's end cuts is two.
     """
@@ -85,359 +98,409 @@ def _stretches(buffer: np.ndarray, offsets: np.ndarray, length: int) -> Iterator
         windows = np.diff(np.append(begin, n))
         ok = (np.searchsorted(here, begin, "right") + inside) % 2 == 1
         begin, windows = begin[ok], windows[ok]
+        up, down = _powers(SKETCH_BYTES + length)
+        total = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
+        digest = (total[begin + windows + length - ANCHOR] - total[begin]) * down[begin] + windows.astype(np.uint64) * _ODD
+        digest ^= digest >> np.uint64(32)
         text = np.searchsorted(offsets, begin + piece, "right") - 1
-        yield text, begin + piece - offsets[text], windows, h[chosen[begin]].view(np.int64)
+        yield text, begin + piece - offsets[text], windows, h[chosen[begin]].view(np.int64), digest.view(np.int64)
 
 
 # ---- Transforms and their merge ------------------------------------------------------------------
 
 
-def shard_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of one shard's symbols (0 ends a string) by prefix doubling, and its BWT; suffixes that agree in 2 * depth symbols may stand in any order."""
+def _packed(text: np.ndarray, first: int, step: int) -> np.ndarray:
+    """The `step` symbols from `first` places ahead on, of every place of a shard read in a circle, as one number in their order."""
+    out = np.zeros(len(text), np.int64)
+    for i in range(step):
+        out = out << 16 if text.dtype == np.uint16 else out << 8
+        out |= np.roll(text, -first - i)
+    return out
+
+
+def shard_transform(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix order of one shard's symbols (0 ends a string) by prefix doubling; suffixes that agree in `depth` symbols may stand in any order."""
     n = len(text)
+    bits = np.int64(n.bit_length())
+    place = np.arange(n, dtype=np.int64)
     rank, width = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
     while True:
         ahead = np.roll(rank, -width)
-        key = rank * (int(rank.max()) + 2) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        sorted_key = key[order]
-        new[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
-        rank, width = new, width * 2
-        if width >= min(n, 2 * depth) or rank[order[-1]] == n - 1:
-            break
-    return order, text[order - 1]
+        key = np.sort((rank * np.int64(max(n, int(rank.max()) + 1)) + ahead) << bits | place)
+        order = key & ((np.int64(1) << bits) - 1)
+        key >>= bits
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        width *= 2
+        if width >= min(n, depth) or rank[order[-1]] == n - 1:
+            return order
+
+
+def _stable(key: np.ndarray) -> np.ndarray:
+    """Stable order of names below 2^32, by 16 bits at a time."""
+    if key.dtype.itemsize <= 2:
+        return np.argsort(key, kind="stable")
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    return order[np.argsort((key >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
 
 
 def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge shards' BWTs by refining their interleave; (suffix in the shards' concatenation, block) in merged order.
+    """Merge shards' BWTs by refining their interleave: (suffix in the shards' concatenation, common), both in merged order.
 
     The interleave says which shard each place of the merged order belongs to. It starts as one block,
-    shard after shard; each round moves every place by its BWT symbol, stably, so after k rounds the
-    places are in the order of their suffixes' first k symbols and a block holds those that share them.
-    No suffix is sorted again, and after `depth` rounds a block is a set of equal prefixes of that length.
+    shard after shard; each round moves every place by the STEP symbols before it, stably, so after k
+    rounds the places are in the order of their suffixes' first k * STEP symbols and a block holds those
+    that share them. No suffix is sorted again. A border between blocks keeps its place once it is there,
+    so the round in which it appears gives `common`: the length of the common prefix with the suffix
+    before, rounded down to whole steps, and `depth` if that many symbols agree.
     """
     parts = [shard_transform(x, depth) for x in shards]
     at = np.cumsum([0, *(len(x) for x in shards)])[:-1]
-    suffixes = np.concatenate([order + a for (order, _), a in zip(parts, at, strict=True)])
-    bwt = np.concatenate([x for _, x in parts])
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), [len(x) for x in shards])
-    block = np.zeros(len(bwt), np.int32)
-    symbol = np.empty(len(bwt), bwt.dtype)
-    for _ in range(depth):
+    suffixes = np.concatenate([order + a for order, a in zip(parts, at, strict=True)])
+    kind = np.uint8 if len(shards) < 256 else np.uint16
+    interleave = np.repeat(np.arange(len(shards), dtype=kind), [len(x) for x in shards])
+    size = len(suffixes)
+    block, common = np.zeros(size, np.int32), np.full(size, depth, np.int32)
+    open_ = np.ones(size, bool)
+    common[:1], open_[:1] = 0, False
+    done, names_of = 0, {}
+    while done < depth:
+        step = min(STEP, depth - done)
+        if step not in names_of:  # the symbols before each place, in the shards' own orders, under names in their order
+            words = np.concatenate([_packed(x, -step, step)[order] for x, order in zip(shards, parts, strict=True)])
+            used, names = np.unique(words, return_inverse=True)
+            names_of[step] = names.astype(np.uint8 if len(used) <= 1 << 8 else np.uint16 if len(used) <= 1 << 16 else np.uint32)
+        bwt = names_of[step]
+        symbol = np.empty_like(bwt)
         symbol[np.argsort(interleave, kind="stable")] = bwt  # a shard's places come in its own order
-        order = np.argsort(symbol, kind="stable")
-        interleave, symbol_, before = interleave[order], symbol[order], block[order]
-        block[0] = 0
-        np.cumsum((symbol_[1:] != symbol_[:-1]) | (before[1:] != before[:-1]), out=block[1:])
-    merged = np.empty(len(bwt), np.int64)
+        order = _stable(symbol)
+        interleave, symbol, before = interleave[order], symbol[order], block[order]
+        border = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
+        np.cumsum(border, out=block[1:])
+        fresh = open_[1:] & border
+        common[1:][fresh] = done
+        open_[1:] &= ~border
+        done += step
+    merged = np.empty(size, np.int64)
     merged[np.argsort(interleave, kind="stable")] = suffixes
-    return merged, block
+    return merged, common
+
 
+def shards_of(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(shards, text, place): the texts as symbols (0 ends each), cut into shards of about SHARD_BYTES and two at least, and of every symbol its text and place there."""
+    sizes = np.array([len(x) for x in texts])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    present = np.bincount(raw, minlength=256) > 0
+    codes = np.cumsum(present).astype(np.uint16 if present.all() else np.uint8)  # from 1
+    text_of = np.repeat(np.arange(len(texts)), sizes + 1)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    place = np.arange(len(text_of)) - begins[text_of]
+    symbols = np.zeros(len(text_of), codes.dtype)
+    symbols[place < sizes[text_of]] = codes[raw]
+    ends = begins + sizes + 1
+    most = max(1, min(SHARD_BYTES, len(symbols) // 2))
+    cuts = np.unique(np.append(ends[np.flatnonzero(np.diff(ends // most, prepend=0))], len(symbols)))
+    return [symbols[a:b] for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True)], text_of, place
 
-def repeated_windows(texts: list[bytes], windows: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, offset) of every window of `length` bytes that an earlier (doc, start) holds too.
+
+def repeated_windows(texts: list[bytes], windows: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(doc, first byte, end): runs of windows of `length` bytes that an earlier (doc, start) holds too; and the number of shards merged.
 
     The windows looked at are those that start at the first `windows[i]` bytes of text i.
     """
-    sizes = np.array([len(x) for x in texts])
-    used, codes = np.unique(np.frombuffer(b"".join(texts), np.uint8), return_inverse=True)
-    kind = np.uint8 if len(used) < 255 else np.uint16
-    begins = np.cumsum(sizes + 1) - sizes - 1  # with one end symbol behind each text
-    symbols = np.zeros(int(sizes.sum()) + len(texts), kind)
-    text_of = np.repeat(np.arange(len(texts)), sizes + 1)
-    place = np.arange(len(symbols)) - begins[text_of]
-    symbols[place < sizes[text_of]] = codes + 1
-    shards, first = [], 0
-    for i in range(len(texts)):
-        end = begins[i] + sizes[i] + 1
-        if end - first >= SHARD_BYTES or i == len(texts) - 1:
-            shards.append(symbols[first:end])
-            first = end
-    merged, block = merge_transforms(shards, length)
+    shards, text_of, place = shards_of(texts)
+    merged, common = merge_transforms(shards, length)
+    with_before = common >= length
+    shared = with_before | np.append(with_before[1:], False)
+    block = np.cumsum(~with_before)[shared]
+    merged = merged[shared]
     looked = place[merged] < windows[text_of[merged]]
     merged, block = merged[looked], block[looked]
     owner = text_of[merged]
     at = start[owner] + place[merged]
     order = np.lexsort((at, doc[owner], block))
-    block, doc_, at = block[order], doc[owner][order], at[order]
-    first = np.maximum.accumulate(np.where(np.append(True, block[1:] != block[:-1]), np.arange(len(block)), 0))
+    block, owner, at = block[order], owner[order], at[order]
+    doc_ = doc[owner]
+    first = np.maximum.accumulate(np.where(np.append(True, block[1:] != block[:-1])[: len(block)], np.arange(len(block)), 0))
     again = (doc_ != doc_[first]) | (at != at[first])
-    return owner[order][again], place[merged][order][again]
+    return *_runs(doc_[again], at[again], at[again] + length), len(shards)
+
+
+def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join stretches of one document that meet; all of them have to be of about one length, else some may stay apart."""
+    order = np.lexsort((end, start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1]))[: len(doc)]
+    last = np.append(np.flatnonzero(new)[1:], len(doc))[: int(new.sum())] - 1
+    return doc[new], start[new], end[last]
 
 
 # ---- The distributed operator --------------------------------------------------------------------
 
-_ONE = "key long, direct int, doc long, start int, n int"
+_ONE = ("key", "digest", "doc", "start", "n", "settled")
+
+
+def _batch(columns: list[np.ndarray], names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, np.int64)) for x in columns], list(names))
 
 
 def _sketch(length: int):
-    """Of every stretch of windows: anchor hash and place. direct: 2 if the anchor repeats in this piece of the task, 1 if it needs no other row for that either."""
+    """Of every stretch of windows: anchor hash, digest and place. Of equal stretches in a piece of the texts only the first two places go to the
+    anchor's group; the others are settled as copies of them and are dealt out evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column("doc").to_numpy()
-            for text, start, n, key in _stretches(*text_buffer(batch.column("text")), length):
-                order = np.argsort(key, kind="stable")
-                key, doc, start = key[order], docs[text[order]], start[order]
-                first = np.append(True, key[1:] != key[:-1])[: len(key)]
-                alone = np.append(first[1:], True)[: len(key)] & first
-                direct = np.where(first, np.where(alone, 0, 2), 1).astype(np.int32)
-                # settled rows are dealt evenly, so that a frequent anchor gets one row of each piece
-                dealt = np.where(first, key, (doc * 1_000_003) ^ start)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dealt, direct, doc, start.astype(np.int32), n[order].astype(np.int32))], ["key", "direct", "doc", "start", "n"])
+            for text, start, n, key, digest in _stretches(*text_buffer(batch.column("text")), length):
+                doc = docs[text]
+                order = np.lexsort((start, doc, digest, key))
+                rows = np.stack([key, digest, doc, start, n])[:, order]
+                same = np.append(False, (rows[:2, 1:] == rows[:2, :-1]).all(0))[: len(order)]
+                third = same & np.append(False, same[:-1])[: len(order)]
+                out = rows[:, ~third]
+                yield _batch([*out, np.zeros(out.shape[1])], _ONE)
+                if third.any():
+                    _, _, doc, start, n = rows[:, third]
+                    doc, start, end = _runs(doc, start, start + n)
+                    yield _batch([doc * 1_000_003 ^ start, start, doc, start, end - start, np.ones(len(doc))], _ONE)
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the stretches whose anchor occurs more than once."""
-    for rows, _ in sorted_runs(batches, "key"):
-        key, direct = rows.column("key").to_numpy(), rows.column("direct").to_numpy()
-        new = np.append(True, key[1:] != key[:-1])
-        total = np.add.reduceat((direct != 1).astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
-        kept = (direct > 0) | (total > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(rows.column(x).to_numpy()[kept]) for x in ("doc", "start", "n")], ["doc", "start", "n"])
+    """Of stretches sorted by anchor, digest and place: those whose anchor stands in another place too. The third and later places of equal stretches are settled."""
+
+    def told(rows: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
+        return _batch([rows[2], rows[3], rows[4], settled], ("doc", "start", "n", "settled"))
+
+    rows, decided = np.zeros((5, 0), np.int64), 0  # the last rows seen: up to two that are decided, and one that isn't
+
+    def decide(last: bool) -> pa.RecordBatch | None:
+        nonlocal rows, decided
+        size = rows.shape[1]
+        same = np.append(False, rows[0, 1:] == rows[0, :-1])[:size]
+        again = same | np.append(same[1:], False)[:size]
+        second = same & np.append(False, rows[1, 1:] == rows[1, :-1])[:size]
+        third = second & np.append(False, second[:-1])[:size]
+        now = np.zeros(size, bool)
+        end = size if last else size - 1
+        now[decided:end] = True
+        now &= again
+        out = told(rows[:, now], third[now])
+        left = max(0, end - 2)
+        rows, decided = rows[:, left:], end - left
+        return out
+
+    for batch in batches:
+        part = np.stack([batch.column(x).to_numpy() for x in _ONE])
+        through = part[5] == 1
+        if through.any():
+            yield told(part[:5, through], part[5, through])
+        part = np.concatenate([rows, part[:5, ~through]], 1)
+        repeat = np.append(False, (part[:4, 1:] == part[:4, :-1]).all(0))[: part.shape[1]]  # repeated rows of one document
+        rows = part[:, ~repeat]
+        if rows.shape[1] > decided:
+            yield decide(False)
+    if rows.shape[1]:
+        yield decide(True)
+
+
+def _packed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join each document's stretches (start and length in one number) that meet, in the column spans."""
+    for batch in batches:
+        out = []
+        for packed in batch.column("spans"):
+            x = np.sort(packed.values.to_numpy()) if packed.is_valid else np.zeros(0, np.int64)
+            start, end = x >> 32, (x >> 32) + (x & 0xFFFFFFFF)
+            reach = np.maximum.accumulate(end)
+            cut = np.append(True, start[1:] > reach[:-1])[: len(x)]
+            last = np.append(np.flatnonzero(cut)[1:], len(x))[: int(cut.sum())] - 1
+            out.append(start[cut] << 32 | (reach[last] - start[cut]))
+        at = batch.schema.get_field_index("spans")
+        yield batch.set_column(at, "spans", pa.array(out, pa.list_(pa.int64())))
+
 
+_STRETCH = "key long, doc long, start long, n long, stretch binary"
+_FOUND = "doc long, start long, end long, shards long, stretch binary"
 
-_TWO = "key long, hash long, doc long, start int, n int, stretch binary"
 
+def _pieces(key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int64)) for x in (key, doc, start, n)), pa.array(bodies, pa.binary())], ["key", "doc", "start", "n", "stretch"])
 
-_NAMES = [x.split()[0] for x in _TWO.split(", ")]
+
+def _anchors(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each stretch's anchor: that of its first window, as all its windows chose the same."""
+    joined = np.frombuffer(b"".join(bodies), np.uint8)
+    sizes = np.array([len(x) for x in bodies])
+    begins = np.cumsum(sizes) - sizes
+    h = _anchor_hashes(joined)
+    at = _least(h, length - ANCHOR + 1)[begins]
+    return h[at].view(np.int64), at - begins
 
 
 def _cut(length: int):
-    """The bytes of the stretches whose anchors repeat. Of equal stretches in a batch only the first travels with its bytes."""
+    """The bytes of the stretches wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, bodies = batch.column("doc").to_numpy(), as_bytes(batch.column("text"))
-            lists = batch.column("stretches")
-            seen: dict[int, tuple[int, int]] = {}
-            out: list[tuple] = []
-            for i in np.argsort(docs, kind="stable").tolist():
-                doc, raw = int(docs[i]), bodies[i]
-                packed = np.sort(lists[i].values.to_numpy())
-                for start, n in zip((packed >> 32).tolist(), (packed & 0xFFFFFFFF).tolist(), strict=True):
-                    _place(out, seen, doc, start, n, raw[start : start + n + length - 1])
-                if len(out) > 50_000:
-                    yield _placed(out, length)
-                    out, seen = [], {}
-            if out:
-                yield _placed(out, length)
+            lists = batch.column("wanted")
+            rows = {"doc": [], "start": [], "n": [], "bodies": []}
+            held = 0
+
+            def cut(rows: dict) -> pa.RecordBatch:
+                doc, start, n = (np.concatenate(rows[x]) for x in ("doc", "start", "n"))
+                return _pieces(_anchors(rows["bodies"], length)[0], doc, start, n, rows["bodies"])
+
+            for i, doc in enumerate(batch.column("doc").to_pylist()):
+                raw = as_bytes(batch.column("text").slice(i, 1))[0]
+                packed = lists[i].values.to_numpy()
+                for a in range(0, len(packed), 10_000):
+                    start, n = packed[a : a + 10_000] >> 32, packed[a : a + 10_000] & 0xFFFFFFFF
+                    rows["doc"].append(np.full(len(start), doc))
+                    rows["start"].append(start)
+                    rows["n"].append(n)
+                    rows["bodies"] += [raw[x:y] for x, y in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
+                    held += len(start)
+                    if held >= 10_000:
+                        yield cut(rows)
+                        rows, held = {x: [] for x in rows}, 0
+            if held:
+                yield cut(rows)
 
     return run
 
 
-def _place(out: list[tuple], seen: dict[int, tuple[int, int]], doc: int, start: int, n: int, body: bytes) -> None:
-    digest = xxhash.xxh3_64_intdigest(body) >> 1
-    first = seen.setdefault(digest, (doc, start))
-    if first == (doc, start):
-        out.append((digest, doc, start, n, body))
-    else:
-        out.append((digest, doc, start, n, None))
-
-
-def _placed(out: list[tuple], length: int, by_window: bool = False) -> pa.RecordBatch:
-    digest, doc, start, n, body = zip(*out, strict=True)
-    digest = np.array(digest, np.int64)
-    fresh = np.array([x is not None for x in body])
-    key = np.array(doc, np.int64) * 1_000_003 ^ np.array(start, np.int64)
-    parts = [x for x in body if x is not None]
-    key[fresh] = digest[fresh] if by_window else _own_anchor(parts, length)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], _NAMES)
-
+def _longer(length: int, windows: int):
+    """Deal stretches out again: `windows` windows of one together, by the bytes that all of these share.
 
-def _windows(length: int):
-    """Deal the stretches of a crowded anchor out again, each window under its own digest."""
+    Windows are counted by their distance from the anchor, so that equal windows come to equal keys.
+    """
+    core = length - windows + 1
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, tuple[int, int]] = {}
-            out: list[tuple] = []
-            for row in sorted(batch.select(["doc", "start", "n", "stretch"]).to_pylist(), key=lambda x: (x["doc"], x["start"])):
-                for w in range(row["n"]):
-                    _place(out, seen, row["doc"], row["start"] + w, 1, row["stretch"][w : w + length])
-                if len(out) > 50_000:
-                    yield _placed(out, length, True)
-                    out, seen = [], {}
-            if out:
-                yield _placed(out, length, True)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                bodies = part.column("stretch").to_pylist()
+                _, anchor = _anchors(bodies, length)
+                key, doc, start, count, out = [], [], [], [], []
+                for body, q, d, s, n in zip(bodies, anchor.tolist(), *(part.column(x).to_pylist() for x in ("doc", "start", "n")), strict=True):
+                    for bucket in range((q - n + 1) // windows, q // windows + 1):  # window p stands at distance q - p
+                        last = q - bucket * windows
+                        a, b = max(0, last - windows + 1), min(n - 1, last)
+                        key.append(digest(body[last : last + core], bucket) - (1 << 63))
+                        doc.append(d)
+                        start.append(s + a)
+                        count.append(b - a + 1)
+                        out.append(body[a : b + length])
+                yield _pieces(key, doc, start, count, out)
 
     return run
 
 
-def _own_anchor(parts: list[bytes], length: int) -> np.ndarray:
-    """The anchor hash of each stretch: the least of its first window, as all its windows chose the same."""
-    joined = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.array([len(x) for x in parts])
-    begins = np.cumsum(sizes) - sizes
-    h = _anchor_hashes(joined)
-    return h[_least(h, length - ANCHOR + 1)[begins]].view(np.int64)
-
-
-_SPAN = "doc long, start long, end long, n int, stretch binary"
-
-
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    none = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], ["doc", "start", "end", "n", "stretch"])
+def _resolve(length: int, crowded: int, through: bool):
+    """Merge the stretches of each key that has two at least; (doc, start, end, shards) of the bytes that repeat.
 
-
-def _settle(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows with a group key and a digest: copies of an earlier equal row, and the first of each digest with their
-    group's number, in groups where digests differ. Rows of one place, as repeated rows have, aren't copies.
+    Rows of keys with more than `crowded` rows go through with their bytes. At the last level, where all
+    windows of a key are equal, they are merged in pieces instead, each with the key's first row.
     """
-    order = np.lexsort((start, doc, digest, key))
-    k, d = key[order], digest[order]
-    same_key = np.append(False, k[1:] == k[:-1])[: len(k)]
-    same = same_key & np.append(False, d[1:] == d[:-1])[: len(k)]
-    first = order[np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))]
-    copies = order[same & ((doc[order] != doc[first]) | (start[order] != start[first]))]
-    firsts, group = order[~same], np.cumsum(~same_key)[~same]
-    differ = np.bincount(group)[group] > 1
-    return copies, firsts[differ], group[differ]
-
-
-def _ranges(bodies: list[bytes], group: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple:
-    """Cut stretches of one anchor into ranges of RANGE windows by their distance from the anchor: (key, digest, doc, start, n, body).
+    names = [x.split()[0] for x in _FOUND.split(", ")]
 
-    All windows of a range share length - RANGE + 1 bytes around the anchor, which are the key: ranges whose keys differ hold no equal windows.
-    """
-    joined = np.frombuffer(b"".join(bodies), np.uint8)
-    begins = np.cumsum([0, *(len(x) for x in bodies)])[:-1]
-    anchors = (_least(_anchor_hashes(joined), length - ANCHOR + 1)[begins] - begins).tolist()
-    core = length - RANGE + 1
-    key, digest, owner, first, count, out = [], [], [], [], [], []
-    hash_ = xxhash.xxh3_64_intdigest
-    for i, (body, g, q, windows) in enumerate(zip(bodies, group.tolist(), anchors, n.tolist(), strict=True)):
-        # windows p = 0 .. windows - 1 stand at distance q - p before the anchor
-        for bucket in range((q - windows + 1) // RANGE, q // RANGE + 1):
-            last = q - bucket * RANGE
-            a, b = max(0, last - RANGE + 1), min(windows - 1, last)
-            piece = body[a : b + length]
-            key.append((hash_(body[last : last + core], bucket) ^ g * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF)
-            digest.append(hash_(piece) >> 1)
-            owner.append(i)
-            first.append(a)
-            count.append(b - a + 1)
-            out.append(piece)
-    owner, first = np.array(owner), np.array(first, np.int64)
-    return np.array(key, np.int64), np.array(digest, np.int64), doc[owner], start[owner] + first, np.array(count, np.int64), out
-
-
-def _resolve(length: int, crowded: int):
-    """Windows that repeat an earlier one, as removed stretches; rows of crowded anchors go through, with their bytes."""
+    def found(doc: np.ndarray, start: np.ndarray, end: np.ndarray, shards: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int64)) for x in (doc, start, end, np.full(len(doc), shards))), pa.nulls(len(doc), pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]] = []
+        pending: list[pa.Table] = []
         held = 0
 
         def merge() -> pa.RecordBatch:
-            texts = [x for part in pending for x in part[0]]
-            n, doc, start = (np.concatenate([part[i] for part in pending]) for i in (1, 2, 3))
-            owner, place = repeated_windows(texts, n, doc, start, length)
-            return _spans(doc[owner], start[owner] + place, start[owner] + place + length)
+            nonlocal pending, held
+            rows = pa.concat_tables(pending)
+            pending, held = [], 0
+            n, doc, start = (rows.column(x).to_numpy() for x in ("n", "doc", "start"))
+            return found(*repeated_windows(rows.column("stretch").to_pylist(), n, doc, start, length))
 
+        first = None  # the first row of a key that comes in pieces
         for rows, piece in sorted_runs(batches, "key", crowded):
-            key, digest, doc, start, n = (rows.column(x).to_numpy() for x in ("key", "hash", "doc", "start", "n"))
-            start, n = start.astype(np.int64), n.astype(np.int64)
-            stretch = rows.column("stretch").combine_chunks()
-            settled = stretch.is_null().to_numpy(zero_copy_only=False)
-            if settled.any():
-                yield _spans(doc[settled], start[settled], start[settled] + n[settled] + length - 1)
-            live = np.flatnonzero(~settled)
-            if piece and len(live):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[live]), pa.array(start[live]), pa.nulls(len(live), pa.int64()), pa.array(n[live].astype(np.int32)), stretch.take(pa.array(live))], ["doc", "start", "end", "n", "stretch"])
-                continue
-            if not len(live):
-                continue
-            copies, firsts, group = _settle(key[live], digest[live], doc[live], start[live])
-            copies, firsts = live[copies], live[firsts]
-            if len(copies):
-                yield _spans(doc[copies], start[copies], start[copies] + n[copies] + length - 1)
-            if not len(firsts):
+            if piece and through:
+                shards = pa.nulls(rows.num_rows, pa.int64())
+                yield from pa.table([rows.column("doc"), rows.column("start"), rows.column("n"), shards, rows.column("stretch")], names).to_batches()
                 continue
-            bodies = stretch.take(pa.array(firsts)).to_pylist()
-            key, digest, doc, start, n, bodies = _ranges(bodies, group, doc[firsts], start[firsts], n[firsts], length)
-            copies, firsts, group = _settle(key, digest, doc, start)
-            if len(copies):
-                yield _spans(doc[copies], start[copies], start[copies] + n[copies] + length - 1)
-            if not len(firsts):
+            if piece:
+                same = first is not None and first.column("key")[0] == rows.column("key")[0]
+                first = first if same else rows.slice(0, 1)
+                rows = pa.concat_tables([first, rows] if same else [rows])
+            key = rows.column("key").to_numpy()
+            new = np.append(True, key[1:] != key[:-1])
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(key)))
+            shared = np.repeat(size > 1, size)
+            if not shared.all():
+                rows, key = rows.filter(pa.array(shared)), key[shared]
+            if not len(key):
                 continue
-            ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))  # whole groups go into a merge
-            size = np.cumsum([len(bodies[i]) + 1 for i in firsts.tolist()])[ends - 1]
-            at = 0
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # whole groups go into a merge
+            reach = np.cumsum(rows.column("n").to_numpy() + length)[ends - 1]
+            at = done = 0
             while at < len(ends):
-                done = int(size[at - 1]) if at else 0
-                end = int(np.searchsorted(size, done + MERGE_BYTES - held, "right"))
-                if end <= at and not held:
-                    end = at + 1
-                if end > at:
-                    part = firsts[int(ends[at - 1]) if at else 0 : int(ends[end - 1])]
-                    pending.append(([bodies[i] for i in part.tolist()], n[part], doc[part], start[part]))
-                    held += int(size[end - 1]) - done
-                    at = end
-                if at < len(ends) or held >= MERGE_BYTES:
+                to = max(at + 1, int(np.searchsorted(reach, done + MERGE_BYTES - held, "right")))
+                begin_row = int(ends[at - 1]) if at else 0
+                pending.append(rows.slice(begin_row, int(ends[to - 1]) - begin_row))
+                held += int(reach[to - 1]) - done
+                done, at = int(reach[to - 1]), to
+                if held >= MERGE_BYTES // 2:
                     yield merge()
-                    pending, held = [], 0
         if pending:
             yield merge()
 
     return run
 
 
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def found_stretches(docs: DataFrame, *, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
+    """(doc, start, end, shards) of `docs` (doc long, text): bytes that repeat an earlier place.
 
-
-def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join each document's removed stretches that meet."""
-    for batch in batches:
-        spans = []
-        for packed in batch.column("spans"):
-            x = np.sort(packed.values.to_numpy())
-            start, end = x >> 32, (x >> 32) + (x & 0xFFFFFFFF)
-            reach = np.maximum.accumulate(end)
-            cut = np.append(True, start[1:] > reach[:-1])
-            last = np.append(np.flatnonzero(cut)[1:], len(x)) - 1
-            spans.append([{"start": a, "end": b} for a, b in zip(start[cut].tolist(), reach[last].tolist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc", "spans"])
+    shards is the number of transforms in the merge that found them; null for third and later places of
+    stretches, which take the verdict of the second. Rows may overlap.
+    """
+    bound_batches(docs.sparkSession)
+    sketch = docs.mapInArrow(_sketch(length), ", ".join(f"{x} long" for x in _ONE)).repartition("key").sortWithinPartitions("key", "digest", "doc", "start")
+    found = sketch.mapInArrow(_repeated, "doc long, start long, n long, settled long")
+    packed, more = F.shiftleft(F.col("start"), 32) + F.col("n"), F.lit(length - 1)
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.when(F.col("settled") == 0, packed)).alias("wanted"), F.collect_list(F.when(F.col("settled") == 1, packed + more)).alias("spans"))
+    by_doc = materialize(by_doc.mapInArrow(_packed_runs, "doc long, wanted array<long>, spans array<long>"), "anchors")
+    span = F.explode("spans").alias("span")
+    settled = by_doc.select("doc", span).select("doc", F.shiftright("span", 32).alias("start"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF)).alias("end"), F.lit(None).cast("long").alias("shards"))
+
+    def level(pieces: DataFrame, through: bool) -> DataFrame:
+        dealt = pieces.repartition("key").sortWithinPartitions("key", "doc", "start")
+        return materialize(dealt.mapInArrow(_resolve(length, crowded, through), _FOUND), "stretches")
+
+    out = level(docs.join(by_doc.where(F.size("wanted") > 0).select("doc", "wanted"), "doc").mapInArrow(_cut(length), _STRETCH), True)
+    removed = settled.unionByName(out.where("stretch is null").drop("stretch"))
+    for windows in (RANGE, 1):
+        open_ = out.where("stretch is not null")
+        if open_.isEmpty():
+            break
+        again = open_.select("doc", "start", F.col("end").alias("n"), "stretch")
+        out = level(again.mapInArrow(_longer(length, windows), _STRETCH), windows > 1)
+        removed = removed.unionByName(out.where("stretch is null").drop("stretch"))
+    return removed
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
-    """(doc, spans array<struct<start,end>>) of `docs` (doc long, text), for documents with bytes to remove.
-
-    Two passes over the texts. The first sends the place and hash of every stretch of windows (about 35
-    bytes of text) to its anchor's group, the second the bytes of the stretches whose anchors repeat.
-    Copies within a batch are settled there and do not meet in one group, so a text of which there are
-    many costs a group one row a batch. An anchor with more than `crowded` rows is dealt out again
-    window by window, where a group holds only equal windows.
+    """(doc, spans array<long>) of `docs` (doc long, text), for documents with bytes to remove: start in the upper and length in the lower 32 bits.
+
+    Two passes over the texts. The first sends the place, hash and digest of every stretch of windows (about
+    35 bytes of text) to its anchor's group, where rows are looked at in sorted order, three at a time. The
+    second sends the bytes of the distinct stretches whose anchors repeat, each with its second place at
+    most, to the merges. A text of which there are many costs a group two rows a piece of the texts.
+    An anchor with more than `crowded` distinct stretches is dealt out again by 89 bytes around it, and
+    then window by window, where a group holds only equal windows.
     """
-    bound_batches(docs.sparkSession)
-    sketch = docs.mapInArrow(_sketch(length), _ONE).repartition("key").sortWithinPartitions("key")
-    found = sketch.mapInArrow(_repeated, "doc long, start int, n int")
-    by_doc = materialize(found.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("stretches")), "anchors")
-    del sketch, found
-    release(docs.sparkSession)
-    pieces = docs.join(by_doc, "doc").mapInArrow(_cut(length), _TWO).repartition("key").sortWithinPartitions("key")
-    first = materialize(pieces.mapInArrow(_resolve(length, crowded), _SPAN), "stretches")
-    removed = first.where("stretch is null").select("doc", "start", "end")
-    again = first.where("stretch is not null")
-    if not again.isEmpty():
-        windows = again.select("doc", F.col("start").cast("int"), "n", "stretch").mapInArrow(_windows(length), _TWO)
-        windows = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(length, 1 << 62), _SPAN)
-        removed = removed.unionByName(windows.select("doc", "start", "end"))
     packed = F.shiftleft(F.col("start"), 32) + (F.col("end") - F.col("start"))
-    by_doc = removed.groupBy("doc").agg(F.collect_set(packed).alias("spans"))
-    return by_doc.mapInArrow(_fewer, "doc long, spans array<struct<start:long,end:long>>")
+    by_doc = found_stretches(docs, length=length, crowded=crowded).groupBy("doc").agg(F.collect_set(packed).alias("spans"))
+    return by_doc.mapInArrow(_packed_runs, "doc long, spans array<long>")
 
 
 #: Removed stretches of all documents, in bytes, up to which they are sent to every executor instead of shuffling the texts.
@@ -457,7 +520,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, text: str = "text",
     body = F.coalesce(F.col(text), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), body.alias("text")).where("doc is not null")
     spans = materialize(repeated_spans(plain, length=length), "repeats").withColumnsRenamed({"doc": "__doc", "spans": "__spans"})
-    size = spans.agg(F.sum(F.size("__spans") * 16 + 40)).first()[0] or 0
+    size = spans.agg(F.sum(F.size("__spans") * 8 + 40)).first()[0] or 0
     new = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
     rows = docs.drop(*new).join(F.broadcast(spans) if size <= SMALL_SPANS else spans, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
 
@@ -466,7 +529,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, text: str = "text",
             n_removed, n_spans, kept = [], [], []
             bodies = as_bytes(batch.column("__text"))
             for raw, found in zip(bodies, batch.column("__spans").to_pylist(), strict=True):
-                gone = _joined([(x["start"], x["end"]) for x in found or ()])
+                gone = [(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in found or ()]
                 if whole_characters:
                     gone = [(a, b) for a, b in ((_character(raw, a, 1), _character(raw, b, -1)) for a, b in gone) if a < b]
                 at, parts = 0, []
