@@ -51,17 +51,20 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stands in benchmark windows (operator 8)."""
-    judged = materialize(contamination(docs, table(spark, sf_dir, "benchmark")), "contamination")
-    gone = judged.where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(small_enough(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "numbered")
+    judged = materialize(contamination(rows, table(spark, sf_dir, "benchmark"), key="__row"), "contamination")
+    gone = judged.where("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(small_enough(gone, 16), "__row", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (operator 4): the columns of documents, copy (from 1), size, source_size and target.
 
-    Rows that share doc_id, source and size are taken equally often, by the largest of their numbers.
+    Rows that share doc_id, source and size are taken equally often, by the largest of their numbers. The four
+    columns replace others of these names.
     """
-    sized = docs.withColumn("size", word_count("text"))
+    kept = [c for c in docs.columns if c not in ("copy", "size", "source_size", "target")]
+    sized = docs.select(*kept, word_count("text").alias("size"))
     mixed = mix(sized.select("doc_id", "source", "size"))
     taken = mixed.where("copies > 0").groupBy("doc_id", "source", "size").agg(
         F.max("copies").alias("copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
@@ -69,7 +72,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     taken = small_enough(materialize(taken, "taken"), 64).select(*(F.col(c).alias(f"__{c}") for c in taken.columns))
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
     joined = sized.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return joined.select(*docs.columns, "copy", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"))
+    return joined.select(*kept, "copy", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"))
 
 
 STAGES = [

@@ -13,7 +13,7 @@ from weftgraph.shipping import ship
 
 #: Rows and bytes of one Arrow batch: a Python worker holds a few batches at a time, whatever the texts' lengths.
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

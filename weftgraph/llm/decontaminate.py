@@ -170,20 +170,20 @@ def _slices(benchmark: DataFrame, text: str) -> Iterator[tuple[dict[tuple[bytes,
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Judge every document by the 13-word windows of benchmark items that occur in it.
 
     The index holds the positions of the benchmark's words and is stored in the shared folder; each
     window's lists are intersected from its rarest word on, shard by shard, with no shuffle. An item
     of fewer words is one window, one without words none; items without an id or text are left out.
     Benchmarks over SLICE_WORDS words are searched slice by slice, hits adding up, so what goes to
-    the executors at once is bounded. Repeated rows of documents are judged each. An empty benchmark
+    the executors at once is bounded. Repeated rows of documents are judged each; doc_id holds their `key`. An empty benchmark
     leaves every document clean; other columns of both tables play no part.
     """
     spark = docs.sparkSession
     slices = list(_slices(benchmark, text))
     every: set[bytes] = set().union(*(x for _, x in slices)) if slices else set()
-    index = materialize(build_index(docs, every, text=text), "index")
+    index = materialize(build_index(docs.select(F.col(key).cast("long").alias("doc_id"), text), every, text=text), "index")
     hits = index.select("*", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("binary").alias("items"))
     schema = pa.schema([*_schema(), ("hit", pa.binary()), ("items", pa.binary())])
 

@@ -126,12 +126,14 @@ def mix(sized: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float =
     source of any size is spread; what they leave meets in a next level; the last holds RESERVE documents back and lands with them.
     Draws depend on seed, source and the documents alone, so reruns agree whatever the partitions.
     Rows without words take part in document totals.
-    Repeated rows are documents of their own. A null source is a source, a null size counts as 0.
+    Repeated rows are documents of their own. A null source is a source, a null size counts as 0. Columns
+    named source_size, target or copies are replaced, others pass through whatever their names.
     """
     spark = sized.sparkSession
     bound_batches(spark)
     extra = [c for c in sized.columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies")]
-    sized = sized.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *extra)
+    names = {f"__extra{i}": c for i, c in enumerate(extra)}  # out of the way of the helper columns
+    sized = sized.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *(F.col(f"`{c}`").alias(x) for x, c in names.items()))
     sized = materialize(sized, "sized")
     targets = materialize(source_targets(sized, weights=weights, most=most), "targets")
     right = targets.withColumnRenamed("source", "__source")
@@ -144,7 +146,7 @@ def mix(sized: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float =
         "base": whole.cast("int"), "share": F.greatest(F.col("rate") - whole, F.lit(0.0)),
         "order": F.xxhash64(F.lit(seed), "source", "doc_id", "size"), "left": F.col("n_docs"),
     })
-    columns = ["doc_id", "source", "size", *extra, "source_size", "target", "base", "share", "order", "left"]
+    columns = ["doc_id", "source", "size", *names, "source_size", "target", "base", "share", "order", "left"]
     rows = rows.select(*columns)
     done: list[DataFrame] = []
     while True:
@@ -181,7 +183,7 @@ def mix(sized: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float =
     for more in done[1:]:
         decided = decided.unionByName(more)
     copies = (F.col("base") + F.round("share").cast("int")).alias("copies")
-    return decided.select("doc_id", "source", "size", *extra, "source_size", "target", copies)
+    return decided.select("doc_id", "source", "size", *(F.col(x).alias(c) for x, c in names.items()), "source_size", "target", copies)
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes, bound_batches, sorted_runs, table
 from weftgraph.operators.graph import connected_components
-from weftgraph.storage import materialize, release
+from weftgraph.storage import materialize
 
 SEED = 42
 #: Fingerprints with one key that are compared in one piece; a key of more is split by finer keys.
@@ -71,7 +71,10 @@ def _node(words: list[np.ndarray]) -> np.ndarray:
 
 def _variants(words: list[np.ndarray], start: int, width: int) -> np.ndarray:
     """(rows, width + 1): a segment of the fingerprint with bit v cleared, for each v, and last as it is."""
-    segment = (words[start // 64].view(np.uint64) >> np.uint64(start % 64)) & np.uint64((1 << width) - 1)
+    segment = words[start // 64].view(np.uint64) >> np.uint64(start % 64)
+    if start % 64 + width > 64:
+        segment |= words[start // 64 + 1].view(np.uint64) << np.uint64(64 - start % 64)
+    segment &= np.uint64((1 << width) - 1)
     clear = np.append(~(np.uint64(1) << np.arange(width, dtype=np.uint64)), ~np.uint64(0))
     return segment[:, None] & clear[None, :]
 
@@ -245,10 +248,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 64, segmen
 
 # ---- Links verified by the Jaccard similarity of shingle sets (the pipeline's stage) --------------------
 
-#: Bits of one print, its segments, and the members of a key up to which all its pairs are listed at once.
-PRINT, PARTS, LISTED = 128, 8, 64
-#: Partners that each member of a more crowded key tries in a round, and rounds before all pairs left are tried.
-NEAREST, ROUNDS = 3, 4
+#: Bits of one print, its segments and their bits, and the members of a key up to which all its pairs are listed at once.
+PRINT, PARTS, WIDTH, LISTED = 128, 5, 24, 64
+#: Members of a more crowded key that all others are held against in a round, and rounds before the pairs left are joined.
+PIVOTS, ROUNDS = 16, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -303,49 +306,31 @@ def _shingles(rows: DataFrame, shingle: int, text: str) -> DataFrame:
     return rows.select("node", F.col(text).alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _pairs_of(key, words, node, n, label, most: int, similarity: float, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key, at most `most` differing bits, sizes that allow `similarity` and not the same label but 0: all, or each row's `nearest`."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    bounds = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    sizes = np.diff(np.append(bounds, len(key)))
+def _possible(n: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    return (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (node[i] != node[j])
 
-    def possible(i, j) -> np.ndarray:
-        fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-        return fits & ((label[i] != label[j]) | (label[i] == 0)) & (node[i] != node[j])
 
-    def apart(i, j) -> np.ndarray:
-        return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in words)
+def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of equal key (of LISTED rows at most), at most `most` differing bits and sizes that allow `similarity`."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def split(i, j) -> np.ndarray:
+    def split(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """False for pairs that agree in the wildcard's place too: they meet under the exact key."""
-        width = PRINT // PARTS
         place = ((key[i] >> np.uint64(40)) & np.uint64(255)).astype(np.int64)
-        at = ((key[i] >> np.uint64(48)) & np.uint64(15)).astype(np.int64) * width + np.minimum(place, width - 1)
+        at = ((key[i] >> np.uint64(48)) & np.uint64(15)).astype(np.int64) * WIDTH + np.minimum(place, WIDTH - 1)
         diff = np.where(at < 64, words[0][i] ^ words[0][j], words[1][i] ^ words[1][j])
-        return (place == width) | (((diff >> (at % 64).astype(np.uint64)) & np.uint64(1)) == 1)
+        return (place == WIDTH) | (((diff >> (at % 64).astype(np.uint64)) & np.uint64(1)) == 1)
 
-    rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= LISTED), sizes))
+    rows = np.arange(len(key))
     for step in range(1, LISTED):
         i = rows[rows + step < len(key)]
         rows = i = i[key[i] == key[i + step]]
         if not len(i):
             break
-        i = i[apart(i, i + step) <= most]
-        i = i[possible(i, i + step)]
+        i = i[sum(np.bitwise_count(w[i] ^ w[i + step]).astype(np.int16) for w in words) <= most]
+        i = i[_possible(n, node, i, i + step, similarity)]
         i = i[split(i, i + step)]
         out.append((node[i], node[i + step]))
-    for a, size in zip(bounds[sizes > LISTED].tolist(), sizes[sizes > LISTED].tolist(), strict=True):
-        every = np.arange(a, a + size)
-        for at in range(0, size, 128):
-            i, j = every[at : at + 128, None], every[None, :]
-            bits = np.where(possible(i, j), apart(i, j), most + 1)
-            if nearest < size:
-                best = np.argpartition(bits, nearest - 1, 1)[:, :nearest]
-                x, y = np.nonzero(np.take_along_axis(bits, best, 1) <= most)
-                out.append((node[a + at + x], node[a + best[x, y]]))
-            else:
-                x, y = np.nonzero((bits <= most) & (i < j))
-                out.append((node[a + at + x], node[a + y]))
     if not out:
         return node[:0], node[:0]
     a, b = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
@@ -353,94 +338,131 @@ def _pairs_of(key, words, node, n, label, most: int, similarity: float, nearest:
     return both[:, 0], both[:, 1]
 
 
-def _pass(rows: DataFrame, most: int, similarity: float, *, listing: bool = False, nearest: int = 1 << 62) -> DataFrame:
-    """(key, w0, w1, node, n, label): pairs as (key, node) with n = -1; with `listing`, rows of crowded keys come back as they are."""
-    columns = ["key", "w0", "w1", "node", "n", "label"]
+def _listed(rows: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(key, w0, w1, node, n): pairs as (key, node) with n = -1; rows of keys with over LISTED members come back as they are."""
+    columns = ["key", "w0", "w1", "node", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, piece in sorted_runs(batches, "key", LISTED if listing else 1 << 62):
-            key, w0, w1, node, n, label = (part.column(c).to_numpy() for c in columns)
+        for part, piece in sorted_runs(batches, "key", LISTED):
             if piece:
                 yield from part.to_batches()
                 continue
-            big = np.zeros(len(key), bool)
-            if listing:
-                _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-                big = count[inverse] > LISTED
-                if big.any():
-                    yield from part.filter(pa.array(big)).to_batches()
-            small = ~big
-            a, b = _pairs_of(key[small].view(np.uint64), [w0[small].view(np.uint64), w1[small].view(np.uint64)], node[small], n[small], label[small], most, similarity, nearest)
+            key = part.column("key").to_numpy()
+            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+            big = count[inverse] > LISTED
+            if big.any():
+                yield from part.filter(pa.array(big)).to_batches()
+            key, w0, w1, node, n = (part.column(c).to_numpy()[~big] for c in columns)
+            a, b = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, most, similarity)
             none = np.zeros(len(a), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, none, none, b, none - 1, none)], columns)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, none, none, b, none - 1)], columns)
 
     dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in columns))
 
 
+def _to_pivots(rows: DataFrame, most: int, similarity: float, turn: int) -> DataFrame:
+    """(a, b, bits): of every row of a key, the nearest of the key's pivots that has another label, at most `most` bits away.
+
+    The pivots are the key's first rows in an order that changes with `turn`; a key's rows pass by in pieces, so its size doesn't matter.
+    """
+    columns = ["key", "w0", "w1", "node", "n", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, pivots = None, np.zeros((6, 0), np.int64)
+        for batch in batches:
+            part = np.stack([batch.column(c).to_numpy() for c in columns])
+            begins = np.flatnonzero(np.append(True, part[0, 1:] != part[0, :-1])) if part.shape[1] else []
+            for a, b in zip(begins, [*begins[1:], part.shape[1]], strict=True):
+                rows = part[:, a:b]
+                if open_key != rows[0, 0]:
+                    open_key, pivots = rows[0, 0], rows[:, :PIVOTS]
+                elif pivots.shape[1] < PIVOTS:
+                    pivots = np.concatenate([pivots, rows[:, : PIVOTS - pivots.shape[1]]], 1)
+                both = np.concatenate([rows, pivots], 1)
+                i, j = np.arange(b - a)[:, None], (b - a) + np.arange(pivots.shape[1])[None, :]
+                other = (both[5][i] != both[5][j]) | (both[5][i] == 0)
+                w0, w1 = both[1].view(np.uint64), both[2].view(np.uint64)
+                bits = np.bitwise_count(w0[i] ^ w0[j]).astype(np.int16) + np.bitwise_count(w1[i] ^ w1[j])
+                bits = np.where(other & _possible(both[4], both[3], i, j, similarity), bits, most + 1)
+                best = bits.argmin(1)
+                bits = bits[np.arange(b - a), best]
+                near = bits <= most
+                x, y = rows[3][near], pivots[3][best[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(bits[near].astype(np.int64))], ["a", "b", "bits"])
+
+    dealt = rows.select(*columns, F.xxhash64("node", F.lit(turn)).alias("turn")).repartition("key").sortWithinPartitions("key", "turn").drop("turn")
+    return dealt.mapInArrow(run, "a long, b long, bits long")
+
+
+def _left(rows: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a key that may be links and have not one label yet, as a join of the rows outside each key's largest label with all its rows."""
+    size = rows.where("label != 0").groupBy("key", "label").count()
+    top = size.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
+    one = rows.join(top, "key", "left").where("top is null or label != top").select("key", *(F.col(c).alias(f"{c}_") for c in ("w0", "w1", "node", "n", "label")))
+    bits = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in ("w0", "w1"))
+    fits = F.least("n", "n_") + 1e-9 >= similarity * F.greatest("n", "n_")
+    met = one.join(rows, "key").where((F.col("node") != F.col("node_")) & ((F.col("label") != F.col("label_")) | (F.col("label") == 0)) & fits & (bits <= most))
+    return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
+
+
 def _expanded(distinct: DataFrame, p: int) -> DataFrame:
     """Every node under all keys of its print p."""
-    columns = ["key", "w0", "w1", "node", "n", "label"]
+    columns = ["key", "w0", "w1", "node", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 w0, w1, node, n = (x.to_numpy() for x in batch.slice(at, 500).columns)
-                keys = (_keys([w0, w1], PARTS, PRINT // PARTS) | (np.uint64(p) << np.uint64(52))).view(np.int64)
+                keys = (_keys([w0, w1], PARTS, WIDTH) | (np.uint64(p) << np.uint64(52))).view(np.int64)
                 each = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(x, each) for x in (w0, w1, node, n)), np.zeros(keys.size, np.int64))], columns)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(x, each) for x in (w0, w1, node, n)))], columns)
 
     return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n").mapInArrow(run, ", ".join(f"{x} long" for x in columns))
 
 
-def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity: float = 0.8, prints: int = 3, most: int = 36, text: str = "text") -> DataFrame:
+def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity: float = 0.8, prints: int = 5, most: int = 36, text: str = "text") -> DataFrame:
     """(key, component) of every row: rows joined, directly or through others, by links of at least this Jaccard similarity of shingle sets.
 
     Rows of equal sets are merged. Candidates are sets of which one of `prints` independent prints of 128 bits differs in at most
-    `most` bits, and in at most one of some 16-bit segment (deletion variants, as in links()); every candidate is then checked on the
-    sets themselves, so that no component holds a false link. In keys of over LISTED members each first tries its nearest partners
-    of other components, round by round; all pairs that are still in different components then follow, so none is left out.
+    `most` bits, and in at most one of some 24-bit segment (deletion variants, as in links()); every candidate is then checked on the
+    sets themselves, so that no component holds a false link. In keys of over LISTED members all are first held against a few pivots,
+    round by round, which joins crowds of near copies; the pairs that are still in different components then follow, so none is left out.
     """
-    spark = rows.sparkSession
     held = materialize(set_prints(rows, shingle=shingle, prints=prints, key=key, text=text), "prints")
     names = [f"w{i}" for i in range(2 * prints)]
     distinct = materialize(held.where("n > 0").groupBy("node").agg(F.min(key).alias(key), *(F.first(c).alias(c) for c in ("n", *names))), "sets")
-    found = []
-    for p in range(prints):
-        found.append(materialize(_pass(_expanded(distinct, p), most, similarity, listing=True), "pairs"))
-        release(spark)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = materialize(_listed(_expanded(distinct, 0), most, similarity), "pairs")
+    for p in range(1, prints):
+        out = out.unionByName(materialize(_listed(_expanded(distinct, p), most, similarity), "pairs"))
     crowded = out.where("n >= 0")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.where("n < 0").select(F.col("key").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+        pairs = materialize(pairs.distinct(), "candidates")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = rows.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(distinct.join(ends, "node", "left_semi").select(F.col(key).alias("__key"), "node"), "__key")
         sets = materialize(_shingles(texts, shingle, "text"), "shingles")
         one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         kept = F.col("common") + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))
-        links = materialize(both.where(kept).select("a", "b"), "verified")
-        release(spark)
-        return links
+        return materialize(both.where(kept).select("a", "b"), "verified")
 
-    edges = verified(out)
+    edges = verified(out.where("n < 0").select(F.col("key").alias("a"), F.col("node").alias("b")))
     parts = materialize(connected_components(edges), "parts")
     if not crowded.isEmpty():
-        for step in range(ROUNDS + 1):
-            labelled = crowded.drop("label").join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
-            last = step == ROUNDS
-            new = verified(materialize(_pass(labelled, most, similarity, **({} if last else {"nearest": NEAREST})), "pairs"))
-            if not new.isEmpty():
-                edges = edges.unionByName(new)
-                parts = materialize(connected_components(edges), "parts")
-            elif not last:  # the nearest are used up: what is left is tried in full
-                labelled = crowded.drop("label").join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
-                edges = edges.unionByName(verified(materialize(_pass(labelled, most, similarity), "pairs")))
-                parts = materialize(connected_components(edges), "parts")
+
+        def labelled() -> DataFrame:
+            return crowded.join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
+
+        for turn in range(ROUNDS):
+            near = _to_pivots(labelled(), most, similarity, turn).groupBy("b").agg(F.min_by("a", "bits").alias("a"))
+            new = verified(near.select("a", "b"))
+            if new.isEmpty():
                 break
+            edges = edges.unionByName(new)
+            parts = materialize(connected_components(edges), "parts")
+        edges = edges.unionByName(verified(_left(materialize(labelled(), "labelled"), most, similarity)))
+        parts = materialize(connected_components(edges), "parts")
     return held.join(parts, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
 
 

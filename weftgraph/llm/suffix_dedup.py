@@ -26,16 +26,14 @@ from weftgraph.storage import materialize
 LENGTH = 100
 ANCHOR = 32
 #: Bytes of stretches that one merge takes, and of one of its shards.
-MERGE_BYTES = 256 << 10
-SHARD_BYTES = 32 << 10
+MERGE_BYTES = 128 << 10
+SHARD_BYTES = 16 << 10
 #: Bytes whose anchors are chosen at a time.
 SKETCH_BYTES = 256 << 10
 #: A group of more distinct stretches than this is dealt out again by a longer text around the anchor, and then window by window.
 CROWDED = 8192
 #: Windows of a stretch that stay together when it is dealt out by a longer text.
 RANGE = 12
-#: Symbols by which a round of the merge moves on.
-STEP = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed odd multiplier, 2^64 over the golden ratio
 
 
@@ -109,31 +107,29 @@ def _stretches(buffer: np.ndarray, offsets: np.ndarray, length: int) -> Iterator
 # ---- Transforms and their merge ------------------------------------------------------------------
 
 
-def _packed(text: np.ndarray, first: int, step: int) -> np.ndarray:
-    """The `step` symbols from `first` places ahead on, of every place of a shard read in a circle, as one number in their order."""
+def _packed(text: np.ndarray, first: int, step: int, bits: int) -> np.ndarray:
+    """The `step` symbols of `bits` bits from `first` places ahead on, of every place of a shard read in a circle, as one number in their order."""
     out = np.zeros(len(text), np.int64)
     for i in range(step):
-        out = out << 16 if text.dtype == np.uint16 else out << 8
-        out |= np.roll(text, -first - i)
+        out = out << np.int64(bits) | np.roll(text, -first - i)
     return out
 
 
-def shard_transform(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order of one shard's symbols (0 ends a string) by prefix doubling; suffixes that agree in `depth` symbols may stand in any order."""
+def shard_transform(text: np.ndarray, depth: int, step: int, bits: int) -> np.ndarray:
+    """Suffix order of one shard's symbols (0 ends a string) by doubling from `step` symbols on; suffixes that agree in `depth` symbols may stand in any order."""
     n = len(text)
-    bits = np.int64(n.bit_length())
-    place = np.arange(n, dtype=np.int64)
-    rank, width = text.astype(np.int64), 1
-    while True:
-        ahead = np.roll(rank, -width)
-        key = np.sort((rank * np.int64(max(n, int(rank.max()) + 1)) + ahead) << bits | place)
-        order = key & ((np.int64(1) << bits) - 1)
-        key >>= bits
-        rank = np.empty(n, np.int64)
+    words = _packed(text, 0, step, bits)
+    order = np.argsort(words)
+    words = words[order]
+    place, wide, rank = np.arange(n, dtype=np.int64), np.int64(n.bit_length()), np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.append(False, words[1:] != words[:-1]))
+    while step < depth and rank[order[-1]] < n - 1:
+        key = np.sort((rank * np.int64(n) + np.roll(rank, -step)) << wide | place)
+        order = key & ((np.int64(1) << wide) - 1)
+        key >>= wide
         rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
-        width *= 2
-        if width >= min(n, depth) or rank[order[-1]] == n - 1:
-            return order
+        step *= 2
+    return order
 
 
 def _stable(key: np.ndarray) -> np.ndarray:
@@ -148,13 +144,16 @@ def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     """Merge shards' BWTs by refining their interleave: (suffix in the shards' concatenation, common), both in merged order.
 
     The interleave says which shard each place of the merged order belongs to. It starts as one block,
-    shard after shard; each round moves every place by the STEP symbols before it, stably, so after k
-    rounds the places are in the order of their suffixes' first k * STEP symbols and a block holds those
-    that share them. No suffix is sorted again. A border between blocks keeps its place once it is there,
-    so the round in which it appears gives `common`: the length of the common prefix with the suffix
-    before, rounded down to whole steps, and `depth` if that many symbols agree.
+    shard after shard; each round moves every place by the symbols before it, as many as fit a word of 63
+    bits, stably, so after k rounds of s symbols the places are in the order of their suffixes' first k * s
+    symbols and a block holds those that share them. No suffix is sorted again. A border between blocks
+    keeps its place once it is there, so the round in which it appears gives `common`: the length of the
+    common prefix with the suffix before, rounded down to whole rounds, and `depth` if that many symbols agree.
     """
-    parts = [shard_transform(x, depth) for x in shards]
+    bits = max(int(x.max()) for x in shards).bit_length()
+    rounds = -(-depth // min(depth, 63 // max(1, bits)))
+    most = -(-depth // rounds)
+    parts = [shard_transform(x, depth, most, bits) for x in shards]
     at = np.cumsum([0, *(len(x) for x in shards)])[:-1]
     suffixes = np.concatenate([order + a for order, a in zip(parts, at, strict=True)])
     kind = np.uint8 if len(shards) < 256 else np.uint16
@@ -165,9 +164,9 @@ def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     common[:1], open_[:1] = 0, False
     done, names_of = 0, {}
     while done < depth:
-        step = min(STEP, depth - done)
+        step = min(most, depth - done)
         if step not in names_of:  # the symbols before each place, in the shards' own orders, under names in their order
-            words = np.concatenate([_packed(x, -step, step)[order] for x, order in zip(shards, parts, strict=True)])
+            words = np.concatenate([_packed(x, -step, step, bits)[order] for x, order in zip(shards, parts, strict=True)])
             used, names = np.unique(words, return_inverse=True)
             names_of[step] = names.astype(np.uint8 if len(used) <= 1 << 8 else np.uint16 if len(used) <= 1 << 16 else np.uint32)
         bwt = names_of[step]
@@ -271,7 +270,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of stretches sorted by anchor, digest and place: those whose anchor stands in another place too. The third and later places of equal stretches are settled."""
 
     def told(rows: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
-        return _batch([rows[2], rows[3], rows[4], settled], ("doc", "start", "n", "settled"))
+        return _batch([rows[0], rows[2], rows[3], rows[4], settled], ("key", "doc", "start", "n", "settled"))
 
     rows, decided = np.zeros((5, 0), np.int64), 0  # the last rows seen: up to two that are decided, and one that isn't
 
@@ -344,18 +343,18 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("wanted")
-            rows = {"doc": [], "start": [], "n": [], "bodies": []}
+            rows = {"key": [], "doc": [], "start": [], "n": [], "bodies": []}
             held = 0
 
             def cut(rows: dict) -> pa.RecordBatch:
-                doc, start, n = (np.concatenate(rows[x]) for x in ("doc", "start", "n"))
-                return _pieces(_anchors(rows["bodies"], length)[0], doc, start, n, rows["bodies"])
+                return _pieces(*(np.concatenate(rows[x]) for x in ("key", "doc", "start", "n")), rows["bodies"])
 
             for i, doc in enumerate(batch.column("doc").to_pylist()):
                 raw = as_bytes(batch.column("text").slice(i, 1))[0]
-                packed = lists[i].values.to_numpy()
+                keys, packed = (lists[i].values.field(x).to_numpy() for x in (0, 1))
                 for a in range(0, len(packed), 10_000):
                     start, n = packed[a : a + 10_000] >> 32, packed[a : a + 10_000] & 0xFFFFFFFF
+                    rows["key"].append(keys[a : a + 10_000])
                     rows["doc"].append(np.full(len(start), doc))
                     rows["start"].append(start)
                     rows["n"].append(n)
@@ -465,10 +464,10 @@ def found_stretches(docs: DataFrame, *, length: int = LENGTH, crowded: int = CRO
     """
     bound_batches(docs.sparkSession)
     sketch = docs.mapInArrow(_sketch(length), ", ".join(f"{x} long" for x in _ONE)).repartition("key").sortWithinPartitions("key", "digest", "doc", "start")
-    found = sketch.mapInArrow(_repeated, "doc long, start long, n long, settled long")
+    found = sketch.mapInArrow(_repeated, "key long, doc long, start long, n long, settled long")
     packed, more = F.shiftleft(F.col("start"), 32) + F.col("n"), F.lit(length - 1)
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.when(F.col("settled") == 0, packed)).alias("wanted"), F.collect_list(F.when(F.col("settled") == 1, packed + more)).alias("spans"))
-    by_doc = materialize(by_doc.mapInArrow(_packed_runs, "doc long, wanted array<long>, spans array<long>"), "anchors")
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.when(F.col("settled") == 0, F.struct("key", packed.alias("place")))).alias("wanted"), F.collect_list(F.when(F.col("settled") == 1, packed + more)).alias("spans"))
+    by_doc = materialize(by_doc.mapInArrow(_packed_runs, "doc long, wanted array<struct<key:long,place:long>>, spans array<long>"), "anchors")
     span = F.explode("spans").alias("span")
     settled = by_doc.select("doc", span).select("doc", F.shiftright("span", 32).alias("start"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF)).alias("end"), F.lit(None).cast("long").alias("shards"))
 
