@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the tables of materialize() lie, for discard().
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir.
 
-    A temporary folder stands in only where the setting is missing, as in local tests.
+    A temporary folder stands in only where the setting is missing and Spark runs in one process, as in local tests.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,16 +40,20 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in written:
+        path = _WRITTEN.pop(df, None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that materialize() wrote, through the file system that holds it."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of stages whose result is already written and that no frame refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
