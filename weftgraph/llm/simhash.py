@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes, bound_batches, sorted_runs, table
 from weftgraph.operators.graph import connected_components
-from weftgraph.storage import materialize
+from weftgraph.storage import discard, materialize
 
 SEED = 42
 #: Fingerprints with one key that are compared in one piece; a key of more is split by finer keys.
@@ -339,57 +339,74 @@ def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.
 
 
 def _listed(rows: DataFrame, most: int, similarity: float) -> DataFrame:
-    """(key, w0, w1, node, n): pairs as (key, node) with n = -1; rows of keys with over LISTED members come back as they are."""
+    """(kind, key, node, bits) of rows that share keys.
+
+    kind 0: a pair (key, node). Of keys with over LISTED members, whose rows pass by in pieces: kind 1, a pair of a row and the
+    nearest of the key's first PIVOTS rows, and kind 2, each (key, node), so that the pairs left out can be found.
+    """
     columns = ["key", "w0", "w1", "node", "n"]
 
+    def out(kind: int, key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (np.full(len(key), kind), key, node, bits)], ["kind", "key", "node", "bits"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = _Pivots(most, similarity)
         for part, piece in sorted_runs(batches, "key", LISTED):
-            if piece:
-                yield from part.to_batches()
-                continue
-            key = part.column("key").to_numpy()
-            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            big = count[inverse] > LISTED
-            if big.any():
-                yield from part.filter(pa.array(big)).to_batches()
-            key, w0, w1, node, n = (part.column(c).to_numpy()[~big] for c in columns)
-            a, b = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, most, similarity)
-            none = np.zeros(len(a), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, none, none, b, none - 1)], columns)
+            rows = np.stack([part.column(c).to_numpy() for c in columns])
+            if not piece:
+                _, inverse, count = np.unique(rows[0], return_inverse=True, return_counts=True)
+                big = count[inverse] > LISTED
+                key, w0, w1, node, n = rows[:, ~big]
+                a, b = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, most, similarity)
+                yield out(0, a, b, np.zeros(len(a)))
+                rows = rows[:, big]
+            if rows.shape[1]:
+                yield out(2, rows[0], rows[3], np.zeros(rows.shape[1]))
+                for a, b, bits in pivots.pairs(np.concatenate([rows, np.zeros((1, rows.shape[1]), np.int64)])):
+                    yield out(1, a, b, bits)
 
     dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in columns))
+    return dealt.mapInArrow(run, "kind long, key long, node long, bits long")
+
+
+class _Pivots:
+    """Holds the rows of sorted keys (key, w0, w1, node, n, label), coming in pieces, against their key's first PIVOTS rows."""
+
+    def __init__(self, most: int, similarity: float):
+        self.most, self.similarity = most, similarity
+        self.key, self.pivots = None, np.zeros((6, 0), np.int64)
+
+    def pairs(self, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(lesser node, greater node, bits) of every row and its nearest pivot of another label, at most `most` bits away."""
+        begins = np.flatnonzero(np.append(True, part[0, 1:] != part[0, :-1])) if part.shape[1] else []
+        for a, b in zip(begins, [*begins[1:], part.shape[1]], strict=True):
+            rows = part[:, a:b]
+            if self.key != rows[0, 0]:
+                self.key, self.pivots = rows[0, 0], rows[:, :PIVOTS]
+            elif self.pivots.shape[1] < PIVOTS:
+                self.pivots = np.concatenate([self.pivots, rows[:, : PIVOTS - self.pivots.shape[1]]], 1)
+            both = np.concatenate([rows, self.pivots], 1)
+            i, j = np.arange(b - a)[:, None], (b - a) + np.arange(self.pivots.shape[1])[None, :]
+            other = (both[5][i] != both[5][j]) | (both[5][i] == 0)
+            w0, w1 = both[1].view(np.uint64), both[2].view(np.uint64)
+            bits = np.bitwise_count(w0[i] ^ w0[j]).astype(np.int16) + np.bitwise_count(w1[i] ^ w1[j])
+            bits = np.where(other & _possible(both[4], both[3], i, j, self.similarity), bits, self.most + 1)
+            best = bits.argmin(1)
+            bits = bits[np.arange(b - a), best]
+            near = bits <= self.most
+            x, y = rows[3][near], self.pivots[3][best[near]]
+            yield np.minimum(x, y), np.maximum(x, y), bits[near].astype(np.int64)
 
 
 def _to_pivots(rows: DataFrame, most: int, similarity: float, turn: int) -> DataFrame:
-    """(a, b, bits): of every row of a key, the nearest of the key's pivots that has another label, at most `most` bits away.
-
-    The pivots are the key's first rows in an order that changes with `turn`; a key's rows pass by in pieces, so its size doesn't matter.
-    """
+    """(a, b, bits): of every row of a key, the nearest of the key's pivots that has another label. The pivots change with `turn`."""
     columns = ["key", "w0", "w1", "node", "n", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, pivots = None, np.zeros((6, 0), np.int64)
+        pivots = _Pivots(most, similarity)
         for batch in batches:
-            part = np.stack([batch.column(c).to_numpy() for c in columns])
-            begins = np.flatnonzero(np.append(True, part[0, 1:] != part[0, :-1])) if part.shape[1] else []
-            for a, b in zip(begins, [*begins[1:], part.shape[1]], strict=True):
-                rows = part[:, a:b]
-                if open_key != rows[0, 0]:
-                    open_key, pivots = rows[0, 0], rows[:, :PIVOTS]
-                elif pivots.shape[1] < PIVOTS:
-                    pivots = np.concatenate([pivots, rows[:, : PIVOTS - pivots.shape[1]]], 1)
-                both = np.concatenate([rows, pivots], 1)
-                i, j = np.arange(b - a)[:, None], (b - a) + np.arange(pivots.shape[1])[None, :]
-                other = (both[5][i] != both[5][j]) | (both[5][i] == 0)
-                w0, w1 = both[1].view(np.uint64), both[2].view(np.uint64)
-                bits = np.bitwise_count(w0[i] ^ w0[j]).astype(np.int16) + np.bitwise_count(w1[i] ^ w1[j])
-                bits = np.where(other & _possible(both[4], both[3], i, j, similarity), bits, most + 1)
-                best = bits.argmin(1)
-                bits = bits[np.arange(b - a), best]
-                near = bits <= most
-                x, y = rows[3][near], pivots[3][best[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(bits[near].astype(np.int64))], ["a", "b", "bits"])
+            for found in pivots.pairs(np.stack([batch.column(c).to_numpy() for c in columns])):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "bits"])
 
     dealt = rows.select(*columns, F.xxhash64("node", F.lit(turn)).alias("turn")).repartition("key").sortWithinPartitions("key", "turn").drop("turn")
     return dealt.mapInArrow(run, "a long, b long, bits long")
@@ -432,10 +449,10 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     held = materialize(set_prints(rows, shingle=shingle, prints=prints, key=key, text=text), "prints")
     names = [f"w{i}" for i in range(2 * prints)]
     distinct = materialize(held.where("n > 0").groupBy("node").agg(F.min(key).alias(key), *(F.first(c).alias(c) for c in ("n", *names))), "sets")
-    out = materialize(_listed(_expanded(distinct, 0), most, similarity), "pairs")
-    for p in range(1, prints):
-        out = out.unionByName(materialize(_listed(_expanded(distinct, p), most, similarity), "pairs"))
-    crowded = out.where("n >= 0")
+    passes = [materialize(_listed(_expanded(distinct, p), most, similarity), "pairs") for p in range(prints)]
+    out = passes[0]
+    for more in passes[1:]:
+        out = out.unionByName(more)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "candidates")
@@ -445,23 +462,41 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
         one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         kept = F.col("common") + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))
-        return materialize(both.where(kept).select("a", "b"), "verified")
+        links = materialize(both.where(kept).select("a", "b"), "verified")
+        discard(pairs, sets)
+        return links
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b")
 
-    edges = verified(out.where("n < 0").select(F.col("key").alias("a"), F.col("node").alias("b")))
+    listed = out.where("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    edges = verified(listed.unionByName(nearest(out.where("kind = 1").select(F.col("key").alias("a"), F.col("node").alias("b"), "bits"))))
     parts = materialize(connected_components(edges), "parts")
-    if not crowded.isEmpty():
-
-        def labelled() -> DataFrame:
-            return crowded.join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
-
-        for turn in range(ROUNDS):
-            near = _to_pivots(labelled(), most, similarity, turn).groupBy("b").agg(F.min_by("a", "bits").alias("a"))
-            new = verified(near.select("a", "b"))
-            if new.isEmpty():
-                break
-            edges = edges.unionByName(new)
-            parts = materialize(connected_components(edges), "parts")
-        edges = edges.unionByName(verified(_left(materialize(labelled(), "labelled"), most, similarity)))
+    # of every set in a crowded key: its keys, at most PARTS * (WIDTH + 1) for each print
+    crowded = materialize(out.where("kind = 2").groupBy("node").agg(F.collect_list("key").alias("keys")), "crowded")
+    discard(*passes)
+
+    def mixed() -> DataFrame:
+        """Rows of the crowded keys whose members aren't all joined yet."""
+        held_keys = crowded.join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"]).select("node", "label", F.explode("keys").alias("key"))
+        open_ = held_keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high or low = 0").select("key")
+        met = materialize(held_keys.join(open_, "key", "left_semi"), "mixed")
+        p = F.shiftright("key", 52)
+        words = [F.element_at(F.array(*(F.col(f"w{2 * i + j}") for i in range(prints))), (p + 1).cast("int")).alias(f"w{j}") for j in (0, 1)]
+        return materialize(met.join(distinct.select("node", "n", *names), "node").select("key", *words, "node", "n", "label"), "mixed")
+
+    left = mixed()
+    for turn in range(ROUNDS):
+        if left.isEmpty():
+            break
+        new = verified(nearest(_to_pivots(left, most, similarity, turn)))
+        if new.isEmpty():
+            break
+        edges = edges.unionByName(new)
+        parts = materialize(connected_components(edges), "parts")
+        left = mixed()
+    if not left.isEmpty():
+        edges = edges.unionByName(verified(_left(left, most, similarity)))
         parts = materialize(connected_components(edges), "parts")
     return held.join(parts, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
 
