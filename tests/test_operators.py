@@ -69,7 +69,7 @@ def test_streaks_and_alignment_methods(spark):
     pairs = [(300, 200), (301, 201), (302, 202), (305, 206), (306, 207), (320, 250), (321, 251), (322, 252), (323, 253)]
     df = spark.createDataFrame([(0, 1, a, b, 400, 400) for a, b in pairs], "r0 long, r1 long, o0 int, o1 int, n0 long, n1 long")
     found = A.streaks(df)
-    assert [(r.skip0, r.skip1, r.n) for r in found.orderBy("idx").collect()] == [(300, 200, 3), (2, 3, 2), (13, 42, 4)]
+    assert [(r.skip0, r.skip1, r.n) for r in found.orderBy("idx").collect()] == [(300, 200, 3), (3, 4, 2), (14, 43, 4)]  # the worked example of the format
     assert sorted((r.o0, r.o1) for r in A.from_streaks(found).collect()) == pairs
     rng = random.Random(3)
     a = [rng.randrange(1000) for _ in range(120)]
@@ -82,6 +82,44 @@ def test_streaks_and_alignment_methods(spark):
     assert A.align_global([1, 2, 3], [7, 8]) == []
 
 
+def _full_matrix(a, b, options, band):
+    """The score of the best alignment within a band, from the whole matrix."""
+    none, (lo, hi) = -(10**9), band
+    score = [[none] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if lo <= i - j <= hi:
+                ways = [0] if i == 0 or j == 0 else []
+                if i and j:
+                    ways += [score[i - 1][j - 1] + (options.match if a[i - 1] == b[j - 1] else options.mismatch), score[i - 1][j] + options.gap, score[i][j - 1] + options.gap]
+                score[i][j] = max(ways)
+    return max([r[-1] for r in score] + score[-1])
+
+
+def test_banded_alignment_equals_the_whole_matrix():
+    rng = random.Random(5)
+    options = A.AlignOptions()
+    for _ in range(150):
+        a = [rng.randrange(6) for _ in range(rng.randrange(1, 30))]
+        b = [x for x in a if rng.random() > 0.2] + [rng.randrange(6) for _ in range(rng.randrange(1, 12))]
+        lo = rng.randrange(-20, 20)
+        band = (lo, lo + rng.randrange(0, 25))
+        want = _full_matrix(a, b, options, band)
+        got = A.align_global(a, b, options, band)
+        if want <= 0:
+            assert got == []
+            continue
+        assert all(a[i] == b[j] and lo <= i - j <= band[1] for i, j in got)
+        total, last = 0, None
+        for i, j in got:
+            if last:
+                d0, d1 = i - last[0] - 1, j - last[1] - 1
+                total += min(d0, d1) * options.mismatch + abs(d0 - d1) * options.gap
+            total += options.match
+            last = (i, j)
+        assert total >= want  # what lies before the first match costs no less than nothing
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(5, 5)]

@@ -136,23 +136,26 @@ def reversed_strands(chains: DataFrame) -> DataFrame:
 
 
 def streaks(chains: DataFrame) -> DataFrame:
-    """Diagonal streaks (r0, r1, idx, skip0, skip1, n): maximal runs in which both ordinals go up by one."""
+    """Diagonal streaks (r0, r1, idx, skip0, skip1, n): maximal runs in which both ordinals go up by one.
+
+    Skips count from the last pair of the streak before, from 0 for the first.
+    """
     order = Window.partitionBy("r0", "r1").orderBy("o0")
     steps = chains.withColumns({"d0": F.col("o0") - F.lag("o0").over(order), "d1": F.col("o1") - F.lag("o1").over(order)})
     opens = (F.col("d0").isNull() | (F.col("d0") != 1) | (F.col("d1") != 1)).cast("int")
     numbered = steps.withColumn("idx", (F.sum(opens).over(order) - 1).cast("int"))
     runs = numbered.groupBy("r0", "r1", "idx").agg(F.min("o0").alias("a0"), F.min("o1").alias("a1"), F.max("o0").alias("b0"), F.max("o1").alias("b1"), F.count("*").alias("n"))
     by = Window.partitionBy("r0", "r1").orderBy("idx")
-    skip = lambda a, b: (F.col(a) - F.coalesce(F.lag(b).over(by) + 1, F.lit(0))).cast("int")
+    skip = lambda a, b: (F.col(a) - F.coalesce(F.lag(b).over(by), F.lit(0))).cast("int")
     return runs.select("r0", "r1", "idx", skip("a0", "b0").alias("skip0"), skip("a1", "b1").alias("skip1"), "n")
 
 
 def from_streaks(found: DataFrame) -> DataFrame:
     """The pairs (r0, r1, o0, o1) of streaks()."""
     by = Window.partitionBy("r0", "r1").orderBy("idx")
-    placed = found.withColumns({"e0": F.sum(F.col("skip0") + F.col("n")).over(by), "e1": F.sum(F.col("skip1") + F.col("n")).over(by)})
+    placed = found.withColumns({"e0": F.sum(F.col("skip0") + F.col("n") - 1).over(by), "e1": F.sum(F.col("skip1") + F.col("n") - 1).over(by)})
     return placed.select("r0", "r1", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"), "e0", "e1", "n").select(
-        "r0", "r1", (F.col("e0") - F.col("n") + F.col("i") - 1).cast("int").alias("o0"), (F.col("e1") - F.col("n") + F.col("i") - 1).cast("int").alias("o1")
+        "r0", "r1", (F.col("e0") - F.col("n") + F.col("i")).cast("int").alias("o0"), (F.col("e1") - F.col("n") + F.col("i")).cast("int").alias("o1")
     )
 
 
@@ -204,7 +207,10 @@ def align_shortest_path(a: list, b: list, options: AlignOptions = AlignOptions()
 
 
 def align_global(a: list, b: list, options: AlignOptions = AlignOptions(), band: tuple[int, int] | None = None) -> Pairs:
-    """A3, method 1, and the banded step of 3 and 4: global alignment with free end gaps; band bounds i - j."""
+    """A3, method 1, and the banded step of 3 and 4: global alignment with free end gaps; band bounds i - j.
+
+    Only the band's columns of a row are filled and kept.
+    """
     codes = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([codes[v] for v in a], np.int64), np.array([codes[v] for v in b], np.int64)
     n, m = len(x), len(y)
@@ -212,30 +218,34 @@ def align_global(a: list, b: list, options: AlignOptions = AlignOptions(), band:
         return []
     none = -(1 << 40)
     lo, hi = band if band else (-m, n)
-    score = np.zeros(m + 1, np.int64)
-    score[[not lo <= -j <= hi for j in range(m + 1)]] = none
-    moves = np.zeros((n + 1, m + 1), np.int8)
-    cols = np.arange(1, m + 1)
-    edge: list[int] = [int(score[m])]
-    for i in range(1, n + 1):
-        ok = (lo <= i - cols) & (i - cols <= hi)
-        diagonal = score[:-1] + np.where(y == x[i - 1], options.match, options.mismatch)
-        up = score[1:] + options.gap
-        new = np.where(ok, np.maximum(diagonal, up), none)
-        start = 0 if lo <= i <= hi else none
+    score = np.full(m + 1, none, np.int64)
+    score[max(0, -hi) : max(0, min(m, -lo) + 1)] = 0
+    gaps = options.gap * np.arange(m + 2)
+    moves: dict[int, tuple[int, np.ndarray]] = {}
+    best, i, j = int(score[m]), 0, m
+    for row in range(max(1, lo), min(n, m + hi) + 1):
+        left, right = max(0, row - hi), min(m, row - lo)
+        begin = max(1, left)
+        new = np.empty(max(0, right - begin + 1) + 1, np.int64)  # from the column before `begin` on
+        new[0] = 0 if left == 0 else none
+        diagonal = score[begin - 1 : right] + np.where(y[begin - 1 : right] == x[row - 1], options.match, options.mismatch)
+        up = score[begin : right + 1] + options.gap
+        new[1:] = np.maximum(diagonal, up)
         # a gap in a: the best of all earlier columns, less a gap each
-        chain = np.maximum.accumulate(np.concatenate([[start], new]) - options.gap * np.arange(m + 1)) + options.gap * np.arange(m + 1)
-        row = np.concatenate([[start], np.where(ok, chain[1:], none)])
-        moves[i, 1:] = np.where(row[1:] == diagonal, 1, np.where(row[1:] == up, 2, 3))
-        score = row
-        edge.append(int(row[m]))
-    ends = [(int(v), n, j) for j, v in enumerate(score)] + [(v, i, m) for i, v in enumerate(edge)]
-    best, i, j = max(ends, key=lambda e: (e[0], e[1], e[2]))
+        new = np.maximum.accumulate(new - gaps[: len(new)]) + gaps[: len(new)]
+        moves[row] = (begin, np.where(new[1:] == diagonal, np.int8(1), np.where(new[1:] == up, np.int8(2), np.int8(3))))
+        score[begin - 1 : right + 1] = new
+        if right == m:
+            best, i, j = max((best, i, j), (int(score[m]), row, m))
+    if lo <= n and n - hi <= m:
+        for column in range(max(0, n - hi), min(m, n - lo) + 1):
+            best, i, j = max((best, i, j), (int(score[column]), n, column))
     if best <= 0:
         return []
     out = []
     while i > 0 and j > 0:
-        move = moves[i, j]
+        begin, row_moves = moves[i]
+        move = row_moves[j - begin]
         if move == 1:
             if x[i - 1] == y[j - 1]:
                 out.append((i - 1, j - 1))
@@ -307,7 +317,8 @@ def align_cells(a: list, b: list, options: AlignOptions = AlignOptions()) -> Pai
         return seen
 
     active = reach([c for c in cells if starts(c)], 1) & reach([c for c in cells if ends(c)], -1)
-    best: Pairs = []
+    offsets = np.sort(np.array([i - j for i, x in enumerate(a) for j in at.get(x, ())], np.int64))
+    bands = []
     while active:
         part, todo = set(), [min(active)]
         while todo:
@@ -317,11 +328,19 @@ def align_cells(a: list, b: list, options: AlignOptions = AlignOptions()) -> Pai
                 part.add(c)
                 todo += [(c[0] + dx, c[1] + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
         lo, hi = min(corner(c)[2] for c in part), max(corner(c)[3] for c in part)
-        if hi - lo > options.max_band:
-            continue
+        if hi - lo <= options.max_band:
+            common = int(np.searchsorted(offsets, hi, "right") - np.searchsorted(offsets, lo))
+            bands.append((-common, len(bands), lo, hi))
+    best: Pairs = []
+    first = -1
+    for common, k, lo, hi in sorted(bands):  # a band can't align more markers than it holds common pairs
+        if -common < len(best):
+            break
         found = align_global(a, b, options, (lo, hi))
-        if found and max(max(q[0] - p[0], q[1] - p[1]) for p, q in zip(found, found[1:] or found, strict=False)) <= options.max_skip and len(found) > len(best):
-            best = found
+        if not found or max(max(q[0] - p[0], q[1] - p[1]) for p, q in zip(found, found[1:] or found, strict=False)) > options.max_skip:
+            continue
+        if len(found) > len(best) or len(found) == len(best) and k < first:  # of equal ones the first component's
+            best, first = found, k
     return best
 
 

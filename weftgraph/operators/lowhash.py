@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import small_enough
-from weftgraph.operators.kmers import HASH_RANGE, stable_hash
-from weftgraph.storage import materialize
+from weftgraph.operators.kmers import stable_hash
+from weftgraph.storage import materialize, small_enough
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,29 @@ def features(markers: DataFrame, m: int) -> DataFrame:
 
 def low_hashes(feats: DataFrame, options: LowHashOptions, iterations: list[int] | None = None) -> DataFrame:
     """(iteration, oriented_id, ordinal, feature, hash) of features whose hash, salted by iteration, is low."""
-    salted = feats.withColumn("iteration", F.explode(F.array(*(F.lit(i) for i in (iterations or range(options.iterations))))))
-    hashed = salted.withColumn("hash", stable_hash(F.concat(F.col("iteration").cast("string"), F.lit("|"), F.col("feature"))))
-    return hashed.where(F.col("hash") < int(options.hash_fraction * HASH_RANGE))
+    turns = list(range(options.iterations)) if iterations is None else iterations
+    low = is_low("feature", options, lambda i: F.array(*(F.lit(x) for x in turns if x // TURNS == i)), sorted({x // TURNS for x in turns}))
+    found = feats.withColumn("iteration", F.explode(low))
+    return found.select("iteration", "oriented_id", "ordinal", "feature", stable_hash(F.col("feature")).alias("hash"))
+
+
+#: Iterations that share a feature's digest, and the range of the numbers drawn from it.
+TURNS, DRAWS = 1000, 16**13
+
+
+def is_low(feature: str, options: LowHashOptions, turns: Callable[[int], Column], blocks: list[int]) -> Column:
+    """The iterations, of turns(block) for each of `blocks`, in which a feature's hash is low.
+
+    A feature has one digest for TURNS iterations: iteration i draws first + i * second of its two numbers of 52 bits, so only
+    iterations that keep a feature become rows.
+    """
+    found = []
+    for block in blocks:
+        digest = F.md5((F.concat(F.lit(f"{block}|"), F.col(feature)) if block else F.col(feature)).cast("binary"))
+        first, second = (F.conv(F.substring(digest, at, 13), 16, 10).cast("long") for at in (1, 14))
+        drawn = F.filter(turns(block), lambda i: (first + (i % TURNS) * second) % DRAWS < int(options.hash_fraction * DRAWS))  # noqa: B023
+        found.append(drawn)
+    return F.concat(*found) if len(found) > 1 else found[0]
 
 
 def bucket_sizes(hashes: DataFrame) -> DataFrame:
@@ -72,7 +92,7 @@ def _pairs(hashes: DataFrame, options: LowHashOptions, stranded: bool) -> DataFr
 
 def candidates(markers: DataFrame, options: LowHashOptions = LowHashOptions(), *, stranded: bool = False) -> DataFrame:
     """(r0, r1, same_strand, hits) of read pairs that share at least min_frequency low hashes over all iterations."""
-    hashes = low_hashes(features(markers, options.m), options)
+    hashes = materialize(low_hashes(features(markers, options.m), options), "low")
     pairs = _pairs(hashes, options, stranded)
     return pairs.groupBy("r0", "r1", "same_strand").agg(F.count("*").alias("hits")).where(F.col("hits") >= options.min_frequency)
 
@@ -117,7 +137,7 @@ def bucket_histogram(markers: DataFrame, options: LowHashOptions = LowHashOption
 
 def read_statistics(markers: DataFrame, options: LowHashOptions = LowHashOptions()) -> DataFrame:
     """Per read, its low hashes in sparse, good and crowded buckets."""
-    hashes = low_hashes(features(markers, options.m), options)
+    hashes = materialize(low_hashes(features(markers, options.m), options), "low")
     joined = hashes.join(bucket_sizes(hashes), ["iteration", "hash"])
     least = max(2, options.min_bucket)
     return joined.groupBy("oriented_id").agg(
@@ -131,8 +151,7 @@ def common_features(markers: DataFrame, options: LowHashOptions = LowHashOptions
 
     Buckets hold equal features, not equal hashes alone.
     """
-    hashes = low_hashes(features(markers, options.m), options)
-    hashes = hashes.withColumn("hash", F.col("feature"))
+    hashes = materialize(low_hashes(features(markers, options.m), options).withColumn("hash", F.col("feature")), "low")
     found = _pairs(hashes, options, stranded).select("r0", "r1", "same_strand", "o0", "o1").distinct()
     counts = found.groupBy("r0", "r1", "same_strand").agg(F.count("*").alias("features")).where(F.col("features") >= options.min_frequency)
     return found.join(counts, ["r0", "r1", "same_strand"])

@@ -9,7 +9,7 @@ from weftgraph.operators import alignment as A
 from weftgraph.operators import lowhash as L
 from weftgraph.operators import read_graph as R
 from weftgraph.operators.graph import connected_components
-from weftgraph.plans.common import WORDS, sql_hash, table
+from weftgraph.plans.common import WORDS, table
 from weftgraph.storage import materialize
 
 OPTIONS = L.LowHashOptions(hash_fraction=0.02, iterations=10, max_bucket=10, min_frequency=2)
@@ -125,8 +125,10 @@ _LOW = WORDS + f""", grams AS (
   SELECT oriented_id, ordinal, kmer || ' ' || lead(kmer, 1) OVER w || ' ' || lead(kmer, 2) OVER w || ' ' || lead(kmer, 3) OVER w AS feature FROM words WINDOW w AS (PARTITION BY oriented_id ORDER BY ordinal)
 ),
 low AS (
-  SELECT * FROM (SELECT CAST(iteration AS INTEGER) AS iteration, oriented_id, ordinal, feature, {sql_hash("iteration || '|' || feature")} AS hash FROM grams, range({OPTIONS.iterations}) t(iteration) WHERE feature IS NOT NULL)
-  WHERE hash < {int(OPTIONS.hash_fraction * 16**15)}
+  SELECT CAST(iteration AS INTEGER) AS iteration, oriented_id, ordinal, feature, hash
+  FROM (SELECT *, CAST('0x' || substr(d, 1, 15) AS BIGINT) AS hash, CAST('0x' || substr(d, 1, 13) AS BIGINT) AS h, CAST('0x' || substr(d, 14, 13) AS BIGINT) AS g FROM (SELECT *, md5(feature) AS d FROM grams WHERE feature IS NOT NULL)),
+    range({OPTIONS.iterations}) t(iteration)
+  WHERE (h + iteration * g) % {L.DRAWS} < {int(OPTIONS.hash_fraction * L.DRAWS)}
 ),
 sizes AS (SELECT iteration, hash, count(*) AS size FROM low GROUP BY 1, 2)"""
 _CAND = _LOW + f""", used AS (SELECT low.* FROM low JOIN sizes USING (iteration, hash) WHERE size BETWEEN 2 AND {OPTIONS.max_bucket}),
@@ -197,7 +199,7 @@ SELECT r0, r1, CASE WHEN l0 <= {TRIM} AND q0 <= {TRIM} AND l1 <= {TRIM} AND q1 <
     "alignment_filter": f"WITH {_INFO} SELECT r0, r1, markers FROM info WHERE markers >= 5 AND fraction >= 0 AND left_trim <= 200 AND right_trim <= 200 AND max_skip <= 30 AND max_drift <= 30",
     "alignment_streaks": f"""WITH {_CHAIN}, o AS (SELECT *, sum(CASE WHEN d0 = 1 AND d1 = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY r0, r1 ORDER BY o0) - 1 AS idx FROM steps),
 s AS (SELECT r0, r1, idx, min(o0) AS a0, min(o1) AS a1, max(o0) AS b0, max(o1) AS b1, count(*) AS n FROM o GROUP BY 1, 2, 3)
-SELECT r0, r1, CAST(idx AS INTEGER) AS idx, CAST(a0 - coalesce(lag(b0) OVER w + 1, 0) AS INTEGER) AS skip0, CAST(a1 - coalesce(lag(b1) OVER w + 1, 0) AS INTEGER) AS skip1, n FROM s WINDOW w AS (PARTITION BY r0, r1 ORDER BY idx)""",
+SELECT r0, r1, CAST(idx AS INTEGER) AS idx, CAST(a0 - coalesce(lag(b0) OVER w, 0) AS INTEGER) AS skip0, CAST(a1 - coalesce(lag(b1) OVER w, 0) AS INTEGER) AS skip1, n FROM s WINDOW w AS (PARTITION BY r0, r1 ORDER BY idx)""",
     "alignment_streaks_round_trip": f"WITH {_CHAIN} SELECT r0, r1, count(*) AS n, CAST(sum(o0 * o1) AS BIGINT) AS checksum FROM chain GROUP BY 1, 2",
     "alignment_matrix": f"WITH {_COMMON} SELECT r0, r1, CAST(floor((o0 - o1) / 50.0) * 50 AS BIGINT) AS \"offset\", count(*) AS n FROM common GROUP BY 1, 2, 3",
     "alignment_swapped": f"WITH {_INFO} SELECT r1 AS r0, r0 AS r1, first1 AS first0, last1 AS last0, first0 AS first1, last0 AS last1 FROM info",
