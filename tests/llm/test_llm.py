@@ -34,7 +34,7 @@ def test_token_counts_equal_the_library(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    bodies = [*texts(40), None, "", " ", "  a  b \n c", "a <|endoftext|> b", "word, word. 's it's\n\nX", "naïve café ñandú", "日本語 テスト  x", "x" * 30_000, "a  b", *texts(3), *texts(3)]
+    bodies = [*texts(40), None, "", " ", "  a  b \n c", "a <|endoftext|> b", "word, word. 's it's\n\nX", "naïve café ñandú", "日本語 テスト  x", "x" * 30_000, "a  b", "a \0b", "\0b a", "\0", " <|endoftext|>word" * 60_000, *texts(3), *texts(3)]
     df = docs_of(spark, list(enumerate(bodies)))
     cache = f"file://{tmp_path}/cache"
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.cached_token_counts(df, path, cache).collect()}
@@ -260,7 +260,7 @@ def test_mix_hits_targets(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, None if s == 4 else f"s{s}", int(n)) for i, (s, n) in enumerate(zip(rng.choice(5, 900, p=[0.5, 0.2, 0.2, 0.05, 0.05]), rng.integers(0, 200, 900), strict=True))]
     rows += [(1, rows[1][1], rows[1][2]), (5000, "empty", 0), (None, "s1", None)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumns({x: F.lit("x") for x in ("target", "order", "base", "share", "left", "n_docs", "flight", "__source")})
     first = mixing.mix(df.repartition(3)).collect()
     assert sorted((str(r.doc_id), r.size, r.copies) for r in first) == sorted((str(r.doc_id), r.size, r.copies) for r in mixing.mix(df.repartition(7)).collect())
     sums = Counter()
@@ -296,7 +296,7 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BYTES", 200)
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(330)]
-    rows += [(400, None), (500, [1.0, None, 2.0, 3.0, 4.0]), (600, [float("nan")] * 5), (None, [1.0] * 5), (700, [1.0, 2.0]), (701, [1.0, 2.0]), (800, rows[100][1]), (801, rows[100][1]), (802, rows[100][1]), rows[200], (900, [1e20, 1.0, 1.0, 1.0, 1.0])]
+    rows += [(400, None), (500, [1.0, None, 2.0, 3.0, 4.0]), (600, [float("nan")] * 5), (None, [1.0] * 5), (700, [1.0, 2.0]), (701, [1.0, 2.0]), (800, rows[100][1]), (801, rows[100][1]), (802, rows[100][1]), rows[200], (900, [1e20, 1.0, 1.0, 1.0, 1.0]), (1000, [None, 1.0, 1.0, 1.0, 1.0]), (1000, [0.5] * 5), (1000, [float("nan"), 1.0, 1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).repartition(5)
     vectors = {}
     for i, v in rows:

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftgraph.shipping import ship
+from weftgraph.storage import small_enough
+
+__all__ = ["as_bytes", "bound_batches", "small_enough", "sorted_runs", "table", "text_buffer"]
 
 #: Rows and bytes of one Arrow batch: a Python worker holds a few batches at a time, whatever the texts' lengths.
 BATCH_ROWS = 2000
@@ -23,15 +25,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-#: Bytes of a table that may be sent to every executor; beyond them it is joined by a shuffle.
-SMALL_BYTES = 24 << 20
-
-
-def small_enough(df: DataFrame, row_bytes: int) -> DataFrame:
-    """`df`, marked for broadcast only if its counted rows of about `row_bytes` stay within SMALL_BYTES."""
-    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

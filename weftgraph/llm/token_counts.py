@@ -103,7 +103,7 @@ class _Counter:
             return self.encode(texts)
         memo, cut, out, whole = self.memo, [], [0] * len(texts), []
         for i, text in enumerate(texts):
-            if any(x in text for x in self.special):
+            if "\0" in text or any(x in text for x in self.special):  # NUL marks a first piece
                 whole.append(i)
                 cut.append([])
                 continue

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.llm.common import bound_batches, table
+from weftgraph.storage import materialize
 
 #: Queries sent to the executors at a time, in bytes of their vectors; more queries take more rounds.
 QUERY_BYTES = 8 << 20
@@ -100,19 +101,23 @@ def exact_topk(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int
     Queries are the rows of `is_query`; a query is compared with every row but those of its own id, ties
     go to the smaller id. Queries reach the executors in rounds of QUERY_BYTES; in a round every task
     multiplies tiles of its rows with tiles of the queries, keeps k rows a query and tile, and the
-    tasks' lists merge in a tree. Nothing but top lists is shuffled. Vectors that are null or hold a null, NaN
+    tasks' lists merge in a tree and are written, before the next round begins. Nothing but top lists is shuffled. Vectors that are null or hold a null, NaN
     or infinity, rows without an id, and vectors of another length than the query's play no part; of rows that repeat an id with
     another vector, each counts and an id's best score stands once. Fewer rows than k give as many
     ranks as there are. Scores beyond 64 bits stop at the ends of a long.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    queries = vectors.where(is_query).select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+    named = (F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = vectors.select(*named).where("id is not null and v is not null")
+    queries = vectors.where(is_query).select(*named).where("id is not null and v is not null").where(finite)
     found: DataFrame | None = None
     for ids, values in _rounds(queries):
-        lists = rows.withColumn("part", F.spark_partition_id()).mapInArrow(_searcher(spark.sparkContext.broadcast((ids, values)), k, scale), f"part int, {RESULT}")
-        part = _merged(lists, rows.rdd.getNumPartitions(), k)
+        shared = spark.sparkContext.broadcast((ids, values))
+        lists = rows.withColumn("part", F.spark_partition_id()).mapInArrow(_searcher(shared, k, scale), f"part int, {RESULT}")
+        part = materialize(_merged(lists, rows.rdd.getNumPartitions(), k), "top")
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
