@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,8 +31,18 @@ def word_markers(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("oriented_id"), F.posexplode(words).alias("ordinal", "kmer"))
 
 
+def word_features(docs: DataFrame, m: int) -> DataFrame:
+    """features() of word_markers(), cut within each document's row, so that no word is shuffled."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    rows = docs.select(F.col("doc_id").alias("oriented_id"), words.alias("words")).where(F.size("words") >= m)
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - m + 1), lambda i: F.array_join(F.slice("words", i, m), " "))
+    return rows.select("oriented_id", F.posexplode(grams).alias("ordinal", "feature"))
+
+
 def features(markers: DataFrame, m: int) -> DataFrame:
-    """(oriented_id, ordinal, feature): every m consecutive markers, joined by spaces."""
+    """(oriented_id, ordinal, feature): every m consecutive markers, joined by spaces. Rows that have a feature pass through."""
+    if "feature" in markers.columns:
+        return markers
     order = Window.partitionBy("oriented_id").orderBy("ordinal")
     parts = [F.col("kmer"), *(F.lead("kmer", i).over(order) for i in range(1, m))]
     found = markers.select("oriented_id", "ordinal", F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts)).alias("feature"))
@@ -41,10 +50,20 @@ def features(markers: DataFrame, m: int) -> DataFrame:
 
 
 def low_hashes(feats: DataFrame, options: LowHashOptions, iterations: list[int] | None = None) -> DataFrame:
-    """(iteration, oriented_id, ordinal, feature, hash) of features whose hash, salted by iteration, is low."""
+    """(iteration, oriented_id, ordinal, feature, hash) of features that are low in an iteration.
+
+    A feature has one digest for TURNS iterations: iteration i draws first + i * second of the digest's two numbers of 52 bits,
+    so only iterations that keep a feature become rows.
+    """
     turns = list(range(options.iterations)) if iterations is None else iterations
-    low = is_low("feature", options, lambda i: F.array(*(F.lit(x) for x in turns if x // TURNS == i)), sorted({x // TURNS for x in turns}))
-    found = feats.withColumn("iteration", F.explode(low))
+    low = []
+    for block in sorted({x // TURNS for x in turns}):
+        digest = F.md5((F.concat(F.lit(f"{block}|"), F.col("feature")) if block else F.col("feature")).cast("binary"))
+        # an array of one struct, so that the digest is taken once for all iterations
+        drawn = F.array(F.struct(*(F.conv(F.substring(digest, at, 13), 16, 10).cast("long").alias(x) for at, x in ((1, "first"), (14, "second")))))
+        here = F.array(*(F.lit(x) for x in turns if x // TURNS == block))
+        low.append(F.transform(drawn, lambda d: F.filter(here, lambda i: (d["first"] + (i % TURNS) * d["second"]) % DRAWS < int(options.hash_fraction * DRAWS)))[0])  # noqa: B023
+    found = feats.withColumn("iteration", F.explode(F.concat(*low)))
     return found.select("iteration", "oriented_id", "ordinal", "feature", stable_hash(F.col("feature")).alias("hash"))
 
 
@@ -52,21 +71,6 @@ def low_hashes(feats: DataFrame, options: LowHashOptions, iterations: list[int]
 TURNS, DRAWS = 1000, 16**13
 
 
-def is_low(feature: str, options: LowHashOptions, turns: Callable[[int], Column], blocks: list[int]) -> Column:
-    """The iterations, of turns(block) for each of `blocks`, in which a feature's hash is low.
-
-    A feature has one digest for TURNS iterations: iteration i draws first + i * second of its two numbers of 52 bits, so only
-    iterations that keep a feature become rows.
-    """
-    found = []
-    for block in blocks:
-        digest = F.md5((F.concat(F.lit(f"{block}|"), F.col(feature)) if block else F.col(feature)).cast("binary"))
-        first, second = (F.conv(F.substring(digest, at, 13), 16, 10).cast("long") for at in (1, 14))
-        drawn = F.filter(turns(block), lambda i: (first + (i % TURNS) * second) % DRAWS < int(options.hash_fraction * DRAWS))  # noqa: B023
-        found.append(drawn)
-    return F.concat(*found) if len(found) > 1 else found[0]
-
-
 def bucket_sizes(hashes: DataFrame) -> DataFrame:
     """(iteration, hash, size): entries of each bucket; repeats within a read count."""
     return hashes.groupBy("iteration", "hash").agg(F.count("*").alias("size"))

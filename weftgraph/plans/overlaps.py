@@ -21,8 +21,12 @@ def _words(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
     return L.word_markers(docs if name == "documents" else docs.withColumnRenamed("item_id", "doc_id"))
 
 
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.word_features(table(spark, sf_dir, "documents"), OPTIONS.m)
+
+
 def candidates(spark, sf_dir):
-    return L.candidates(_words(spark, sf_dir), OPTIONS)
+    return L.candidates(_features(spark, sf_dir), OPTIONS)
 
 
 def _chains(spark, sf_dir):
@@ -87,14 +91,14 @@ def inconsistent(spark, sf_dir):
 
 QUERIES = {
     "lowhash_candidates": candidates,
-    "lowhash_bucket_histogram": lambda s, d: L.bucket_histogram(_words(s, d), OPTIONS),
-    "lowhash_read_statistics": lambda s, d: L.read_statistics(_words(s, d), OPTIONS),
-    "lowhash_features": lambda s, d: L.common_features(_words(s, d), OPTIONS),
-    "lowhash_until": lambda s, d: L.candidates_until(_words(s, d), table(s, d, "documents").count(), L.LowHashOptions(hash_fraction=0.02)),
+    "lowhash_bucket_histogram": lambda s, d: L.bucket_histogram(_features(s, d), OPTIONS),
+    "lowhash_read_statistics": lambda s, d: L.read_statistics(_features(s, d), OPTIONS),
+    "lowhash_features": lambda s, d: L.common_features(_features(s, d), OPTIONS),
+    "lowhash_until": lambda s, d: L.candidates_until(_features(s, d), table(s, d, "documents").count(), L.LowHashOptions(hash_fraction=0.02)),
     "candidate_table": lambda s, d: L.candidate_table(candidates(s, d), stranded=False).select("oriented_id", F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others")),
     "candidates_oriented": lambda s, d: L.symmetric_view(candidates(s, d)),
     "all_pairs": lambda s, d: L.all_pairs(table(s, d, "nation"), "n_nationkey"),
-    "contamination_candidates": lambda s, d: L.cross_candidates(_words(s, d), _words(s, d, "benchmark"), 4, 2).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "hits"),
+    "contamination_candidates": lambda s, d: L.cross_candidates(_features(s, d), _words(s, d, "benchmark"), 4, 2).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "hits"),
     "common_members": lambda s, d: L.common_members(table(s, d, "lineitem"), "l_suppkey", "l_partkey"),
     "alignment_metrics": lambda s, d: _long(alignment_metrics(s, d)),
     "alignment_classify": lambda s, d: A.classify(alignment_metrics(s, d), TRIM).select("r0", "r1", "kind"),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.lowhash import LowHashOptions, is_low
+from weftgraph.operators.lowhash import LowHashOptions, low_hashes
 
 
 def feature_index(feats: DataFrame, options: LowHashOptions = LowHashOptions()) -> DataFrame:
     """(feature, oriented_id) of the low-hash features of a fixed set; buckets over max_bucket are left out, as in the batch search."""
-    low = feats.where(F.size(is_low("feature", options, lambda _: F.array(F.lit(0)), [0])) > 0).select("feature", "oriented_id").distinct()
+    low = low_hashes(feats, options, [0]).select("feature", "oriented_id").distinct()
     small = low.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") <= options.max_bucket)
     return low.join(small.select("feature"), "feature", "left_semi")
 
