@@ -83,10 +83,35 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
 
 
 def test_phrase_and_proximity_search(spark):
-    index = decontaminate.build_index(docs_of(spark, [(1, "a b c d e a c b"), (2, "c d"), (3, None)]))
-    found = lambda slop: sorted((r.doc_id, r.start) for r in decontaminate.find_phrases(index, [(9, b"b c"), (8, b"zz")], slop).collect())
-    assert found(0) == [(1, 1)]
-    assert set(found(2)) >= {(1, 1), (1, 7)} or set(found(2)) >= {(1, 1)}
+    docs = [(1, "a b c d e a c b"), (2, "c d"), (3, None), (4, "b x x c"), (5, "b"), (6, "C, b x c d"), (7, "")]
+    index = decontaminate.build_index(docs_of(spark, docs).coalesce(1))
+    found = lambda phrase, slop: sorted((r.doc_id, r.start) for r in decontaminate.find_phrases(index, [(9, phrase), (8, b"zz a"), (7, b"")], slop).collect())
+    assert found(b"b c", 0) == [(1, 1)] and found(b"C d", 0) == [(1, 2), (2, 0), (6, 3)]
+    for phrase in (b"b c", b"c b", b"d c b", b"e a"):
+        words = phrase.decode().split()
+        count = Counter(w for _, t in docs for w in decontaminate.words_of((t or "").encode()))
+        rare = min(range(len(words)), key=lambda i: count[words[i].encode()])
+        for slop in (1, 2, 3):
+            want = []
+            for i, t in docs:
+                w = [x.decode() for x in decontaminate.words_of((t or "").encode())]
+                for p in range(len(w)):
+                    s = p - rare
+                    if w[p] == words[rare] and all(k == rare or words[k] in w[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k in range(len(words))):
+                        want.append((i, s))
+            assert found(phrase, slop) == sorted(want), (phrase, slop)
+
+
+def test_shards_of_few_words(spark):
+    """Documents beyond a shard's words and shards of many documents are judged alike."""
+    bench = [(1, texts(1, 7, 20, 30)[0])]
+    rows = [(i, " ".join([*texts(1, 50 + i, 0, 9), bench[0][1], *texts(1, 90 + i, 0, 700)])) for i in range(9)]
+    want = judge(rows, bench)
+    index = decontaminate.build_index(docs_of(spark, rows).coalesce(1))
+    assert index.count() == 1
+    got = decontaminate.contamination(docs_of(spark, rows * 300).coalesce(1), spark.createDataFrame(bench, "item_id long, text string"))
+    got = got.groupBy("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").count().collect()
+    assert len(got) == 9 and all(r["count"] == 300 and (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id] for r in got)
 
 
 # ---- 5 SimHash ------------------------------------------------------------------------------------------

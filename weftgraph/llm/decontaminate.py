@@ -29,59 +29,52 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def build_index(docs: DataFrame, terms: set[bytes] | None = None, *, text: str = "text") -> DataFrame:
-    """A positional inverted index in shards of whole documents, one row a shard.
+def build_index(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """A positional inverted index of every word, in shards of whole documents, one row a shard.
 
     Word positions run through a shard, with one free place between documents, so no phrase crosses
     from one into the next. `places` holds the sorted positions of each of `terms` (in byte order),
-    `ends` where each term's list ends, `first` each document's first position. `terms` limits the
-    lists to those words, as for a fixed set of test phrases; None indexes every word. Shards are
+    `ends` where each term's list ends, `first` each document's first position. Shards are
     cut by the number of words; a longer document is a shard of its own. A null text has no words.
     """
     bound_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(sorted(terms))}) if terms is not None else None
 
-    def shard(rows: list[tuple[int, np.ndarray, int]], names: list[bytes] | None, own: dict[bytes, int]) -> pa.RecordBatch:
+    def shard(rows: list[tuple[int, np.ndarray]], own: dict[bytes, int]) -> pa.RecordBatch:
         first, at = [], 0
-        for _, _, n in rows:
+        for _, codes in rows:
             first.append(at)
-            at += n + 1
-        codes = np.concatenate([np.append(x, -1) for _, x, _ in rows]).astype(np.int64)
-        if names is None:
-            names = sorted(own)
-            rank = np.empty(len(names) + 1, np.int64)
-            rank[[own[x] for x in names]] = np.arange(len(names))
-            rank[-1] = -1
-            codes = rank[codes]
+            at += len(codes) + 1
+        names = sorted(own)
+        rank = np.empty(len(names) + 1, np.int64)
+        rank[[own[x] for x in names]] = np.arange(len(names))
+        rank[-1] = -1  # the place behind a document
+        codes = rank[np.concatenate([np.append(x, -1) for _, x in rows])]
         places = np.flatnonzero(codes >= 0)
         used = codes[places]
-        order = np.argsort(used, kind="stable")
-        found, counts = np.unique(used, return_counts=True)
+        order = np.argsort(used.astype(np.uint16) if len(names) <= 1 << 16 else used, kind="stable")
+        ends = np.cumsum(np.bincount(used, minlength=len(names)))
         row = {
-            "doc_id": [x for x, _, _ in rows], "n_words": [n for _, _, n in rows], "first": first, "n_tokens": at,
-            "terms": [names[i] for i in found], "ends": np.cumsum(counts).tolist(), "places": places[order].astype(np.int32).tobytes(),
+            "doc_id": [x for x, _ in rows], "n_words": [len(x) for _, x in rows], "first": first, "n_tokens": at,
+            "terms": names, "ends": ends.tolist(), "places": places[order].astype(np.int32).tobytes(),
         }
         return pa.RecordBatch.from_pylist([row], schema=_schema())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(known.value) if known is not None else None
-        rows: list[tuple[int, np.ndarray, int]] = []
+        rows: list[tuple[int, np.ndarray]] = []
         own: dict[bytes, int] = {}
         held = 0
         for batch in batches:
             for key, body in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 words = words_of(body)
-                if known is not None:
-                    codes = np.fromiter(map(known.value.get, words, (-1 for _ in words)), np.int32, len(words))
-                else:
-                    codes = np.fromiter((own.setdefault(x, len(own)) for x in words), np.int32, len(words))
-                rows.append((key, codes, len(words)))
+                for x in set(words).difference(own):
+                    own[x] = len(own)
+                rows.append((key, np.fromiter(map(own.__getitem__, words), np.int64, len(words))))
                 held += len(words) + 1
                 if held >= SHARD_WORDS:
-                    yield shard(rows, names, own)
+                    yield shard(rows, own)
                     rows, own, held = [], {}, 0
         if rows:
-            yield shard(rows, names, own)
+            yield shard(rows, own)
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(build, INDEX)
 
@@ -107,10 +100,11 @@ class _Lists:
         i = self.at.get(term)
         return 0 if i is None else self.ends[i + 1] - self.ends[i]
 
-    def starts(self, phrase: tuple[bytes, ...], slop: int = 0) -> np.ndarray:
+    def starts(self, phrase: tuple[bytes, ...], slop: int = 0, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Where a phrase starts: offset-adjusted lists intersected from the rarest term on.
 
-        With slop, every other term need only stand within `slop` words of its place beside the rarest.
+        With slop, every other term need only stand within `slop` words of its place beside the rarest, in the same of the
+        documents whose first and last places are `bounds`.
         """
         if any(x not in self.at for x in phrase):
             return np.zeros(0, np.int32)
@@ -120,36 +114,44 @@ class _Lists:
             if not len(found):
                 break
             places = self.get(phrase[i])
-            next_ = np.searchsorted(places, found + (i - slop))
-            near = places[np.minimum(next_, len(places) - 1)]
-            found = found[(near >= found + (i - slop)) & (near <= found + (i + slop))]
+            low, high = found + (i - slop), found + (i + slop)
+            if slop:
+                doc = np.searchsorted(bounds[0], found + by_count[0], "right") - 1
+                low, high = np.maximum(low, bounds[0][doc]), np.minimum(high, bounds[1][doc])
+            near = places[np.minimum(np.searchsorted(places, low), len(places) - 1)]
+            found = found[(near >= low) & (near <= high)]
         return found
 
+    def rarest(self, phrase: tuple[bytes, ...]) -> int:
+        return min(range(len(phrase)), key=lambda i: self.count(phrase[i]))
+
 
 def find_phrases(index: DataFrame, phrases: list[tuple[int, bytes]], slop: int = 0) -> DataFrame:
-    """Rows (doc_id, phrase_id, start) of every exact (slop 0) or proximity match; a bounded list of phrases."""
+    """Rows (doc_id, phrase_id, start) of every exact (slop 0) or proximity match; a bounded list of phrases.
+
+    A proximity match has every word within `slop` words of its place beside the phrase's rarest word (the first, of equally rare
+    ones in a shard), all in one document; start is the place that the phrase would begin at there, which may lie before the document.
+    """
     listed = index.sparkSession.sparkContext.broadcast([(k, tuple(words_of(x))) for k, x in phrases])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lists, first, n_words, rows = _Lists(row), np.array(row["first"]), row["n_words"], []
+                lists, first, rows = _Lists(row), np.array(row["first"]), []
+                bounds = first, first + np.array(row["n_words"]) - 1
                 for k, phrase in listed.value:
-                    for s in lists.starts(phrase, slop).tolist() if phrase else ():
-                        doc = max(0, int(np.searchsorted(first, s, "right")) - 1)
-                        start = s - int(first[doc])
-                        if slop and start + len(phrase) - 1 - slop >= n_words[doc]:
-                            continue
-                        rows.append((row["doc_id"][doc], k, start))
+                    rare = lists.rarest(phrase) if phrase else 0
+                    for s in lists.starts(phrase, slop, bounds).tolist() if phrase else ():
+                        doc = int(np.searchsorted(first, s + rare, "right")) - 1
+                        rows.append((row["doc_id"][doc], k, s - int(first[doc])))
                 yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "phrase_id", "start"), x, strict=True)) for x in rows], schema=pa.schema([("doc_id", pa.int64()), ("phrase_id", pa.int64()), ("start", pa.int64())]))
 
     return index.mapInArrow(search, "doc_id long, phrase_id long, start long")
 
 
-def _slices(benchmark: DataFrame, text: str) -> Iterator[tuple[dict[tuple[bytes, ...], set[int]], set[bytes]]]:
-    """Windows with their items, and the words in them, a bounded slice of items at a time."""
+def _slices(benchmark: DataFrame, text: str) -> Iterator[list[tuple[tuple[bytes, ...], tuple[int, ...]]]]:
+    """Windows with their items, a bounded slice of items at a time."""
     windows: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-    terms: set[bytes] = set()
     held = 0
     for item, body in benchmark.select("item_id", text).toLocalIterator(prefetchPartitions=False):
         if item is None or body is None:
@@ -158,13 +160,12 @@ def _slices(benchmark: DataFrame, text: str) -> Iterator[tuple[dict[tuple[bytes,
         if words:
             for i in range(max(1, len(words) - WINDOW + 1)):
                 windows[tuple(words[i : i + WINDOW])].add(item)
-        terms.update(words)
         held += len(words)
         if held >= SLICE_WORDS:
-            yield windows, terms
-            windows, terms, held = defaultdict(set), set(), 0
+            yield [(w, tuple(x)) for w, x in windows.items()]
+            windows, held = defaultdict(set), 0
     if windows:
-        yield windows, terms
+        yield [(w, tuple(x)) for w, x in windows.items()]
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -173,7 +174,7 @@ RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Judge every document by the 13-word windows of benchmark items that occur in it.
 
-    The index holds the positions of the benchmark's words and is stored in the shared folder; each
+    The index holds the positions of every word and is stored in the shared folder; each
     window's lists are intersected from its rarest word on, shard by shard, with no shuffle. An item
     of fewer words is one window, one without words none; items without an id or text are left out.
     Benchmarks over SLICE_WORDS words are searched slice by slice, hits adding up, so what goes to
@@ -181,10 +182,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     leaves every document clean; other columns of both tables play no part.
     """
     spark = docs.sparkSession
-    slices = list(_slices(benchmark, text))
-    every: set[bytes] = set().union(*(x for _, x in slices)) if slices else set()
-    index = materialize(build_index(docs.select(F.col(key).cast("long").alias("doc_id"), text), every, text=text), "index")
+    index = materialize(build_index(docs.select(F.col(key).cast("long").alias("doc_id"), text), text=text), "index")
     hits = index.select("*", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("binary").alias("items"))
+    shared = None
     schema = pa.schema([*_schema(), ("hit", pa.binary()), ("items", pa.binary())])
 
     def searcher(shared):
@@ -206,8 +206,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
         return search
 
-    for windows, _ in slices:
-        shared = spark.sparkContext.broadcast([(w, tuple(x)) for w, x in windows.items()])
+    for windows in _slices(benchmark, text):
+        if shared is not None:  # another slice: what the one before found is written first
+            hits = materialize(hits, "hits")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(windows)
         hits = hits.mapInArrow(searcher(shared), f"{INDEX}, hit binary, items binary")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

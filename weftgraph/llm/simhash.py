@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_bytes, bound_batches, sorted_runs, table
+from weftgraph.llm.common import as_bytes, bound_batches, small_enough, sorted_runs, table
 from weftgraph.operators.graph import connected_components
 from weftgraph.storage import discard, materialize
 
@@ -338,7 +338,7 @@ def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.
     return both[:, 0], both[:, 1]
 
 
-def _listed(rows: DataFrame, most: int, similarity: float) -> DataFrame:
+def _listed(rows: DataFrame, most: int, similarity: float, partitions: int) -> DataFrame:
     """(kind, key, node, bits) of rows that share keys.
 
     kind 0: a pair (key, node). Of keys with over LISTED members, whose rows pass by in pieces: kind 1, a pair of a row and the
@@ -365,7 +365,9 @@ def _listed(rows: DataFrame, most: int, similarity: float) -> DataFrame:
                 for a, b, bits in pivots.pairs(np.concatenate([rows, np.zeros((1, rows.shape[1]), np.int64)])):
                     yield out(1, a, b, bits)
 
-    dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key", "node")
+    # by place and upper half of the segment, which the variants that clear a lower bit share: these rows of a set stay side by side
+    half = F.shiftright("key", WIDTH // 2).bitwiseAND((1 << WIDTH // 2) - 1)
+    dealt = rows.select(*columns).repartition(partitions, F.shiftright("key", 48), half).sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, "kind long, key long, node long, bits long")
 
 
@@ -446,34 +448,39 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     sets themselves, so that no component holds a false link. In keys of over LISTED members all are first held against a few pivots,
     round by round, which joins crowds of near copies; the pairs that are still in different components then follow, so none is left out.
     """
+    spark = rows.sparkSession
     held = materialize(set_prints(rows, shingle=shingle, prints=prints, key=key, text=text), "prints")
     names = [f"w{i}" for i in range(2 * prints)]
     distinct = materialize(held.where("n > 0").groupBy("node").agg(F.min(key).alias(key), *(F.first(c).alias(c) for c in ("n", *names))), "sets")
-    passes = [materialize(_listed(_expanded(distinct, p), most, similarity), "pairs") for p in range(prints)]
+    # a set becomes PARTS * (WIDTH + 1) rows of 48 bytes, so the partitions are sized for these and not for the input
+    advised = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * PARTS * (WIDTH + 1) * 48 // advised))
+    passes = [materialize(_listed(_expanded(distinct, p), most, similarity, partitions), "pairs") for p in range(prints)]
     out = passes[0]
     for more in passes[1:]:
         out = out.unionByName(more)
 
+    listed = out.where("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    crowded = materialize(out.where("kind = 2").groupBy("node").agg(F.collect_list("key").alias("keys")), "crowded")  # PARTS * (WIDTH + 1) for each print at most
+    ends = materialize(listed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct(), "ends")
+    owners = materialize(distinct.join(ends, "node", "left_semi").select(F.col(key).alias("__key"), "node"), "ends")
+    texts = rows.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(small_enough(owners, 32), "__key")
+    sets = materialize(_shingles(texts, shingle, "text"), "shingles")
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "candidates")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = rows.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(distinct.join(ends, "node", "left_semi").select(F.col(key).alias("__key"), "node"), "__key")
-        sets = materialize(_shingles(texts, shingle, "text"), "shingles")
         one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         kept = F.col("common") + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))
         links = materialize(both.where(kept).select("a", "b"), "verified")
-        discard(pairs, sets)
+        discard(pairs)
         return links
 
     def nearest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b")
 
-    listed = out.where("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b"))
     edges = verified(listed.unionByName(nearest(out.where("kind = 1").select(F.col("key").alias("a"), F.col("node").alias("b"), "bits"))))
     parts = materialize(connected_components(edges), "parts")
-    # of every set in a crowded key: its keys, at most PARTS * (WIDTH + 1) for each print
-    crowded = materialize(out.where("kind = 2").groupBy("node").agg(F.collect_list("key").alias("keys")), "crowded")
     discard(*passes)
 
     def mixed() -> DataFrame:
@@ -498,6 +505,7 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     if not left.isEmpty():
         edges = edges.unionByName(verified(_left(left, most, similarity)))
         parts = materialize(connected_components(edges), "parts")
+    discard(sets)
     return held.join(parts, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
 
 
