@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,21 @@ from weftgraph.storage import small_enough
 
 __all__ = ["as_bytes", "bound_batches", "small_enough", "sorted_runs", "table", "text_buffer"]
 
+
+
+def _lean() -> None:
+    """Let this process give freed memory back to the system, as a few Python workers share an executor's memory limit."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        malloc = ctypes.CDLL("libc.so.6").mallopt
+    except OSError:  # another C library
+        return
+    for option, value in ((-3, 8 << 20), (-1, 16 << 20), (-8, 2)):  # fixed values of mallopt: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+        malloc(option, value)
+
+
+_lean()
+
 #: Rows and bytes of one Arrow batch: a Python worker holds a few batches at a time, whatever the texts' lengths.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20

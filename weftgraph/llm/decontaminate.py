@@ -18,7 +18,7 @@ WINDOW = 13
 #: Words of benchmark items handled, and sent to the executors, at a time; more items take more rounds.
 SLICE_WORDS = 2_000_000
 #: Words of the documents that share one shard of the index.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 250_000
 #: Lower-cases A-Z and turns every byte that is no word byte into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -187,38 +187,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     shared = None
     schema = pa.schema([*_schema(), ("hit", pa.binary()), ("items", pa.binary())])
 
-    def searcher(shared):
+    def searcher(shared, last: bool):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
                     lists, first = _Lists(row), np.array(row["first"])
                     hit = np.zeros(row["n_tokens"], bool) if row["hit"] is None else np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=row["n_tokens"]).astype(bool)
                     items = set() if row["items"] is None else set(map(tuple, np.frombuffer(row["items"], np.int64).reshape(-1, 2).tolist()))
-                    for window, owners in shared.value:
+                    for window, owners in shared.value if shared is not None else ():
                         starts = lists.starts(window)
                         if len(starts):
-                            for i in range(len(window)):
-                                hit[starts + i] = True
+                            for k in range(len(window)):
+                                hit[starts + k] = True
                             for doc in np.unique(np.searchsorted(first, starts, "right") - 1).tolist():
                                 items.update((doc, x) for x in owners)
                     row |= {"hit": np.packbits(hit).tobytes(), "items": np.array(sorted(items), np.int64).tobytes()}
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+                    yield _judged(row) if last else pa.RecordBatch.from_pylist([row], schema=schema)
 
         return search
 
     for windows in _slices(benchmark, text):
         if shared is not None:  # another slice: what the one before found is written first
-            hits = materialize(hits, "hits")
+            hits = materialize(hits.mapInArrow(searcher(shared, False), f"{INDEX}, hit binary, items binary"), "hits")
             shared.destroy()
         shared = spark.sparkContext.broadcast(windows)
-        hits = hits.mapInArrow(searcher(shared), f"{INDEX}, hit binary, items binary")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _judged(row)
-
-    return hits.mapInArrow(judge, RESULT)
+    return hits.mapInArrow(searcher(shared, True), RESULT)
 
 
 def _judged(row: dict) -> pa.RecordBatch:
