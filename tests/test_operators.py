@@ -1,6 +1,7 @@
 """Small cases with known results, and brute force, for the engine's own operators."""
 
 import random
+from collections import defaultdict
 from itertools import combinations
 
 import pytest
@@ -300,3 +301,52 @@ def test_contamination_in_many_copies_is_found(spark):
     of = lambda rows: L.word_markers(spark.createDataFrame(rows, "doc_id long, text string"))
     found = L.cross_candidates(of(docs), of([(7, "the passage that all copies hold")]), m=4, min_frequency=2)
     assert {(r.left_id, r.right_id, r.hits) for r in found.collect()} == {(i, 7, 3) for i in range(30)}
+
+
+def test_tangles_in_a_row_are_all_resolved(spark):
+    n = 11  # each shares its out-edges with the next, so every round resolves one
+    edges = [(1, -1, 0), (2, -2, 0)]
+    members = [(1, 100), (2, 200)]
+    for i in range(n):
+        last = i == n - 1
+        edges += [(10 * i + 9, 2 * i, 2 * i + 1), (10 * i + 11, 2 * i + 1, 901 if last else 2 * i + 2), (10 * i + 12, 2 * i + 1, 902 if last else 2 * i + 2)]
+        members += [(10 * i + 9, 100), (10 * i + 9, 200), (10 * i + 11, 100), (10 * i + 12, 200)]
+    new, who = B.detangle(spark.createDataFrame(edges, "eid long, src long, dst long"), spark.createDataFrame(members, "eid long, member long"))
+    assert {(r.src, r.dst) for r in new.collect()} == {(-1, 901), (-2, 902)} and {r.member for r in who.collect()} == {100, 200}
+
+
+def _reached(out, a, b, without, distance):
+    front = {a}
+    for _ in range(distance):
+        front = {t for s in front for e, t in out[s] if e != without}
+        if b in front:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_greedy_edits_equal_a_loop(spark, backward):
+    draw = random.Random(5)
+    edges = [(e, draw.randrange(30), draw.randrange(30), draw.randrange(1, 6)) for e in range(110)]
+    left = sorted(edges, key=lambda x: (x[3], x[0]))
+    for e in list(left):
+        out = defaultdict(list)
+        for f, s, t, _ in left:
+            out[s].append((f, t))
+        a, b = (e[2], e[1]) if backward else (e[1], e[2])
+        if _reached(out, a, b, e[0], 5):
+            left.remove(e)
+    df = spark.createDataFrame(edges, "eid long, src long, dst long, coverage long")
+    assert {r.eid for r in G.transitive_reduction(df, distance=5, backward=backward).collect()} == {e[0] for e in left}
+    if not backward:
+        left, gone = list(edges), set()
+        for e in sorted((x for x in edges if x[3] <= 2), key=lambda x: (x[3], x[0])):
+            if sum(x[1] == e[1] for x in left) > 1 and sum(x[2] == e[2] for x in left) > 1:
+                left.remove(e)
+                gone.add(e[0])
+        assert {r.eid for r in B.low_coverage_cross_edges(df, 2).collect()} == gone
+
+
+def test_a_read_of_too_many_markers_is_an_error(spark):
+    with pytest.raises(Exception, match="markers"):
+        spark.createDataFrame([(1, 1 << 24)], "r long, o int").select(G.marker_key("r", "o")).collect()

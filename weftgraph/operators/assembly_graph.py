@@ -170,16 +170,16 @@ def solvable_by_dominance(matrices: DataFrame, *, least_diagonal: int = 1, most_
     return m.where("match").join(fine.select("eid"), "eid").select("eid", "in_eid", "out_eid", "common")
 
 
-def detangle(edges: DataFrame, members: DataFrame, *, rounds: int = 10, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Resolve tangles, best priority first, until none is left: new (edges, members).
+def detangle(edges: DataFrame, members: DataFrame, *, strict: bool = True, **limits: float) -> tuple[DataFrame, DataFrame]:
+    """Resolve tangles, best priority first, until none is left: new (edges, members); `limits` are those of solvable_by_dominance().
 
     A resolved tangle's edge and its in- and out-edges give way to one edge a match, with the members common to both sides. In
     a round, of tangles that touch a common edge only the one of best priority (then least eid) is resolved, which is the order one by one.
     """
     edges, members = materialize(edges.select("eid", "src", "dst"), "detangle"), materialize(members.select("eid", "member").distinct(), "detangle")
-    for _ in range(rounds):
-        matrices = tangle_matrices(edges, members)
-        found = solvable_by_dominance(matrices) if not strict else matrices.where("common > 0").join(solvable_strictly(matrices).select("eid"), "eid")
+    while True:  # every round takes an edge between a join and a fork away
+        matrices = materialize(tangle_matrices(edges, members), "detangle")
+        found = solvable_by_dominance(matrices, **limits) if not strict else matrices.where("common > 0").join(solvable_strictly(matrices).select("eid"), "eid")
         found = materialize(found, "detangle")
         if found.isEmpty():
             break

@@ -19,8 +19,9 @@ MOST_COVERAGE = 255
 
 
 def marker_key(oriented_id: Column | str, ordinal: Column | str) -> Column:
-    """A marker as one long: 24 bits of ordinal below the oriented id."""
-    return F.shiftleft(F.col(oriented_id) if isinstance(oriented_id, str) else oriented_id, 24) + (F.col(ordinal) if isinstance(ordinal, str) else ordinal)
+    """A marker as one long: 24 bits of ordinal below the oriented id; an ordinal that needs more is an error."""
+    oriented_id, ordinal = (F.col(x) if isinstance(x, str) else x for x in (oriented_id, ordinal))
+    return F.when(ordinal >= 1 << 24, F.raise_error(F.lit("a read has over 2^24 markers")).cast("long")).otherwise(F.shiftleft(oriented_id, 24) + ordinal)
 
 
 def create_vertices(aligned: DataFrame, *, min_coverage: int = 10, max_coverage: int = 100, min_per_strand: int = 0, allow_duplicates: bool = False, stranded: bool = False) -> DataFrame:

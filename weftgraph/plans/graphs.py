@@ -44,9 +44,9 @@ def _forward(spark, sf_dir) -> DataFrame:
     return e.select((F.col("src") * 100_000 + F.col("dst")).alias("eid"), "src", "dst", "coverage")
 
 
-def _late(spark, sf_dir) -> DataFrame:
-    """Fewer edges: transitions over two days or more."""
-    return _forward(spark, sf_dir).where(F.floor(F.col("dst") / 100) - F.floor(F.col("src") / 100) >= 2)
+def _all_edges(spark, sf_dir) -> DataFrame:
+    """All transitions, circles included, with an edge id."""
+    return _edges(spark, sf_dir).select((F.col("src") * 100_000 + F.col("dst")).alias("eid"), "src", "dst", "coverage")
 
 
 def secondary_edges(spark, sf_dir):
@@ -56,7 +56,7 @@ def secondary_edges(spark, sf_dir):
 
 
 def prune_leaves(spark, sf_dir):
-    return G.prune_leaves(_late(spark, sf_dir), 2)
+    return G.prune_leaves(_forward(spark, sf_dir), 2)
 
 
 def marker_vertices(spark, sf_dir):
@@ -66,7 +66,7 @@ def marker_vertices(spark, sf_dir):
 def _supplies(spark, sf_dir) -> DataFrame:
     """Parallel edges: each line item leads from its part to its supplier."""
     eid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(eid.alias("eid"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst"), F.col("l_quantity").cast("long").alias("coverage"), F.floor("l_extendedprice").cast("long").alias("length"), "l_returnflag", "l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(eid.alias("eid"), F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), F.col("l_quantity").cast("long").alias("coverage"), F.floor("l_extendedprice").cast("long").alias("length"), "l_returnflag", "l_orderkey")
 
 
 def edit_clusters(spark, sf_dir):
@@ -99,12 +99,14 @@ def compressed_edges(spark, sf_dir):
 
 
 def _tangle(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Around each supplier, in-edges by return flag and out-edges by line status; orders are members."""
+    """Around each supplier, in-edges by low and high price and out-edges by low and high quantity; orders are members."""
     items = table(spark, sf_dir, "lineitem")
     s = F.col("l_suppkey") * 100
-    a = items.select((s + F.ascii("l_returnflag") % 10).alias("eid"), (-(s + F.ascii("l_returnflag") % 10)).alias("src"), (s + 50).alias("dst"), F.col("l_orderkey").alias("member"))
+    into = s + F.when(F.col("l_extendedprice") < 53_000, 0).otherwise(1)
+    out = s + 60 + F.when(F.col("l_quantity") <= 25, 0).otherwise(1)
+    a = items.select(into.alias("eid"), (-into).alias("src"), (s + 50).alias("dst"), F.col("l_orderkey").alias("member"))
     m = items.select((s + 50).alias("eid"), (s + 50).alias("src"), (s + 51).alias("dst"), F.col("l_orderkey").alias("member"))
-    b = items.select((s + 60 + F.ascii("l_linestatus") % 10).alias("eid"), (s + 51).alias("src"), (-(s + 60 + F.ascii("l_linestatus") % 10)).alias("dst"), F.col("l_orderkey").alias("member"))
+    b = items.select(out.alias("eid"), (s + 51).alias("src"), (-out).alias("dst"), F.col("l_orderkey").alias("member"))
     every = a.unionByName(m).unionByName(b)
     return every.select("eid", "src", "dst").distinct(), every.select("eid", "member").distinct()
 
@@ -113,10 +115,18 @@ def tangle_matrices(spark, sf_dir):
     return B.tangle_matrices(*_tangle(spark, sf_dir))
 
 
+#: Limits that resolve some suppliers' tangles and leave others.
+_DOMINANT = {"most_off": 20, "most_ratio": 0.9}
+
+
 def tangle_solvable(spark, sf_dir):
-    """Square tangles: two return flags against two line statuses."""
-    m = materialize(tangle_matrices(spark, sf_dir).where(F.col("in_eid") % 10 != 2), "tangles")
-    return B.solvable_by_dominance(m, most_off=60, most_ratio=1.0)
+    return B.solvable_by_dominance(materialize(tangle_matrices(spark, sf_dir), "tangles"), **_DOMINANT)
+
+
+def detangle(spark, sf_dir):
+    """How many members each edge has once the tangles are resolved; (src, dst) name it, as new edges have new numbers."""
+    edges, members = B.detangle(*_tangle(spark, sf_dir), strict=False, **_DOMINANT)
+    return edges.join(members.groupBy("eid").agg(F.count("*").alias("members")), "eid", "left").select("src", "dst", F.coalesce("members", F.lit(0)).cast("long").alias("members"))
 
 
 def pseudo_paths(spark, sf_dir):
@@ -124,7 +134,7 @@ def pseudo_paths(spark, sf_dir):
 
 
 def key_segments(spark, sf_dir):
-    chains = _late(spark, sf_dir).withColumnRenamed("eid", "chain")
+    chains = _forward(spark, sf_dir).withColumnRenamed("eid", "chain")
     return B.key_segments(chains)
 
 
@@ -244,15 +254,15 @@ QUERIES = {
     "duplicate_markers": lambda s, d: G.duplicate_markers(_vertices(s, d).drop("props")),
     "cleanup_duplicates": lambda s, d: G.cleanup_duplicates(_vertices(s, d).drop("props")),
     "best_parallel": lambda s, d: G.best_parallel(_supplies(s, d), "coverage").select("eid", "src", "dst"),
-    "transitive_reduction": lambda s, d: G.transitive_reduction(_late(s, d), distance=4),
-    "reverse_transitive_reduction": lambda s, d: G.transitive_reduction(_late(s, d), distance=4, backward=True),
-    "simplify_superbubbles": lambda s, d: G.simplify_superbubbles(_late(s, d).withColumn("length", F.lit(1)), 10),
+    "transitive_reduction": lambda s, d: G.transitive_reduction(_forward(s, d)),
+    "reverse_transitive_reduction": lambda s, d: G.transitive_reduction(_all_edges(s, d), backward=True),
+    "simplify_superbubbles": lambda s, d: G.simplify_superbubbles(_forward(s, d).withColumn("length", F.floor(F.col("dst") / 100) - F.floor(F.col("src") / 100)), 2),
     "edit_distance_clusters": edit_clusters,
     "split_clusters": lambda s, d: G.split_by_cluster(edit_clusters(s, d), ["p_brand"], 2),
     "linear_chains": linear_chains, "chain_coverage": chain_coverage, "compressed_edges": compressed_edges,
-    "cross_edges": lambda s, d: B.low_coverage_cross_edges(_late(s, d), 1),
+    "cross_edges": lambda s, d: B.low_coverage_cross_edges(_forward(s, d), 1),
     "prune_short_leaves": lambda s, d: B.prune_short_leaves(B.compress(_orders(s, d)), 8).select("chain", "src", "dst", "length"),
-    "tangle_matrices": tangle_matrices, "tangle_solvable": tangle_solvable, "pseudo_paths": pseudo_paths, "key_segments": key_segments, "subset_graph": subset_graph,
+    "tangle_matrices": tangle_matrices, "tangle_solvable": tangle_solvable, "detangle": detangle, "pseudo_paths": pseudo_paths, "key_segments": key_segments, "subset_graph": subset_graph,
     "merge_parallel": lambda s, d: B.merge_parallel(_supplies(s, d).withColumnRenamed("eid", "chain")).select("src", "dst", F.array_join(F.transform("chains", lambda x: x.cast("string")), ",").alias("chains")),
     "observation_coverage": lambda s, d: N.coverage(_observations(s, d), "l_partkey"),
     "deduplicate_and_count": lambda s, d: N.deduplicate_and_count(_observations(s, d), "base", "repeat"),
@@ -289,20 +299,24 @@ _V = """v AS (
 ), st AS (
   SELECT vid AS src, lead(vid) OVER w AS dst, oriented_id, ordinal AS o0, lead(ordinal) OVER w AS o1, props FROM v WINDOW w AS (PARTITION BY oriented_id ORDER BY ordinal)
 ), e AS (SELECT src, dst, least(count(*), 255) AS coverage, count(*) AS n, CAST(sum(oriented_id * o0) AS BIGINT) AS checksum FROM st WHERE dst IS NOT NULL GROUP BY 1, 2),
-fw AS (SELECT src * 100000 + dst AS eid, src, dst, coverage FROM e WHERE src // 100 < dst // 100),
-lt AS (SELECT * FROM fw WHERE dst // 100 - src // 100 >= 2)"""
+fw AS (SELECT src * 100000 + dst AS eid, src, dst, coverage FROM e WHERE src // 100 < dst // 100)"""
 _DEG = "{1} AS (SELECT coalesce(o.node, i.node) AS node, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, first_out FROM (SELECT src AS node, count(*) AS out_degree, min(dst) AS first_out FROM {0} GROUP BY 1) o FULL JOIN (SELECT dst AS node, count(*) AS in_degree FROM {0} GROUP BY 1) i ON o.node = i.node)"
-_SUP = "sup AS (SELECT l_orderkey * 10 + l_linenumber AS eid, l_partkey AS src, l_suppkey + 1000000 AS dst, CAST(l_quantity AS BIGINT) AS coverage, CAST(floor(l_extendedprice) AS BIGINT) AS length, l_returnflag, l_orderkey FROM lineitem)"
+_SUP = "sup AS (SELECT l_orderkey * 10 + l_linenumber AS eid, l_partkey AS src, -l_suppkey - 1 AS dst, CAST(l_quantity AS BIGINT) AS coverage, CAST(floor(l_extendedprice) AS BIGINT) AS length, l_returnflag, l_orderkey FROM lineitem)"
 _ORD = """o AS (SELECT o_orderkey AS eid, o_custkey, coalesce(lag(o_orderkey) OVER w, -o_custkey - 1) AS src, CAST(floor(o_totalprice) AS BIGINT) AS coverage, row_number() OVER w - 1 AS position, first_value(o_orderkey) OVER w AS chain
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 _TAN = """every AS (
-  SELECT l_suppkey * 100 + ascii(l_returnflag) % 10 AS eid, 0 AS kind, l_suppkey AS s, l_orderkey AS m FROM lineitem UNION ALL SELECT l_suppkey * 100 + 60 + ascii(l_linestatus) % 10, 1, l_suppkey, l_orderkey FROM lineitem
+  SELECT CAST(l_suppkey * 100 + CASE WHEN l_extendedprice < 53000 THEN 0 ELSE 1 END AS BIGINT) AS eid, 0 AS kind, l_suppkey AS s, l_orderkey AS m FROM lineitem UNION ALL SELECT CAST(l_suppkey * 100 + 60 + CASE WHEN l_quantity <= 25 THEN 0 ELSE 1 END AS BIGINT), 1, l_suppkey, l_orderkey FROM lineitem
 ), mem AS (SELECT DISTINCT eid, kind, s, m FROM every), ed AS (SELECT DISTINCT eid, kind, s FROM every),
 mids AS (SELECT s FROM ed GROUP BY s HAVING count(*) FILTER (kind = 0) >= 2 AND count(*) FILTER (kind = 1) >= 2),
 tm AS (SELECT i.s * 100 + 50 AS eid, i.eid AS in_eid, u.eid AS out_eid, (SELECT count(*) FROM mem a JOIN mem b ON a.m = b.m WHERE a.eid = i.eid AND b.eid = u.eid) AS common
   FROM ed i JOIN ed u ON i.s = u.s AND i.kind = 0 AND u.kind = 1 JOIN mids ON mids.s = i.s)"""
 _TAN = _TAN.replace("(SELECT count(*) FROM mem a JOIN mem b ON a.m = b.m WHERE a.eid = i.eid AND b.eid = u.eid) AS common", "coalesce(c.n, 0) AS common").replace(
     "JOIN mids ON mids.s = i.s)", "JOIN mids ON mids.s = i.s LEFT JOIN (SELECT a.eid AS x, b.eid AS y, count(*) AS n FROM mem a JOIN mem b ON a.s = b.s AND a.m = b.m AND a.kind = 0 AND b.kind = 1 GROUP BY 1, 2) c ON c.x = i.eid AND c.y = u.eid)")
+_SOLVED = """mx AS (SELECT *, max(common) OVER r AS rm, max(common) OVER c AS cm FROM tm WINDOW r AS (PARTITION BY eid, in_eid), c AS (PARTITION BY eid, out_eid)),
+t AS (SELECT *, count(*) FILTER (common = rm) OVER (PARTITION BY eid, in_eid) AS rt, count(*) FILTER (common = cm) OVER (PARTITION BY eid, out_eid) AS ct FROM mx),
+x AS (SELECT *, common = rm AND common = cm AND rt = 1 AND ct = 1 AS hit FROM t),
+ok AS (SELECT eid FROM x GROUP BY eid HAVING count(DISTINCT in_eid) = count(DISTINCT out_eid) AND count(*) FILTER (hit) = count(DISTINCT in_eid) AND bool_and(CASE WHEN hit THEN common >= 1 ELSE common <= 20 OR (common <= 0.9 * rm AND common <= 0.9 * cm) END)),
+sv AS (SELECT eid, in_eid, out_eid, common FROM x WHERE hit AND eid IN (SELECT eid FROM ok))"""
 _OBS = "obs AS (SELECT l_partkey, translate(l_returnflag, 'ANR', 'ACG') AS base, CAST(l_suppkey % 2 AS INTEGER) AS strand, CAST(l_quantity AS INTEGER) AS repeat FROM lineitem)"
 _SIDES = """raw AS (SELECT CAST(c_nationkey AS BIGINT) AS bubble, l_suppkey AS member, count(*) FILTER (l_returnflag = 'R') AS n1, count(*) FILTER (l_returnflag <> 'R') AS n0
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -341,7 +355,7 @@ ORACLES = {
     "strict_edges": f"WITH {_V} SELECT src, dst, props AS sequence, count(*) AS coverage FROM st WHERE dst IS NOT NULL GROUP BY 1, 2, 3",
     "secondary_edges": f"""WITH {_V}, good AS (SELECT * FROM e WHERE coverage >= 3), c AS (SELECT src, dst, count(*) AS coverage FROM st WHERE dst IS NOT NULL AND src <> dst AND src NOT IN (SELECT src FROM good) GROUP BY 1, 2)
 SELECT src, dst, coverage FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY coverage DESC, dst) AS k FROM c) WHERE k = 1""",
-    "prune_leaves": f"WITH {_V}, p1 AS (SELECT * FROM lt WHERE dst IN (SELECT src FROM lt) AND src IN (SELECT dst FROM lt)) SELECT * FROM p1 WHERE dst IN (SELECT src FROM p1) AND src IN (SELECT dst FROM p1)",
+    "prune_leaves": f"WITH {_V}, p1 AS (SELECT * FROM fw WHERE dst IN (SELECT src FROM fw) AND src IN (SELECT dst FROM fw)) SELECT * FROM p1 WHERE dst IN (SELECT src FROM p1) AND src IN (SELECT dst FROM p1)",
     "marker_vertices": "WITH RECURSIVE " + _CHAIN + """, en AS (SELECT r0 * 16777216 + o0 AS a, r1 * 16777216 + o1 AS b FROM chain), sy AS (SELECT a, b FROM en UNION SELECT b, a FROM en),
 rc(node, other) AS (SELECT a, a FROM sy UNION SELECT r.node, s.b FROM rc r JOIN sy s ON r.other = s.a), cp AS (SELECT node, min(other) AS vid FROM rc GROUP BY node),
 ok AS (SELECT vid FROM cp GROUP BY vid HAVING count(*) BETWEEN 2 AND 100 AND count(DISTINCT node // 16777216) = count(*))
@@ -362,14 +376,13 @@ rc(node, other) AS (SELECT a, a FROM nr UNION SELECT r.node, s.b FROM rc r JOIN
     "compressed_edges": f"WITH {_ORD} SELECT chain, min(src) FILTER (position = 0) AS src, arg_max(eid, position) AS dst, count(*) AS length, md5(string_agg(CAST(eid AS VARCHAR), ',' ORDER BY position)) AS path FROM o GROUP BY chain",
     "prune_short_leaves": f"WITH {_ORD} SELECT chain, min(src) FILTER (position = 0) AS src, arg_max(eid, position) AS dst, count(*) AS length FROM o GROUP BY chain HAVING count(*) >= 8",
     "tangle_matrices": f"WITH {_TAN} SELECT eid, in_eid, out_eid, common FROM tm",
-    "tangle_solvable": f"""WITH {_TAN}, m AS (SELECT *, max(common) OVER r AS rm, max(common) OVER c AS cm FROM tm WHERE in_eid % 10 <> 2 WINDOW r AS (PARTITION BY eid, in_eid), c AS (PARTITION BY eid, out_eid)),
-t AS (SELECT *, count(*) FILTER (common = rm) OVER (PARTITION BY eid, in_eid) AS rt, count(*) FILTER (common = cm) OVER (PARTITION BY eid, out_eid) AS ct FROM m),
-x AS (SELECT *, common = rm AND common = cm AND rt = 1 AND ct = 1 AS hit FROM t),
-ok AS (SELECT eid FROM x GROUP BY eid HAVING count(DISTINCT in_eid) = count(DISTINCT out_eid) AND count(*) FILTER (hit) = count(DISTINCT in_eid) AND bool_and(CASE WHEN hit THEN common >= 1 ELSE common <= 60 OR (common <= 1.0 * rm AND common <= 1.0 * cm) END))
-SELECT eid, in_eid, out_eid, common FROM x WHERE hit AND eid IN (SELECT eid FROM ok)""",
+    "tangle_solvable": f"WITH {_TAN}, {_SOLVED} SELECT eid, in_eid, out_eid, common FROM sv",
+    "detangle": f"""WITH {_TAN}, {_SOLVED}, gone AS (SELECT DISTINCT eid // 100 AS s FROM sv), n AS (SELECT eid, count(*) AS members FROM mem GROUP BY 1)
+SELECT CASE WHEN kind = 0 THEN -eid ELSE s * 100 + 51 END AS src, CASE WHEN kind = 0 THEN s * 100 + 50 ELSE -eid END AS dst, members FROM ed JOIN n USING (eid) WHERE s NOT IN (SELECT s FROM gone) UNION ALL
+SELECT s * 100 + 50, s * 100 + 51, count(DISTINCT m) FROM mem WHERE s NOT IN (SELECT s FROM gone) GROUP BY s UNION ALL SELECT -in_eid, -out_eid, common FROM sv""",
     "pseudo_paths": """WITH o AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 r AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM o) SELECT user_id, CAST(idx AS BIGINT) AS idx, min(event_type) AS event_type, count(*) AS n FROM r GROUP BY 1, 2""",
-    "key_segments": f"WITH {_V}, {_DEG.format('lt', 'dg')} SELECT eid AS chain, s.in_degree < 2 AND t.out_degree < 2 AS is_key FROM lt JOIN dg s ON s.node = src JOIN dg t ON t.node = dst",
+    "key_segments": f"WITH {_V}, {_DEG.format('fw', 'dg')} SELECT eid AS chain, s.in_degree < 2 AND t.out_degree < 2 AS is_key FROM fw JOIN dg s ON s.node = src JOIN dg t ON t.node = dst",
     "subset_graph": """WITH m AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), z AS (SELECT o, count(*) AS n FROM m GROUP BY 1), c AS (SELECT a.o AS larger, b.o AS smaller, count(*) AS common FROM m a JOIN m b ON a.p = b.p AND a.o <> b.o GROUP BY 1, 2)
 SELECT larger, smaller FROM c JOIN z x ON x.o = larger JOIN z y ON y.o = smaller WHERE common = y.n AND y.n < x.n""",
     "merge_parallel": f"WITH {_SUP} SELECT src, dst, string_agg(CAST(eid AS VARCHAR), ',' ORDER BY eid) AS chains FROM sup GROUP BY 1, 2",

@@ -45,7 +45,7 @@ def _long(df: DataFrame) -> DataFrame:
 
 def _info(spark, sf_dir):
     info = alignment_metrics(spark, sf_dir)
-    return materialize(info.withColumns({"aid": F.col("r0") * 10_000_000 + F.col("r1"), "u": F.col("r0"), "v": F.col("r1"), "trim": F.greatest("left_trim", "right_trim")}), "info")
+    return materialize(info.withColumns({"aid": F.col("r0") * (1 << 32) + F.col("r1"), "u": F.col("r0"), "v": F.col("r1"), "trim": F.greatest("left_trim", "right_trim")}), "info")
 
 
 def _edges(spark, sf_dir):
@@ -162,7 +162,7 @@ _INFO = _CHAIN + """, base AS (
     round((CAST(last0 - first0 + last1 - first1 + 2 AS DOUBLE) / 2) / (n0 + n1 - CAST(last0 - first0 + last1 - first1 + 2 AS DOUBLE) / 2), 6) AS jaccard
   FROM base
 )"""
-_TOPK = """, ends AS (SELECT r0 * 10000000 + r1 AS aid, r0 AS u, r1 AS v, markers, r0 AS node FROM {0} UNION ALL SELECT r0 * 10000000 + r1, r0, r1, markers, r1 FROM {0}),
+_TOPK = """, ends AS (SELECT r0 * 4294967296 + r1 AS aid, r0 AS u, r1 AS v, markers, r0 AS node FROM {0} UNION ALL SELECT r0 * 4294967296 + r1, r0, r1, markers, r1 FROM {0}),
 best AS (SELECT DISTINCT aid, u, v, markers FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY markers DESC, aid DESC) AS k FROM ends) WHERE k <= {1})"""
 
 
