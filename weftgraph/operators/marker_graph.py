@@ -352,3 +352,84 @@ def asymmetric(vertices: DataFrame, counts: DataFrame) -> DataFrame:
     partner = reverse_complement_vertices(vertices, counts)
     turned = vertices.join(counts, "oriented_id").join(partner, "vid").select(F.col("rc_vid").alias("vid"), F.col("oriented_id").bitwiseXOR(F.lit(1).cast("long")).alias("oriented_id"), (F.col("n") - 1 - F.col("ordinal")).cast("int").alias("ordinal"))
     return vertices.select("vid", "oriented_id", "ordinal").exceptAll(turned)
+
+
+def disconnecting_edges(edges: DataFrame, distance: int) -> DataFrame:
+    """(eid) of edges whose ends aren't joined, whatever the directions, by another path of at most 2 * distance edges.
+
+    From both ends of all edges (eid, src, dst) at once one step is taken at a time; an edge is settled as soon as its two
+    searches meet, so only those without a short way round go on. A loop never disconnects.
+    """
+    steps = edges.select(F.col("eid").alias("by"), F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("s"))
+    steps = materialize(steps.select("by", F.col("s.src").alias("node"), F.col("s.dst").alias("next")), "steps")
+    left = edges.where("src != dst")
+    front = [left.select("eid", F.col(c).alias("node")) for c in ("src", "dst")]
+    seen = [materialize(f, "seen") for f in front]
+    front = list(seen)
+    for _ in range(distance):
+        for i in (0, 1):
+            new = front[i].join(steps, "node").where("by != eid").select("eid", F.col("next").alias("node")).distinct()
+            new = materialize(new.join(seen[i], ["eid", "node"], "left_anti"), "front")
+            met = materialize(new.join(seen[1 - i], ["eid", "node"], "left_semi").select("eid").distinct(), "met")
+            front[i], seen[i] = new, seen[i].unionByName(new)
+            front = [materialize(f.join(met, "eid", "left_anti"), "front") for f in front]
+            seen = [materialize(f.join(met, "eid", "left_anti"), "seen") for f in seen]
+    return seen[0].select("eid").distinct()
+
+
+def marker_connectivity(aligned: DataFrame, oriented_id: int, ordinal: int) -> DataFrame:
+    """The alignments (r0, o0, r1, o1) by which a marker is joined, directly or through others, to the rest of its vertex."""
+    keyed = aligned.select("r0", "o0", "r1", "o1", marker_key("r0", "o0").alias("a"), marker_key("r1", "o1").alias("b"))
+    parts = materialize(connected_components(keyed.select("a", "b")), "parts")
+    start = parts.where(F.col("node") == marker_key(F.lit(oriented_id).cast("long"), F.lit(ordinal))).select("component")
+    members = parts.join(start, "component", "left_semi").select(F.col("node").alias("a"))
+    return keyed.join(members, "a", "left_semi").select("r0", "o0", "r1", "o1").distinct()
+
+
+def remove_vertices(vertices: DataFrame, gone: DataFrame) -> DataFrame:
+    """The vertex table without the vertices of `gone` (vid)."""
+    return vertices.join(gone.select("vid").distinct(), "vid", "left_anti")
+
+
+def renumber(vertices: DataFrame) -> DataFrame:
+    """Vids from 0 without gaps, in their order; ranges of vids are counted side by side."""
+    vids = vertices.select("vid").distinct().repartitionByRange("vid").withColumn("part", F.spark_partition_id())
+    vids = materialize(vids.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("vid")) - 1), "vids")
+    parts = vids.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    numbers = vids.join(F.broadcast(parts.select("part", before.alias("before"))), "part").select("vid", (F.col("before") + F.col("at")).cast("long").alias("number"))
+    return vertices.join(numbers, "vid").withColumn("vid", F.col("number")).select(vertices.columns)
+
+
+def bad_vertices(vertices: DataFrame, *, stranded: bool = False) -> DataFrame:
+    """(vid, oriented_id, ordinal, coverage, duplicate_coverage) of vertices that hold a read twice; the marker is the vertex's first."""
+    marked = duplicate_markers(vertices, stranded=stranded)
+    found = marked.groupBy("vid").agg(F.min(F.struct("oriented_id", "ordinal")).alias("m"), F.count("*").alias("coverage"), F.count_if("duplicate").alias("duplicate_coverage"))
+    return found.where("duplicate_coverage > 0").select("vid", "m.oriented_id", "m.ordinal", "coverage", "duplicate_coverage")
+
+
+def coverage_by_kmer(vertices: DataFrame, markers: DataFrame) -> DataFrame:
+    """(kmer, coverage, n): how many vertices of each coverage a k-mer has, by the k-mer of a vertex's first marker."""
+    first = vertices.groupBy("vid").agg(F.min(F.struct("oriented_id", "ordinal")).alias("m"), F.count("*").alias("coverage"))
+    named = first.select("m.oriented_id", "m.ordinal", "coverage").join(markers.select("oriented_id", "ordinal", "kmer"), ["oriented_id", "ordinal"])
+    return named.groupBy("kmer", "coverage").agg(F.count("*").alias("n"))
+
+
+def force_flags(edges: DataFrame, **flags: bool) -> DataFrame:
+    """Edges with each named flag set to one value throughout."""
+    return edges.withColumns({name: F.lit(value) for name, value in flags.items()})
+
+
+def vertex_coverage_data(vertices: DataFrame, markers: DataFrame) -> DataFrame:
+    """(vid, position, base, strand, repeat, n): what the reads show at each position of a vertex's k-mer.
+
+    `markers` has (oriented_id, ordinal, kmer, repeats), repeats being the run length at each position of the k-mer.
+    """
+    shown = vertices.join(markers.select("oriented_id", "ordinal", "kmer", "repeats"), ["oriented_id", "ordinal"]).select("vid", (F.col("oriented_id") % 2).cast("int").alias("strand"), "kmer", F.posexplode("repeats").alias("position", "repeat"))
+    return shown.groupBy("vid", "position", F.substring("kmer", F.col("position") + 1, F.lit(1)).alias("base"), "strand", "repeat").agg(F.count("*").alias("n"))
+
+
+def edge_coverage_data(edges: DataFrame, between: DataFrame) -> DataFrame:
+    """(src, dst, sequence, n): the contents between two vertices, of create_edges()'s intervals, and how many reads show each."""
+    rows = edges.select("src", "dst", F.explode("intervals").alias("i")).select("src", "dst", "i.oriented_id", "i.o0")
+    return rows.join(between.select("oriented_id", "o0", "sequence"), ["oriented_id", "o0"]).groupBy("src", "dst", "sequence").agg(F.count("*").alias("n"))

@@ -65,3 +65,8 @@ def read_summary(reads: DataFrame, **counts: DataFrame) -> DataFrame:
 def write_lines(lines: DataFrame, path: str) -> None:
     """Write (value) rows as text files."""
     lines.select("value").write.mode("overwrite").text(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A table as CSV with a header, one file a partition."""
+    rows.write.option("header", True).csv(path)

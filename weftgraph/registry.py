@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import graphs, overlaps, reads
+from weftgraph.plans import graphs, lookups, overlaps, reads
 
-QUERIES = {**reads.QUERIES, **overlaps.QUERIES, **graphs.QUERIES}
-ORACLES = {**reads.ORACLES, **overlaps.ORACLES, **graphs.ORACLES}
+QUERIES = {**reads.QUERIES, **overlaps.QUERIES, **graphs.QUERIES, **lookups.QUERIES}
+ORACLES = {**reads.ORACLES, **overlaps.ORACLES, **graphs.ORACLES, **lookups.ORACLES}
