@@ -252,6 +252,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 64, segmen
 PRINT, PARTS, WIDTH, LISTED = 128, 5, 24, 64
 #: Members of a more crowded key that all others are held against in a round, and rounds before the pairs left are joined.
 PIVOTS, ROUNDS = 16, 4
+#: Bytes of keyed rows dealt to a task; they are sorted and pass by in pieces, so memory doesn't depend on it.
+PARTITION_BYTES = 32 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -453,8 +455,7 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     names = [f"w{i}" for i in range(2 * prints)]
     distinct = materialize(held.where("n > 0").groupBy("node").agg(F.min(key).alias(key), *(F.first(c).alias(c) for c in ("n", *names))), "sets")
     # a set becomes PARTS * (WIDTH + 1) rows of 48 bytes, so the partitions are sized for these and not for the input
-    advised = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * PARTS * (WIDTH + 1) * 48 // advised))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * PARTS * (WIDTH + 1) * 48 // PARTITION_BYTES))
     passes = [materialize(_listed(_expanded(distinct, p), most, similarity, partitions), "pairs") for p in range(prints)]
     out = passes[0]
     for more in passes[1:]:
