@@ -6,7 +6,9 @@ from weftgraph.llm.chat import op6_chat
 from weftgraph.llm.classifiers import op1_quality, op10_toxicity
 from weftgraph.llm.decontaminate import op8_decontaminate
 from weftgraph.llm.language import op2_language
+from weftgraph.llm.lexical import op12_lexical
 from weftgraph.llm.mixing import op4_mix
+from weftgraph.llm.private_data import op13_private
 from weftgraph.llm.simhash import op5_simhash
 from weftgraph.llm.suffix_dedup import op7_suffix_dedup
 from weftgraph.llm.token_counts import op9_token_counts
@@ -23,10 +25,16 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op12_lexical": op12_lexical,
+    "op13_private": op13_private,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Where each of the strings `found`, in order, ends in `text`: a match is the first place of its string behind the match before it.
+_ENDS = """list_slice(list_reduce([[0]::BIGINT[]] || list_transform(range(1, len(found) + 1), lambda i: [i]),
+  lambda a, x: a || [a[-1] + strpos(substr(text, a[-1] + 1), found[x[1]]) - 1 + length(found[x[1]])]), 2, len(found) + 1)"""
+
 
 ORACLES = {
     "op3_topk": """
@@ -61,5 +69,44 @@ t AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+""",
+    "op12_lexical": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+q AS (SELECT item, item_id, t, count(*) AS n FROM (SELECT item, item_id, unnest(w) AS t FROM i) GROUP BY 1, 2, 3),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY 1, 2, 3, 4),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), g),
+s AS (
+  SELECT item, item_id, r, doc_id, CAST(sum(q.n * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * p.n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN p ON q.t = p.t JOIN w ON q.t = w.t, g GROUP BY 1, 2, 3, 4
+),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+""",
+    # The spans that only anchors find (url, account) aren't in this SQL: a document that holds one would differ.
+    "op13_private": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT r, text, 1 AS k, 'email' AS kind, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS found FROM d
+  UNION ALL SELECT r, text, 2, 'ip', regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT r, text, 3, 'card', regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT r, text, 4, 'phone', regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+),
+e AS (SELECT r, k, kind, found, {_ENDS} AS ends FROM m WHERE len(found) > 0),
+f AS (SELECT r, k, kind, unnest(found) AS x, unnest(ends) AS stop FROM e),
+g AS (SELECT r, k, kind, x, stop - length(x) AS start, stop, regexp_replace(x, '[^0-9]', '', 'g') AS digits FROM f),
+o AS (
+  SELECT * FROM g WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INTEGER), 999) > 255)) = 0
+    ELSE length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INTEGER)
+      ELSE 2 * CAST(digits[i] AS INTEGER) - CASE WHEN digits[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0 END
+),
+s AS (
+  SELECT r, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS spans,
+    count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 4) AS n4 FROM o GROUP BY r
+)
+SELECT doc_id, coalesce(n1, 0) AS n_email, coalesce(n2, 0) AS n_ip, coalesce(n3, 0) AS n_card, coalesce(n4, 0) AS n_phone,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s ON d.r = s.r
 """,
 }
