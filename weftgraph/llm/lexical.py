@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from weftgraph.llm.common import as_bytes, bound_batches, table
 from weftgraph.llm.decontaminate import words_of
-from weftgraph.storage import materialize
+from weftgraph.storage import discard, materialize
 
 #: Terms of the documents that share one shard of the index.
 SHARD_TERMS = 1_000_000
@@ -34,7 +34,7 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def count_terms(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def count_terms(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shard_terms: int = SHARD_TERMS) -> DataFrame:
     """Shards of whole documents with the counted postings of every term: documents by term, and each one's occurrences (tf).
 
     A shard is one row; it is cut by the number of terms, and a longer document is a shard of its own. Documents without a term are left out.
@@ -71,7 +71,7 @@ def count_terms(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
                         own[x] = len(own)
                     rows.append((doc, np.fromiter(map(own.__getitem__, words), np.int64, len(words))))
                     held += len(words)
-                if held >= SHARD_TERMS:
+                if held >= shard_terms:
                     yield shard(number, rows, own)
                     rows, own, held, number = [], {}, 0, number + 1
         if rows:
@@ -193,7 +193,7 @@ def _query_terms(items: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(read, "item long, item_id long, terms array<struct<term: binary, n: long>>").where("size(terms) > 0")
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 20, text: str = "text", doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 20, text: str = "text", doc_key: str = "doc_id", item_key: str = "item_id", shard_terms: int = SHARD_TERMS) -> DataFrame:
     """The k best documents of every item: (item_id, rank, doc_id, score), with score above 0, equal scores by ascending doc_id, null last.
 
     The documents become an impact-ordered index in the shared folder, shard by shard, without a shuffle; document
@@ -207,7 +207,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 20, text: str =
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    counted = materialize(count_terms(docs, text=text, key=doc_key), "counted")
+    counted = materialize(count_terms(docs, text=text, key=doc_key, shard_terms=shard_terms), "counted")
     queries = materialize(_query_terms(items, text, item_key), "items")
     total = counted.agg(F.sum(F.size("doc_id").cast("long")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     n_docs, n_terms = (int(x or 0) for x in total)
@@ -219,13 +219,14 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 20, text: str =
     held = counted.select(F.explode(F.arrays_zip("terms", F.transform("ends", lambda x, i: x - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("n"))).alias("t"))
     df = held.select("t.terms", F.col("t.n").alias("n")).join(wanted, F.col("terms") == F.col("term"), "left_semi").groupBy(F.col("terms").alias("term")).agg(F.sum("n").alias("df"))
     df = materialize(df, "frequencies")
+    discard(counted)
     weighed = queries.select("item", "item_id", F.explode("terms").alias("t")).select("item", "item_id", "t.term", "t.n").join(df, "term")
     weighed = weighed.groupBy("item", "item_id").agg(F.collect_list(F.struct("term", "n", "df")).alias("terms"))
-    weighed = materialize(weighed, "weighed").orderBy("item")
+    weighed = materialize(weighed, "weighed")
 
     def slices() -> Iterator[list]:
         part, n = [], 0
-        for row in weighed.toLocalIterator():
+        for row in weighed.orderBy("item").toLocalIterator():
             terms = [(bytes(x["term"]), x["n"] * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * x["df"] + 1)))) for x in row["terms"]]
             part.append((row["item"], terms))
             n += len(terms)
@@ -258,6 +259,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 20, text: str =
         new = materialize(index.mapInArrow(searcher(shared), "item long, doc_id long, score long"), "found")
         shared.destroy()
         found = new if found is None else found.unionByName(new)
+    discard(index, df, weighed)
     if found is None:
         return empty
     by = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

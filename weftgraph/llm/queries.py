@@ -9,6 +9,7 @@ from weftgraph.llm.language import op2_language
 from weftgraph.llm.lexical import op12_lexical
 from weftgraph.llm.mixing import op4_mix
 from weftgraph.llm.private_data import op13_private
+from weftgraph.llm.repair import op11_repair
 from weftgraph.llm.simhash import op5_simhash
 from weftgraph.llm.suffix_dedup import op7_suffix_dedup
 from weftgraph.llm.token_counts import op9_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_repair": op11_repair,
     "op12_lexical": op12_lexical,
     "op13_private": op13_private,
 }
@@ -35,6 +37,19 @@ _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B
 _ENDS = """list_slice(list_reduce([[0]::BIGINT[]] || list_transform(range(1, len(found) + 1), lambda i: [i]),
   lambda a, x: a || [a[-1] + strpos(substr(text, a[-1] + 1), found[x[1]]) - 1 + length(found[x[1]])]), 2, len(found) + 1)"""
 
+#: A state of op11's recursion that can't be reached.
+_NONE = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+
+
+def _edit(state: str, initial: str, role: str, inserted: str) -> str:
+    """op11's recursion: a turn kept, or given `role`, behind `state`, with or without an inserted turn before it."""
+    add, letter, line = (2, "I", f" || chr(10) || '{inserted}:'") if inserted else (0, "", "")
+    keeps = f"e.l = '{initial}'"
+    return (
+        f"{{'c': {state}.c + {add} + e.t + CASE WHEN e.must THEN 1000000000 WHEN {keeps} THEN 0 ELSE 2 END, 'a': {state}.a || CASE WHEN {keeps} THEN '{letter}K' ELSE '{letter}R' END, "
+        f"'t': {state}.t{line} || chr(10) || CASE WHEN {keeps} THEN e.role ELSE '{role}' END || ':' || e.text}}"
+    )
+
 
 ORACLES = {
     "op3_topk": """
@@ -85,7 +100,7 @@ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, d
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
 """,
     # The spans that only anchors find (url, account) aren't in this SQL: a document that holds one would differ.
-    "op13_private": f"""
+    "op13_private": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 m AS (
   SELECT r, text, 1 AS k, 'email' AS kind, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS found FROM d
@@ -108,5 +123,45 @@ s AS (
 )
 SELECT doc_id, coalesce(n1, 0) AS n_email, coalesce(n2, 0) AS n_ip, coalesce(n3, 0) AS n_card, coalesce(n4, 0) AS n_phone,
   sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s ON d.r = s.r
+""",
+    "op11_repair": f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+c AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(key) + 1), lambda i: CAST(ord(key[i]) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS f FROM k
+),
+g AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT c.*, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) FROM c WHERE f <> 0)
+),
+o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+b AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM o
+),
+r AS (
+  SELECT conv_id, turn, role, text, i, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS trunc,
+    before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM b
+),
+ids AS (SELECT row_number() OVER () AS id, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+x AS (SELECT id, r.* FROM r JOIN ids ON r.conv_id IS NOT DISTINCT FROM ids.conv_id),
+p AS (
+  SELECT id, CAST(0 AS BIGINT) AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS n, {_NONE} AS s, {_NONE} AS u, {_NONE} AS v FROM ids
+  UNION ALL
+  SELECT p.id, e.i, {{'c': n.c + 3, 'a': n.a || 'D', 't': n.t}},
+    list_min([{{'c': s.c + 3, 'a': s.a || 'D', 't': s.t}}, {{'c': n.c + e.t + (CASE WHEN e.must OR e.l <> 's' THEN 1000000000 ELSE 0 END), 'a': n.a || 'K', 't': n.t || chr(10) || e.role || ':' || e.text}}]),
+    list_min([{{'c': u.c + 3, 'a': u.a || 'D', 't': u.t}}, {_edit("n", "u", "user", "")}, {_edit("s", "u", "user", "")}, {_edit("v", "u", "user", "")}, {_edit("u", "u", "user", "assistant")}]),
+    list_min([{{'c': v.c + 3, 'a': v.a || 'D', 't': v.t}}, {_edit("n", "a", "assistant", "user")}, {_edit("s", "a", "assistant", "user")}, {_edit("u", "a", "assistant", "")}, {_edit("v", "a", "assistant", "user")}])
+  FROM p JOIN (SELECT id, i, role, text, left(role, 1) AS l, blank OR dup AS must, CAST(trunc AS BIGINT) AS t FROM x) e ON e.id = p.id AND e.i = p.i + 1
+),
+z AS (
+  SELECT id, i, list_min([n, {{'c': s.c + 4, 'a': s.a || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}}, {{'c': u.c + 2, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}}, v]) AS best,
+    row_number() OVER (PARTITION BY id ORDER BY i DESC) AS last FROM p
+),
+m AS (
+  SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS dup, count(*) FILTER (trunc) AS trunc, count(*) FILTER (illegal) AS illegal FROM x GROUP BY id
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(dup, 0) AS duplicate, coalesce(trunc, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM ids JOIN z ON ids.id = z.id AND z.last = 1 LEFT JOIN m ON ids.id = m.id
 """,
 }
