@@ -76,16 +76,3 @@ def test_renumber(spark):
     df = spark.createDataFrame([(50, 1), (7, 2), (50, 3), (900, 4)], "vid long, oriented_id long")
     assert rows(G.renumber(df)) == [(0, 2), (1, 1), (1, 3), (2, 4)]
     assert G.renumber(df.limit(0)).count() == 0
-
-
-def test_walks_end_in_circles_only(spark):
-    n = 140
-    line = [(i, i + 1, 5, 0) for i in range(n)]
-    loop = [(1000, 1001, 5, 0), (1001, 1002, 5, 0), (1002, 1003, 5, 0), (1003, 1001, 5, 0)]
-    links = spark.createDataFrame(line + loop, "s0 long, s1 long, coverage long, separation long")
-    assert rows(J.follow(links, 0)) == [(i, i) for i in range(n + 1)]
-    assert rows(J.follow(links, 1000)) == [(0, 1000), (1, 1001), (2, 1002), (3, 1003)]
-    short = links.where("s0 >= 130")
-    pairs = [(a, b, 3, 0.1) for a, b, *_ in line + loop] + [(130, 140, 3, 0.9)]
-    got = J.jaccard_walks(spark.createDataFrame(pairs, "a long, b long, common long, raw_jaccard double"), short)
-    assert rows(got) == [(130, 140, 10)]

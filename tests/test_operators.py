@@ -256,7 +256,8 @@ def test_candidates_until_equal_a_loop(spark, monkeypatch):
         hits, i = Counter(), 0
         while True:
             for f, x in buckets.items():
-                if int(hashlib.md5(f"{i}|{f}".encode()).hexdigest()[:15], 16) < int(0.02 * 16**15):
+                digest = hashlib.md5((f"{i // L.TURNS}|{f}" if i >= L.TURNS else f).encode()).hexdigest()
+                if L.draw(int(digest[:13], 16), int(digest[13:26], 16), i) < int(0.02 * L.DRAWS):
                     hits.update((a, b) for a in x for b in x if a < b)
             i += 1
             found = {k: n for k, n in hits.items() if n >= 2}
@@ -300,7 +301,16 @@ def test_contamination_in_many_copies_is_found(spark):
     docs = [(i, f"w{i} the passage that all copies hold x{i}") for i in range(30)]
     of = lambda rows: L.word_markers(spark.createDataFrame(rows, "doc_id long, text string"))
     found = L.cross_candidates(of(docs), of([(7, "the passage that all copies hold")]), m=4, min_frequency=2)
-    assert {(r.left_id, r.right_id, r.hits) for r in found.collect()} == {(i, 7, 3) for i in range(30)}
+    want = {(i, 7, 3) for i in range(30)}
+    assert {(r.left_id, r.right_id, r.hits) for r in found.collect()} == want
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.sql("create table benchmark (item_id bigint, text varchar)")
+    con.sql("insert into documents values " + ", ".join(f"({i}, '{t}')" for i, t in docs))
+    con.sql("insert into benchmark values (7, 'the passage that all copies hold')")
+    assert set(con.sql(entry.oracle_sql()["contamination_candidates"]).fetchall()) == want
 
 
 def test_tangles_in_a_row_are_all_resolved(spark):

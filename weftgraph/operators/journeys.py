@@ -1,4 +1,4 @@
-"""Journeys through segments, links and segment similarity."""
+"""Journeys through segments, links and segment similarity (M1-M22; the walks M12, M13 and M16 are in walks.py)."""
 
 from __future__ import annotations
 
@@ -85,42 +85,6 @@ def segment_pairs(members: DataFrame, spans: DataFrame, lengths: DataFrame, owne
     return joined.select("a", "b", "common", *(F.col(x).cast("long").alias(x) for x in ("unexplained_a", "unexplained_b", "short_a", "short_b")), F.round(c / (c + ua + ub), 6).alias("jaccard"), F.round(c / (c + ua + ub + sa + sb), 6).alias("raw_jaccard"))
 
 
-def jaccard_walks(pairs: DataFrame, found_links: DataFrame, *, forward: bool = True, least_common: int = 3, least_separation: int = -20, least_jaccard: float = 0.75) -> DataFrame:
-    """(s0, s1, steps): from every segment, follow the best link (most common owners, then the least segment) until a segment of
-    raw Jaccard at least least_jaccard and least_common common owners with the start is met. A walk that goes in a circle ends without one.
-    """
-    sym = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "common", "raw_jaccard").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "common", "raw_jaccard"))
-    sym = materialize(sym, "walk")
-    s, t = ("s0", "s1") if forward else ("s1", "s0")
-    ok = found_links.where(F.col("separation").isNull() | (F.col("separation") >= least_separation)).select(F.col(s).alias("x"), F.col(t).alias("y"))
-    best = ok.join(sym, ["x", "y"]).where(F.col("common") >= least_common).groupBy("x").agg(F.max_by("y", F.struct("common", (-F.col("y")).alias("minus"))).alias("y"))
-    best = materialize(best, "walk")
-    front = best.select(F.col("x").alias("start"), F.col("y").alias("at"), F.lit(1).alias("steps"), F.col("y").alias("mark"))
-    done: DataFrame | None = None
-    i = 1
-    while True:
-        judged = front.join(sym.select(F.col("x").alias("start"), F.col("y").alias("at"), "common", "raw_jaccard"), ["start", "at"], "left")
-        hit = (F.col("common") >= least_common) & (F.col("raw_jaccard") >= least_jaccard)
-        judged = materialize(judged.withColumn("hit", F.coalesce(hit, F.lit(False))), "walk")
-        found = judged.where("hit").select("start", "at", "steps")
-        done = found if done is None else materialize(done.unionByName(found), "walk")
-        i += 1
-        front = judged.where("not hit").join(best.withColumnsRenamed({"x": "at", "y": "next"}), "at").where("next != start and next != mark")
-        mark = "next" if i & (i - 1) == 0 else "mark"  # the place after each power of two steps: a walk that comes back to it has seen its whole circle
-        front = front.select("start", F.col("next").alias("at"), F.lit(i).alias("steps"), F.col(mark).alias("mark"))
-        if front.isEmpty():
-            break
-    a, b = ("start", "at") if forward else ("at", "start")
-    return done.select(F.col(a).alias("s0"), F.col(b).alias("s1"), "steps")
-
-
-def jaccard_graph(pairs: DataFrame, found_links: DataFrame, **options) -> DataFrame:
-    """(s0, s1, forward, backward): edges found by walks in either direction; strong ones in both."""
-    f = jaccard_walks(pairs, found_links, forward=True, **options).select("s0", "s1", F.lit(True).alias("forward"))
-    b = jaccard_walks(pairs, found_links, forward=False, **options).select("s0", "s1", F.lit(True).alias("backward"))
-    return f.join(b, ["s0", "s1"], "full").select("s0", "s1", F.coalesce("forward", F.lit(False)).alias("forward"), F.coalesce("backward", F.lit(False)).alias("backward"))
-
-
 def strong_only(graph: DataFrame) -> DataFrame:
     """Edges between segments that strong edges join to something."""
     strong = graph.where("forward and backward")
@@ -135,26 +99,6 @@ def clusters(graph: DataFrame, least: int = 5) -> DataFrame:
     return parts.join(big.select("component"), "component", "left_semi").select("node", "component")
 
 
-def follow(found_links: DataFrame, start: int | str) -> DataFrame:
-    """(idx, segment): from a segment, along the link of highest coverage (ties to the least segment) until none is left or a segment comes back.
-
-    Every round doubles the steps known, so a path of n segments takes log n rounds.
-    """
-    best = found_links.groupBy("s0").agg(F.min_by("s1", F.struct((-F.col("coverage")).alias("c"), "s1")).alias("s1"))
-    jump = materialize(best.select(F.col("s0").alias("x"), F.col("s1").alias("y")), "follow")
-    kind = dict(jump.dtypes)["x"]
-    path = found_links.sparkSession.range(1).select(F.lit(0).cast("long").alias("idx"), F.lit(start).cast(kind).alias("segment"))
-    known, step = 1, 1
-    while True:
-        ahead = path.join(jump, F.col("segment") == F.col("x")).select((F.col("idx") + step).alias("idx"), F.col("y").alias("segment"))
-        path = materialize(path.unionByName(ahead).groupBy("segment").agg(F.min("idx").alias("idx")).select("idx", "segment"), "follow")
-        if (count := path.count()) == known:
-            return path
-        known, step = count, 2 * step
-        further = jump.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        jump = materialize(jump.join(further, "y").select("x", F.col("z").alias("y")), "follow")
-
-
 def similar_segments(pairs: DataFrame, found_links: DataFrame, starts: DataFrame, hops: int, least_jaccard: float) -> DataFrame:
     """(start, node, distance, raw_jaccard): segments within `hops` links of each start that are similar to it."""
     near = within_hops(starts, found_links.select(F.col("s0").alias("u"), F.col("s1").alias("v")), hops).where("distance > 0")

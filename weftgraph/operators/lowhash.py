@@ -62,7 +62,7 @@ def low_hashes(feats: DataFrame, options: LowHashOptions, iterations: list[int]
         # an array of one struct, so that the digest is taken once for all iterations
         drawn = F.array(F.struct(*(F.conv(F.substring(digest, at, 13), 16, 10).cast("long").alias(x) for at, x in ((1, "first"), (14, "second")))))
         here = F.array(*(F.lit(x) for x in turns if x // TURNS == block))
-        low.append(F.transform(drawn, lambda d: F.filter(here, lambda i: (d["first"] + (i % TURNS) * d["second"]) % DRAWS < int(options.hash_fraction * DRAWS)))[0])  # noqa: B023
+        low.append(F.transform(drawn, lambda d: F.filter(here, lambda i: draw(d["first"], d["second"], i) < int(options.hash_fraction * DRAWS)))[0])  # noqa: B023
     found = feats.withColumn("iteration", F.explode(F.concat(*low)))
     return found.select("iteration", "oriented_id", "ordinal", "feature", stable_hash(F.col("feature")).alias("hash"))
 
@@ -71,6 +71,11 @@ def low_hashes(feats: DataFrame, options: LowHashOptions, iterations: list[int]
 TURNS, DRAWS = 1000, 16**13
 
 
+def draw(first, second, iteration):
+    """The number that an iteration draws from a feature's digest, of columns or of plain numbers."""
+    return (first + (iteration % TURNS) * second) % DRAWS
+
+
 def bucket_sizes(hashes: DataFrame) -> DataFrame:
     """(iteration, hash, size): entries of each bucket; repeats within a read count."""
     return hashes.groupBy("iteration", "hash").agg(F.count("*").alias("size"))

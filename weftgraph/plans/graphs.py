@@ -199,11 +199,6 @@ def _links(spark, sf_dir, least=3):
     return J.links(_steps(spark, sf_dir), least, "gap")
 
 
-def follow(spark, sf_dir):
-    found = materialize(_links(spark, sf_dir), "links")
-    return J.follow(found, found.agg(F.min("s0")).first()[0])
-
-
 def _members(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.ascii("event_type").cast("long").alias("segment"), F.col("event_id").alias("at"))
     return J.segment_members(e, "owner", "segment", "at")
@@ -216,12 +211,6 @@ def segment_pairs(spark, sf_dir):
     return J.segment_pairs(_members(spark, sf_dir), spans, lengths)
 
 
-def jaccard_graph(spark, sf_dir):
-    pairs = segment_pairs(spark, sf_dir)
-    codes = _steps(spark, sf_dir).select(F.ascii("s0").cast("long").alias("s0"), F.ascii("s1").cast("long").alias("s1"), "gap").where("s0 != s1")
-    return J.jaccard_graph(pairs, J.links(codes, 3))
-
-
 # ---- Outputs ---------------------------------------------------------------------------------------------
 
 
@@ -290,10 +279,9 @@ QUERIES = {
     "segment_journeys": _journeys,
     "transitions": _steps, "links": _links,
     "back_segments": lambda s, d: J.back_segments(_links(s, d, 20)),
-    "follow": follow,
     "segment_members": _members,
     "pair_offsets": lambda s, d: J.pair_offsets(_members(s, d), "owner", "segment"),
-    "segment_pairs": segment_pairs, "jaccard_graph": jaccard_graph,
+    "segment_pairs": segment_pairs,
     "path_graph": lambda s, d: J.path_graph(_journeys(s, d), "user_id", "segment"),
     "fasta_lines": lambda s, d: W.fasta_lines(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.upper(F.regexp_replace("p_name", "[^a-zA-Z]", "")).alias("sequence"))),
     "gfa_lines": gfa_lines, "run_length_cigar": cigar, "read_summary": read_summary,
@@ -418,8 +406,6 @@ SELECT count(*) FILTER (a <> b AND a % 2 = b % 2) AS transitions, count(*) FILTE
     "transitions": f"WITH {_JOUR} SELECT *, first1 - last0 AS gap FROM tr WHERE s1 IS NOT NULL",
     "links": f"WITH {_JOUR} SELECT * FROM li WHERE coverage >= 3",
     "back_segments": f"WITH {_JOUR}, k AS (SELECT * FROM li WHERE coverage >= 20), o AS (SELECT s0 AS segment, count(*) AS n, min(s1) AS t FROM k GROUP BY 1), i AS (SELECT s1 AS segment, count(*) AS n, min(s0) AS t FROM k GROUP BY 1) SELECT segment FROM o JOIN i USING (segment) WHERE o.n = 1 AND i.n = 1 AND o.t = i.t",
-    "follow": f"""WITH RECURSIVE {_JOUR}, bl AS (SELECT s0, s1 FROM li WHERE coverage >= 3 QUALIFY row_number() OVER (PARTITION BY s0 ORDER BY coverage DESC, s1) = 1),
-f(idx, segment) AS (SELECT CAST(0 AS BIGINT), min(s0) FROM bl UNION SELECT idx + 1, s1 FROM f JOIN bl ON s0 = segment WHERE idx <= (SELECT count(*) FROM bl)) SELECT min(idx) AS idx, segment FROM f GROUP BY segment""",
     "segment_members": f"WITH {_MEM} SELECT segment, owner, n, off AS \"offset\" FROM me",
     "pair_offsets": f"WITH {_MEM} SELECT a, b, common, off AS \"offset\" FROM po",
     "segment_pairs": f"""WITH {_MEM}, sp AS (SELECT user_id AS owner, min(event_id) AS f, max(event_id) AS l FROM events GROUP BY 1),

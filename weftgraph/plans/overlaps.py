@@ -192,9 +192,8 @@ SELECT fp.*, features FROM fp JOIN (SELECT r0, r1, count(*) AS features FROM fp
     "contamination_candidates": r"""WITH """ + WORDS + r""", bwords AS (
   SELECT item_id, unnest(w) AS kmer, unnest(range(len(w))) AS ordinal FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM benchmark)
 ), g AS (SELECT DISTINCT oriented_id AS doc_id, kmer || ' ' || lead(kmer, 1) OVER w || ' ' || lead(kmer, 2) OVER w || ' ' || lead(kmer, 3) OVER w AS f FROM words WINDOW w AS (PARTITION BY oriented_id ORDER BY ordinal)),
-b AS (SELECT DISTINCT item_id, kmer || ' ' || lead(kmer, 1) OVER w || ' ' || lead(kmer, 2) OVER w || ' ' || lead(kmer, 3) OVER w AS f FROM bwords WINDOW w AS (PARTITION BY item_id ORDER BY ordinal)),
-held AS (SELECT f FROM g WHERE f IS NOT NULL GROUP BY f HAVING count(*) <= 10)
-SELECT doc_id, item_id, count(*) AS hits FROM g JOIN held USING (f) JOIN b USING (f) GROUP BY 1, 2 HAVING count(*) >= 2""",
+b AS (SELECT DISTINCT item_id, kmer || ' ' || lead(kmer, 1) OVER w || ' ' || lead(kmer, 2) OVER w || ' ' || lead(kmer, 3) OVER w AS f FROM bwords WINDOW w AS (PARTITION BY item_id ORDER BY ordinal))
+SELECT doc_id, item_id, count(*) AS hits FROM g JOIN b USING (f) GROUP BY 1, 2 HAVING count(*) >= 2""",
     "common_members": "WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS common FROM m x JOIN m y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2",
     "alignment_metrics": f"WITH {_INFO} SELECT * FROM info",
     "alignment_classify": f"""WITH {_INFO}, t AS (SELECT r0, r1, first0 AS l0, first1 AS l1, n0 - 1 - last0 AS q0, n1 - 1 - last1 AS q1 FROM info)
