@@ -43,3 +43,50 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     known = labelled.unionByName(roots)
     alone = loops.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
     return known.unionByName(alone)
+
+
+def strong_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
+    """Label the vertices of a directed edge table that lie on a circle with the least vertex of their strongly connected component.
+
+    Vertices that no edge enters or leaves are peeled off until none is left. In what remains, the least vertex that reaches each vertex spreads
+    along the edges; of the vertices with equal labels those that lead back to it are its component, which then goes, and so on.
+    Self-loops don't count. Returns (node, component) of components of two or more vertices.
+    """
+    rest = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "strong")
+    kind = dict(rest.dtypes)["u"]
+    found = rest.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    while True:
+        n = rest.count()
+        while n:
+            core = rest.join(rest.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(rest.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+            old, rest = rest, materialize(core.select("u", "v"), "strong")
+            discard(old)
+            m = rest.count()
+            if m == n:
+                break
+            n = m
+        if not n:
+            return found
+        label = materialize(rest.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label")), "strong")
+        while True:
+            come = rest.join(label.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("least"))
+            new = materialize(label.join(come, "node").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("less")), "strong")
+            discard(label)
+            label = new.select("node", "label")
+            if new.where("less").isEmpty():
+                break
+        same = rest.join(label.select(F.col("node").alias("u"), "label"), "u").join(label.select(F.col("node").alias("v"), F.col("label").alias("other")), "v").where("label = other")
+        same = materialize(same.select("u", "v", "label"), "strong")
+        back = materialize(label.where("node = label").select("node", F.col("label").alias("component")), "strong")
+        known = back.count()
+        while True:
+            more = same.join(back, (F.col("v") == F.col("node")) & (F.col("label") == F.col("component"))).select(F.col("u").alias("node"), "component")
+            old, back = back, materialize(back.unionByName(more).distinct(), "strong")
+            discard(old)
+            if (count := back.count()) == known:
+                break
+            known = count
+        found = materialize(found.unionByName(back.join(back.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi").select("node", "component")), "strong")
+        done = back.select("node")
+        old, rest = rest, materialize(rest.join(done.withColumnRenamed("node", "u"), "u", "left_anti").join(done.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"), "strong")
+        discard(old, same)
