@@ -1,4 +1,4 @@
-"""Bubbles and phasing."""
+"""Bubbles and phasing (D1-D22; superbubbles, D6, are in superbubbles.py, sequences and outputs, D20, D23 and W5, in haplotypes.py)."""
 
 from __future__ import annotations
 
@@ -213,14 +213,6 @@ def bubble_chains(bubbles: DataFrame) -> DataFrame:
     return linear_chains(bubbles.groupBy("src", "dst").agg(F.min("eid").alias("eid")).select("eid", "src", "dst"))
 
 
-def phasing_regions(chain: DataFrame) -> DataFrame:
-    """(chain, region, first, last, component): maximal runs of one phasing component along a chain (chain, position, component); null is unphased."""
-    by = Window.partitionBy("chain").orderBy("position")
-    key = F.coalesce(F.col("component"), F.lit(-1))
-    opens = chain.withColumn("open", F.coalesce(key != F.lag(key).over(by), F.lit(True)).cast("int")).withColumn("region", F.sum("open").over(by) - 1)
-    return opens.groupBy("chain", "region").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.first("component").alias("component"))
-
-
 def copy_number_period(a: str, b: str, longest: int = 8) -> int:
     """The period of which one sequence has more copies than the other where they differ only so; 0 if they don't."""
     if len(a) == len(b):
@@ -249,11 +241,3 @@ def common_prefix(sequences: Column) -> Column:
         return a.substr(F.lit(1), F.array_max(same))
 
     return F.aggregate(F.slice(sequences, 2, F.greatest(F.size(sequences), F.lit(1))), F.element_at(sequences, 1), shared)
-
-
-def transferred(branches: DataFrame, *bubble: str) -> DataFrame:
-    """(*bubble, prefix, suffix): what all branches of a bubble share at either end, to go to its neighbours; they don't overlap in the shortest branch."""
-    gathered = branches.groupBy(*bubble).agg(F.array_sort(F.collect_list("sequence")).alias("s"))
-    rest = lambda x, n: F.expr(f"transform({x}, y -> substring(y, {n} + 1))")
-    first = gathered.withColumn("prefix", common_prefix(F.col("s"))).withColumn("n", F.length("prefix")).withColumn("t", rest("s", "n"))
-    return first.withColumn("r", F.transform("t", lambda x: F.reverse(x))).select(*bubble, "prefix", F.reverse(common_prefix(F.col("r"))).alias("suffix"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import journeys as J
+from weftgraph.operators import path_assembly as P
 from weftgraph.operators import walks as W
 from weftgraph.plans.common import table
 from weftgraph.storage import materialize
@@ -46,7 +47,18 @@ def follow(spark, sf_dir):
     return W.assembly_paths(starts, *ground, options=_OPTIONS)
 
 
-QUERIES = {"jaccard_graph": jaccard_graph, "follow": follow}
+def path_assembly(spark, sf_dir):
+    """The letters along the paths of follow(): an event type is a marker of two letters, an owner's bases across a link those of its two events."""
+    ground = _ground(spark, sf_dir)
+    paths = W.assembly_paths(ground[0].where("segment < 400").select("segment").distinct(), *ground, options=_OPTIONS)
+    letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
+    word = lambda c: F.concat(letter(F.col(c)), letter(F.floor(F.col(c) / 4)))
+    segments = ground[0].select("segment").distinct().select("segment", word("segment").alias("sequence"), F.array(F.lit(0)).alias("offsets"))
+    crossings = ground[1].select("owner", "s0", "s1", F.lit(0).alias("p0"), F.lit(0).alias("p1"), F.concat(word("s0"), word("s1")).alias("sequence"))
+    return P.assemble_paths(paths, segments, crossings, ground[0], 2)
+
+
+QUERIES = {"jaccard_graph": jaccard_graph, "follow": follow, "path_assembly": path_assembly}
 
 _GROUND = """ev AS (SELECT user_id AS owner, event_id, CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) AS minute, CAST(dayofyear(ts) * 100 + ascii(event_type) % 100 AS BIGINT) AS segment FROM events),
 op AS (SELECT *, CASE WHEN lag(segment) OVER w = segment THEN 0 ELSE 1 END AS o FROM ev WINDOW w AS (PARTITION BY owner ORDER BY minute, event_id)),
@@ -92,3 +104,4 @@ r AS (SELECT start, n, old, cur, unnest(range(1, len(waiting) + 1)) AS i, waitin
 SELECT DISTINCT segment AS start, CAST(0 AS BIGINT) AS idx, segment, true AS is_primary, CAST(NULL AS BIGINT) AS previous, CAST(NULL AS BIGINT) AS next FROM jo WHERE segment < 400
 UNION ALL SELECT start, n + i, waiting[i], waiting[i] = cur, CASE WHEN waiting[i] <> cur THEN old END, CASE WHEN waiting[i] <> cur THEN cur END FROM r""",
 }
+ORACLES["path_assembly"] = f"""SELECT start, string_agg(substr('ACGT', segment % 4 + 1, 1) || substr('ACGT', (segment // 4) % 4 + 1, 1), '' ORDER BY idx) AS sequence FROM ({ORACLES["follow"]}) p GROUP BY start"""
