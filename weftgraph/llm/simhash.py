@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -312,9 +313,9 @@ def _possible(n: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray, sim
     return (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (node[i] != node[j])
 
 
-def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key (of LISTED rows at most), at most `most` differing bits and sizes that allow `similarity`."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.ndarray, label: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lesser node, greater node, bits): pairs of equal key (of LISTED rows at most), at most `most` differing bits and sizes that allow `similarity`, without those of one label."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def split(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """False for pairs that agree in the wildcard's place too: they meet under the exact key."""
@@ -329,24 +330,39 @@ def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.
         rows = i = i[key[i] == key[i + step]]
         if not len(i):
             break
-        i = i[sum(np.bitwise_count(w[i] ^ w[i + step]).astype(np.int16) for w in words) <= most]
-        i = i[_possible(n, node, i, i + step, similarity)]
-        i = i[split(i, i + step)]
-        out.append((node[i], node[i + step]))
+        i = i[(label[i] == 0) | (label[i] != label[i + step])]
+        bits = sum(np.bitwise_count(w[i] ^ w[i + step]).astype(np.int16) for w in words)
+        i, bits = i[bits <= most], bits[bits <= most]
+        fits = _possible(n, node, i, i + step, similarity)
+        fits &= split(i, i + step)
+        out.append((node[i[fits]], node[i[fits] + step], bits[fits]))
     if not out:
-        return node[:0], node[:0]
-    a, b = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return both[:, 0], both[:, 1]
-
-
-def _listed(rows: DataFrame, most: int, similarity: float, partitions: int) -> DataFrame:
-    """(kind, key, node, bits) of rows that share keys.
-
-    kind 0: a pair (key, node). Of keys with over LISTED members, whose rows pass by in pieces: kind 1, a pair of a row and the
-    nearest of the key's first PIVOTS rows, and kind 2, each (key, node), so that the pairs left out can be found.
+        return node[:0], node[:0], node[:0]
+    a, b, bits = (np.concatenate(x) for x in zip(*out, strict=True))
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), bits.astype(np.int64)], 1), axis=0)
+    return both[:, 0], both[:, 1], both[:, 2]
+
+
+def _partners(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, partner, bits): of the pairs, each node's nearest partner and its least one."""
+    node, partner, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
+    if not len(node):
+        return node, partner, bits
+    chosen = []
+    for order in (np.lexsort((partner, bits, node)), np.lexsort((partner, node))):
+        chosen.append(order[np.append(True, node[order[1:]] != node[order[:-1]])])
+    kept = np.unique(np.concatenate(chosen))
+    return node[kept], partner[kept], bits[kept]
+
+
+def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, every: bool) -> DataFrame:
+    """(kind, key, node, bits) of rows (key, w0, w1, node, n, label) that share keys.
+
+    kind 0: a pair (key, node) from a key of at most LISTED members: with `every` all pairs of different labels, else each node's nearest
+    partner and its least, which is the same for many members of a crowd. Keys of over LISTED members, whose rows pass by in pieces, are passed over
+    with `every`, else give kind 1, a pair of a row and the nearest of the key's first PIVOTS rows, and kind 2, each (key, node), so that the pairs left out can be found.
     """
-    columns = ["key", "w0", "w1", "node", "n"]
+    columns = ["key", "w0", "w1", "node", "n", "label"]
 
     def out(kind: int, key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (np.full(len(key), kind), key, node, bits)], ["kind", "key", "node", "bits"])
@@ -358,13 +374,15 @@ def _listed(rows: DataFrame, most: int, similarity: float, partitions: int) -> D
             if not piece:
                 _, inverse, count = np.unique(rows[0], return_inverse=True, return_counts=True)
                 big = count[inverse] > LISTED
-                key, w0, w1, node, n = rows[:, ~big]
-                a, b = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, most, similarity)
-                yield out(0, a, b, np.zeros(len(a)))
+                key, w0, w1, node, n, label = rows[:, ~big]
+                a, b, bits = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, label, most, similarity)
+                if not every:
+                    b, a, bits = _partners(a, b, bits)
+                yield out(0, a, b, bits)
                 rows = rows[:, big]
-            if rows.shape[1]:
+            if rows.shape[1] and not every:
                 yield out(2, rows[0], rows[3], np.zeros(rows.shape[1]))
-                for a, b, bits in pivots.pairs(np.concatenate([rows, np.zeros((1, rows.shape[1]), np.int64)])):
+                for a, b, bits in pivots.pairs(rows):
                     yield out(1, a, b, bits)
 
     # by place and upper half of the segment, which the variants that clear a lower bit share: these rows of a set stay side by side
@@ -428,18 +446,18 @@ def _left(rows: DataFrame, most: int, similarity: float) -> DataFrame:
 
 
 def _expanded(distinct: DataFrame, p: int) -> DataFrame:
-    """Every node under all keys of its print p."""
-    columns = ["key", "w0", "w1", "node", "n"]
+    """Every node, with its label, under all keys of its print p."""
+    columns = ["key", "w0", "w1", "node", "n", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                w0, w1, node, n = (x.to_numpy() for x in batch.slice(at, 500).columns)
+                w0, w1, node, n, label = (x.to_numpy() for x in batch.slice(at, 500).columns)
                 keys = (_keys([w0, w1], PARTS, WIDTH) | (np.uint64(p) << np.uint64(52))).view(np.int64)
                 each = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(x, each) for x in (w0, w1, node, n)))], columns)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(x, each) for x in (w0, w1, node, n, label)))], columns)
 
-    return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n").mapInArrow(run, ", ".join(f"{x} long" for x in columns))
+    return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n", "label").mapInArrow(run, ", ".join(f"{x} long" for x in columns))
 
 
 def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity: float = 0.8, prints: int = 5, most: int = 36, text: str = "text") -> DataFrame:
@@ -447,23 +465,27 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
 
     Rows of equal sets are merged. Candidates are sets of which one of `prints` independent prints of 128 bits differs in at most
     `most` bits, and in at most one of some 24-bit segment (deletion variants, as in links()); every candidate is then checked on the
-    sets themselves, so that no component holds a false link. In keys of over LISTED members all are first held against a few pivots,
-    round by round, which joins crowds of near copies; the pairs that are still in different components then follow, so none is left out.
+    sets themselves, so that no component holds a false link. Of the pairs of a key first each set's nearest and least partner are checked, and in keys of over LISTED
+    members pairs with a few pivots, round by round, which joins crowds of near copies; all pairs that are still in different components then follow, so none is left out.
     """
     spark = rows.sparkSession
     held = materialize(set_prints(rows, shingle=shingle, prints=prints, key=key, text=text), "prints")
     names = [f"w{i}" for i in range(2 * prints)]
     distinct = materialize(held.where("n > 0").groupBy("node").agg(F.min(key).alias(key), *(F.first(c).alias(c) for c in ("n", *names))), "sets")
-    # a set becomes PARTS * (WIDTH + 1) rows of 48 bytes, so the partitions are sized for these and not for the input
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * PARTS * (WIDTH + 1) * 48 // PARTITION_BYTES))
-    passes = [materialize(_listed(_expanded(distinct, p), most, similarity, partitions), "pairs") for p in range(prints)]
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-
-    listed = out.where("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b"))
+
+    def listed(nodes: DataFrame, every: bool) -> list[DataFrame]:
+        """One written table of _listed() for each print."""
+        # a set becomes PARTS * (WIDTH + 1) rows of 56 bytes, so the partitions are sized for these and not for the input
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PARTS * (WIDTH + 1) * 56 // PARTITION_BYTES))
+        return [materialize(_listed(_expanded(nodes, p), most, similarity, partitions, every), "pairs") for p in range(prints)]
+
+    passes = listed(distinct.withColumn("label", F.lit(0).cast("long")), False)
+    out = reduce(DataFrame.unionByName, passes)
+    met = out.where("kind = 0").groupBy("node").agg(F.min_by("key", F.struct("bits", "key")).alias("near"), F.min("key").alias("least"))
+    met = materialize(met, "met")
+    first = met.select("node", F.explode(F.array_distinct(F.array("near", "least"))).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     crowded = materialize(out.where("kind = 2").groupBy("node").agg(F.collect_list("key").alias("keys")), "crowded")  # PARTS * (WIDTH + 1) for each print at most
-    ends = materialize(listed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct(), "ends")
+    ends = materialize(met.select("node").unionByName(crowded.select("node")).distinct(), "ends")
     owners = materialize(distinct.join(ends, "node", "left_semi").select(F.col(key).alias("__key"), "node"), "ends")
     texts = rows.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(small_enough(owners, 32), "__key")
     sets = materialize(_shingles(texts, shingle, "text"), "shingles")
@@ -480,7 +502,13 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     def nearest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b")
 
-    edges = verified(listed.unionByName(nearest(out.where("kind = 1").select(F.col("key").alias("a"), F.col("node").alias("b"), "bits"))))
+    edges = verified(first.unionByName(nearest(out.where("kind = 1").select(F.col("key").alias("a"), F.col("node").alias("b"), "bits"))))
+    parts = materialize(connected_components(edges), "parts")
+    discard(*passes)
+    # all pairs of small keys that these links have not joined
+    open_nodes = distinct.join(met.select("node"), "node", "left_semi").join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
+    passes = listed(materialize(open_nodes, "met"), True)
+    edges = edges.unionByName(verified(reduce(DataFrame.unionByName, passes).select(F.col("key").alias("a"), F.col("node").alias("b"))))
     parts = materialize(connected_components(edges), "parts")
     discard(*passes)
 
