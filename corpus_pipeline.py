@@ -60,19 +60,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (operator 4): the columns of documents, copy (from 1), size, source_size and target.
 
-    Rows that share doc_id, source and size are taken equally often, by the largest of their numbers. The four
-    columns replace others of these names.
+    Every row is taken by its own number, repeated rows too. The four columns replace others of these names.
     """
     kept = [c for c in docs.columns if c not in ("copy", "size", "source_size", "target")]
-    sized = docs.select(*kept, word_count("text").alias("size"))
-    mixed = mix(sized.select("doc_id", "source", "size"))
-    taken = mixed.where("copies > 0").groupBy("doc_id", "source", "size").agg(
-        F.max("copies").alias("copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
-    )
-    taken = small_enough(materialize(taken, "taken"), 64).select(*(F.col(c).alias(f"__{c}") for c in taken.columns))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
-    joined = sized.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return joined.select(*kept, "copy", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"))
+    rows = numbered(docs.select(*kept), "numbered")
+    mixed = mix(rows.select("doc_id", "source", word_count("text").alias("size"), "__row"))
+    taken = materialize(mixed.where("copies > 0").select("__row", "copies", "size", "source_size", "target"), "taken")
+    joined = rows.join(small_enough(taken, 40), "__row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return joined.select(*kept, "copy", "size", "source_size", "target")
 
 
 STAGES = [
