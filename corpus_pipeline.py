@@ -65,9 +65,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     kept = [c for c in docs.columns if c not in ("copy", "size", "source_size", "target")]
     rows = numbered(docs.select(*kept), "numbered")
     mixed = mix(rows.select("doc_id", "source", word_count("text").alias("size"), "__row"))
-    taken = materialize(mixed.where("copies > 0").select("__row", "copies", "size", "source_size", "target"), "taken")
-    joined = rows.join(small_enough(taken, 40), "__row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return joined.select(*kept, "copy", "size", "source_size", "target")
+    new = ("copies", "size", "source_size", "target")
+    taken = materialize(mixed.where("copies > 0").select("__row", *(F.col(c).alias(f"__{c}") for c in new)), "taken")
+    joined = rows.join(small_enough(taken, 40), "__row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return joined.select(*kept, "copy", *(F.col(f"__{c}").alias(c) for c in new[1:]))
 
 
 STAGES = [
