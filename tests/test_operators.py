@@ -156,11 +156,39 @@ def test_strand_separation(spark):
     assert {r.eid for r in R.separate_strands(df).where("crosses").collect()} == {4, 5}
 
 
+def test_strand_separation_equals_a_loop(spark):
+    """One edge pair after the other, in order, over random graphs with parallel and self-joining pairs and equal scores."""
+    draw = random.Random(7)
+    edges = []
+    for aid in range(90):
+        u, v = draw.randrange(60), draw.randrange(60)
+        score = draw.randrange(1, 6)
+        edges += [(2 * aid, aid, u, v, score), (2 * aid + 1, aid, u ^ 1, v ^ 1, score)]
+    parent, want = {}, set()
+    for _, aid, u, v, _ in sorted(edges[::2], key=lambda x: (-x[4], x[1])):
+        if R._find(parent, u) == R._find(parent, v ^ 1):
+            want |= {2 * aid, 2 * aid + 1}
+        else:
+            parent[R._find(parent, u)] = R._find(parent, v)
+            parent[R._find(parent, u ^ 1)] = R._find(parent, v ^ 1)
+    df = spark.createDataFrame(edges, "eid long, aid long, u long, v long, markers long")
+    assert {r.eid for r in R.separate_strands(df).where("crosses").collect()} == want and 5 < len(want) < 90
+    assert R.separate_strands(df).count() == len(edges)
+
+
+def test_shortest_path(spark):
+    line = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(0, 20), (20, 2), (50, 51)], "u long, v long")
+    assert R.shortest_path(line, 0, 12) == [0, 1, 2, *range(3, 13)]
+    assert R.shortest_path(line, 3, 3) == [3] and R.shortest_path(line, 0, 50) == [] and R.shortest_path(line, 0, 12, 5) == []
+
+
 def test_transitive_reduction_and_pruning(spark):
     df = spark.createDataFrame([(1, 1, 2, 5), (2, 2, 3, 5), (3, 1, 3, 2)], "eid long, src long, dst long, coverage long")
     assert {r.eid for r in G.transitive_reduction(df).collect()} == {1, 2}
     two = spark.createDataFrame([(1, 1, 2, 3), (2, 1, 2, 3)], "eid long, src long, dst long, coverage long")
     assert G.transitive_reduction(two).count() == 1
+    far = spark.createDataFrame([(1, 1, 2, 1, 101), (2, 2, 3, 1, 100), (3, 3, 4, 2, 500)], "eid long, src long, dst long, coverage long, skip long")
+    assert {r.eid for r in G.transitive_reduction(far, skip="skip").collect()} == {2, 3} and G.transitive_reduction(far).count() == 3
     path = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     assert [tuple(r) for r in G.prune_leaves(path, 1).collect()] == [(2, 3)] and G.prune_leaves(path, 2).count() == 0
 

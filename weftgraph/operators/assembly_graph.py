@@ -81,25 +81,30 @@ def edge_table(compressed: DataFrame) -> DataFrame:
 
 
 def low_coverage_cross_edges(edges: DataFrame, most_coverage: float) -> DataFrame:
-    """(eid): in order of coverage, edges of at most most_coverage whose source has another out-edge and target another in-edge left.
+    """(eid): in order of coverage, then eid, edges of at most most_coverage whose source has another out-edge and target another in-edge left.
 
-    Degrees follow each removal, so a weakly connected component is one task's work.
+    Whether an edge goes depends on the earlier ones at its source and target alone. So every round decides all edges that are first
+    at both, which are no two at one vertex, and takes them out of the degrees; edges whose source or target has one edge left stay. The result is that of one edge after the other.
     """
-    ship(edges.sparkSession)
-    label = connected_components(edges, "src", "dst").withColumnRenamed("node", "src")
-
-    def remove(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, into = pdf["src"].value_counts().to_dict(), pdf["dst"].value_counts().to_dict()
-        gone = []
-        low = pdf[pdf["coverage"] <= most_coverage].sort_values(["coverage", "eid"])
-        for e, s, t in zip(low["eid"], low["src"], low["dst"], strict=True):
-            if out[s] > 1 and into[t] > 1:
-                out[s] -= 1
-                into[t] -= 1
-                gone.append(e)
-        return pd.DataFrame({"eid": gone}, dtype="int64")
-
-    return edges.join(label, "src").select("component", "eid", "src", "dst", "coverage").groupBy("component").applyInPandas(remove, "eid long")
+    out = materialize(edges.groupBy("src").agg(F.count("*").alias("n_out")), "degrees")
+    into = materialize(edges.groupBy("dst").agg(F.count("*").alias("n_in")), "degrees")
+    order = F.struct("coverage", "eid")
+    open_ = edges.where(F.col("coverage") <= most_coverage).select("eid", "src", "dst", "coverage")
+    gone: list[DataFrame] = []
+    while True:
+        able = materialize(open_.join(out.where("n_out > 1").select("src"), "src", "left_semi").join(into.where("n_in > 1").select("dst"), "dst", "left_semi"), "cross")
+        if able.isEmpty():
+            break
+        a, b = able.groupBy("src").agg(F.min(order).alias("sf")), able.groupBy("dst").agg(F.min(order).alias("tf"))
+        ready = materialize(able.join(a, "src").join(b, "dst").where((F.col("sf") == order) & (F.col("tf") == order)).select("eid", "src", "dst"), "cross")
+        gone.append(ready.select("eid"))
+        open_ = able.join(ready.select("eid"), "eid", "left_anti")
+        out = materialize(out.join(ready.select("src").withColumn("less", F.lit(1)), "src", "left").select("src", (F.col("n_out") - F.coalesce("less", F.lit(0))).alias("n_out")), "degrees")
+        into = materialize(into.join(ready.select("dst").withColumn("less", F.lit(1)), "dst", "left").select("dst", (F.col("n_in") - F.coalesce("less", F.lit(0))).alias("n_in")), "degrees")
+    found = edges.select("eid").limit(0)
+    for x in gone:
+        found = found.unionByName(x)
+    return found
 
 
 def prune_short_leaves(compressed: DataFrame, least_length: int) -> DataFrame:

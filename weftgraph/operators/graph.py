@@ -90,3 +90,26 @@ def strong_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame
         done = back.select("node")
         old, rest = rest, materialize(rest.join(done.withColumnRenamed("node", "u"), "u", "left_anti").join(done.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"), "strong")
         discard(old, same)
+
+
+def spanning_forest(edges: DataFrame, score: str = "log_p") -> DataFrame:
+    """The maximum spanning forest of edges (a, b, score, ...) by rounds of best edges of components (Boruvka).
+
+    Equal scores go by (a, b), so the forest is unique and that of sorted greedy insertion.
+    """
+    edges = materialize(edges, "forest")
+    order = [F.col(score).alias("s"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb")]
+    label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("c", F.col("node"))
+    chosen: DataFrame | None = None
+    while True:
+        la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+        across = edges.join(la, "a").join(lb, "b").where("ca != cb")
+        ends = across.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct(*order).alias("rank"), "a", "b")
+        best = ends.groupBy("c").agg(F.max_by(F.struct("a", "b"), "rank").alias("e")).select(F.col("e.a").alias("a"), F.col("e.b").alias("b")).distinct()
+        best = materialize(best, "forest")
+        if best.isEmpty():
+            break
+        chosen = best if chosen is None else materialize(chosen.unionByName(best).distinct(), "forest")
+        parts = connected_components(chosen)
+        label = materialize(label.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "forest")
+    return edges.join(chosen, ["a", "b"]).select(edges.columns) if chosen is not None else edges.limit(0)

@@ -212,13 +212,16 @@ def _reduce_component(pdf: pd.DataFrame, low: int, high: int, distance: int, bac
     return pd.DataFrame({"eid": gone}, dtype="int64")
 
 
-def transitive_reduction(edges: DataFrame, *, low: int = 0, high: int = 256, distance: int = 30, backward: bool = False) -> DataFrame:
+def transitive_reduction(edges: DataFrame, *, low: int = 0, high: int = 256, distance: int = 30, backward: bool = False, skip: str | None = None, most_skip: int = 100) -> DataFrame:
     """G16, and G17 with `backward`: edges (eid, src, dst, coverage) left by greedy transitive reduction.
 
     In order of coverage, then eid, an edge goes if its end can be reached from its start (backward: its start from its end) in
-    at most `distance` surviving edges without it. Each removal changes the next test, so a weakly connected component is one task's work.
+    at most `distance` surviving edges without it. Before that, edges of coverage 1 go whose read skips more than most_skip markers between its
+    ends, where the column `skip` says how many it skips. Each removal changes the next test, so a weakly connected component is one task's work.
     """
     ship(edges.sparkSession)
+    if skip and not backward:
+        edges = edges.where((F.col("coverage") != 1) | (F.coalesce(skip, F.lit(0)) <= most_skip))
     label = connected_components(edges, "src", "dst").withColumnRenamed("node", "src")
     rows = edges.join(label, "src").select("component", "eid", "src", "dst", "coverage")
     gone = rows.groupBy("component").applyInPandas(lambda pdf: _reduce_component(pdf, low, high, distance, backward), "eid long")

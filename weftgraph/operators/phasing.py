@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators.assembly_graph import compress, linear_chains
-from weftgraph.operators.graph import connected_components
+from weftgraph.operators.graph import connected_components, spanning_forest
 from weftgraph.operators.marker_graph import degrees
 from weftgraph.operators.read_graph import both_ways
 from weftgraph.storage import materialize
@@ -136,29 +138,6 @@ def phasing_edges(sides: DataFrame, *, min_concordant: int = 6, max_discordant:
     return hypothesis(phase_scores(kept, epsilon)).where(F.col("log_p") > min_log_p)
 
 
-def spanning_forest(edges: DataFrame, score: str = "log_p") -> DataFrame:
-    """The maximum spanning forest of edges (a, b, score, ...) by rounds of best edges of components (Boruvka).
-
-    Equal scores go by (a, b), so the forest is unique and that of sorted greedy insertion.
-    """
-    edges = materialize(edges, "forest")
-    order = [F.col(score).alias("s"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb")]
-    label = both_ways(edges.select("a", "b"), "a", "b").select("node").distinct().withColumn("c", F.col("node"))
-    chosen: DataFrame | None = None
-    while True:
-        la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-        across = edges.join(la, "a").join(lb, "b").where("ca != cb")
-        ends = across.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct(*order).alias("rank"), "a", "b")
-        best = ends.groupBy("c").agg(F.max_by(F.struct("a", "b"), "rank").alias("e")).select(F.col("e.a").alias("a"), F.col("e.b").alias("b")).distinct()
-        best = materialize(best, "forest")
-        if best.isEmpty():
-            break
-        chosen = best if chosen is None else materialize(chosen.unionByName(best).distinct(), "forest")
-        parts = connected_components(chosen)
-        label = materialize(label.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "forest")
-    return edges.join(chosen, ["a", "b"]).select(edges.columns) if chosen is not None else edges.limit(0)
-
-
 def phase_tree(forest: DataFrame) -> DataFrame:
     """(node, component, phase): phases along the tree's edges (a, b, phase) from each component's least node."""
     steps = materialize(both_ways(forest.select("a", "b", "phase"), "a", "b"), "phases")
@@ -191,11 +170,14 @@ def remove_bad_bubbles(sides: DataFrame, distances: DataFrame | None = None, *,
         left = kept
 
 
-def hierarchical_phase(sides: DataFrame, rounds: int = 3, **options) -> DataFrame:
-    """(bubble, component, phase): phase, merge each component into one bubble with its sides turned by phase, and go on with these."""
+def hierarchical_phase(sides: DataFrame, rounds: int | None = None, **options) -> DataFrame:
+    """(bubble, component, phase): phase, merge each component into one bubble with its sides turned by phase, and go on with these.
+
+    Every round joins components, so it ends by itself where none are joined; `rounds` stops it before.
+    """
     at = sides.select("bubble").distinct().select("bubble", F.col("bubble").alias("component"), F.lit(0).alias("phase"))
     now = sides.select("bubble", "member", "side")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         tree = spanning_forest(phasing_edges(now, **options))
         if tree.isEmpty():
             break

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.operators.graph import connected_components
+from weftgraph.operators.graph import connected_components, spanning_forest
 from weftgraph.shipping import ship
 from weftgraph.storage import materialize
 
@@ -115,26 +115,26 @@ def within_hops(starts: DataFrame, edges: DataFrame, hops: int, *, directed: boo
     return reached
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, most: int = 64) -> list[int]:
-    """Nodes of a shortest undirected path, each step's predecessor the least; empty if there is none within `most` hops."""
+def shortest_path(edges: DataFrame, source: int, target: int, most: int | None = None) -> list[int]:
+    """Nodes of a shortest undirected path, each step's predecessor the least; empty if there is none (within `most` hops, if given).
+
+    The nodes of the last hop carry the path that leads to them, so a found path is there at once.
+    """
+    if source == target:
+        return [source]
     steps = materialize(both_ways(edges.select("u", "v")).distinct(), "steps")
-    spark = edges.sparkSession
-    reached = spark.createDataFrame([(source, None, 0)], "node long, before long, distance int")
-    for d in range(1, most + 1):
-        front = reached.where(F.col("distance") == d - 1)
-        found = front.join(steps, "node").groupBy(F.col("other").alias("node")).agg(F.min("node").alias("before")).join(reached.select("node"), "node", "left_anti")
-        found = materialize(found.select("node", "before", F.lit(d).alias("distance")), "path")
-        if found.isEmpty():
-            return [source] if source == target else []
-        reached = materialize(reached.unionByName(found), "path")
-        if not found.where(F.col("node") == target).isEmpty():
+    front = edges.sparkSession.createDataFrame([(source, [source])], "node long, path array<long>")
+    reached, hops = front.select("node"), 0
+    while most is None or hops < most:
+        found = front.join(steps, "node").groupBy(F.col("other").alias("node")).agg(F.min_by("path", "node").alias("path")).join(reached, "node", "left_anti")
+        front = materialize(found.select("node", F.concat("path", F.array("node")).alias("path")), "path")
+        goal = front.where(F.col("node") == target).first()
+        if goal is not None:
+            return goal["path"]
+        if front.isEmpty():
             break
-    else:
-        return []
-    out = [target]
-    while out[-1] != source:
-        out.append(reached.where(F.col("node") == out[-1]).first()["before"])
-    return out[::-1]
+        reached, hops = materialize(reached.unionByName(front.select("node")), "path"), hops + 1
+    return []
 
 
 def _neighbourhood_edges(edges: DataFrame, hops: int) -> DataFrame:
@@ -204,29 +204,23 @@ def bridges(edges: DataFrame, hops: int = 2) -> DataFrame:
 
 
 def separate_strands(edges: DataFrame, score: str = "markers") -> DataFrame:
-    """(eid, crosses): edge pairs in order of descending score; a pair that would join a node to its other strand crosses.
+    """(eid, crosses): edge pairs in order of descending score, then aid; a pair that would join a node to its other strand crosses.
 
-    Edges (eid, aid, u, v, score) come in pairs of one aid, nodes n and n XOR 1 are two strands. The order matters, so each
-    connected component of reads is worked through by one task.
+    Edges (eid, aid, u, v, score) come in pairs of one aid, nodes n and n XOR 1 are two strands. In that order, a pair joins two
+    parts of the read graph, and is kept, exactly if it is of the maximum spanning forest of reads; of any other pair the forest says how the strands of
+    its ends lie to each other. So the forest's edges on both strands fall into two components a tree, and an edge crosses if its ends are in different ones.
     """
-    ship(edges.sparkSession)
-    reads = edges.select(F.floor(F.col("u") / 2).alias("u"), F.floor(F.col("v") / 2).alias("v")).distinct()
-    label = connected_components(reads, "u", "v")
-    rows = edges.withColumn("node", F.floor(F.col("u") / 2)).join(label, "node").select("component", "eid", "aid", "u", "v", F.col(score).alias("score"))
-
-    def separate(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-        crosses = {}
-        for _, pair in pdf.sort_values(["score", "aid", "eid"], ascending=[False, True, True]).groupby("aid", sort=False):
-            u, v = int(pair["u"].iloc[0]), int(pair["v"].iloc[0])
-            bad = _find(parent, u) == _find(parent, v ^ 1)
-            if not bad:
-                parent[_find(parent, u)] = _find(parent, v)
-                parent[_find(parent, u ^ 1)] = _find(parent, v ^ 1)
-            crosses |= dict.fromkeys(pair["eid"], bad)
-        return pd.DataFrame({"eid": list(crosses), "crosses": list(crosses.values())})
-
-    return rows.groupBy("component").applyInPandas(separate, "eid long, crosses boolean")
+    strand = lambda c: F.col(c).bitwiseAND(F.lit(1).cast("long"))
+    one = edges.groupBy("aid").agg(F.min_by(F.struct("u", "v"), "eid").alias("e"), F.max(score).alias("score")).select("aid", "e.u", "e.v", "score")
+    turned = one.select("aid", "score", F.floor(F.col("u") / 2).alias("x"), F.floor(F.col("v") / 2).alias("y"), strand("u").bitwiseXOR(strand("v")).alias("turn")).where("x != y")
+    rank = F.struct("score", (-F.col("aid")).alias("aid"))
+    best = turned.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(rank).alias("rank"), F.max_by("turn", rank).alias("turn"))
+    forest = materialize(spanning_forest(best, "rank"), "forest")
+    cover = forest.select("a", "b", "turn", F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).select((F.col("a") * 2 + F.col("s")).alias("u"), (F.col("b") * 2 + F.col("s").bitwiseXOR(F.col("turn"))).alias("v"))
+    label = materialize(connected_components(cover, "u", "v"), "strands")
+    side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"{x}_side"))
+    placed = edges.select("eid", "u", "v").join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return placed.select("eid", (F.coalesce("u_side", "u") != F.coalesce("v_side", "v")).alias("crosses"))
 
 
 def separate_strands_locally(edges: DataFrame, hops: int = 6, score: str = "markers") -> DataFrame:

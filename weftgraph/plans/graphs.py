@@ -52,11 +52,13 @@ def _all_edges(spark, sf_dir) -> DataFrame:
 def secondary_edges(spark, sf_dir):
     order = Window.partitionBy("oriented_id").orderBy("ordinal")
     steps = _vertices(spark, sf_dir).select(F.col("vid").alias("src"), F.lead("vid").over(order).alias("dst")).where("dst is not null")
-    return G.secondary_edges(_edges(spark, sf_dir).where("coverage >= 3"), steps, aggressive=True)
+    edges = _edges(spark, sf_dir)
+    usual = edges.agg((1.9 * F.avg("coverage")).alias("usual"))  # one row: edges that stand out leave dead ends
+    return G.secondary_edges(edges.join(F.broadcast(usual), F.col("coverage") > F.col("usual")), steps, aggressive=True)
 
 
 def prune_leaves(spark, sf_dir):
-    return G.prune_leaves(_forward(spark, sf_dir), 2)
+    return G.prune_leaves(_forward(spark, sf_dir))
 
 
 def marker_vertices(spark, sf_dir):
@@ -199,6 +201,11 @@ def _links(spark, sf_dir, least=3):
     return J.links(_steps(spark, sf_dir), least, "gap")
 
 
+def _main_links(spark, sf_dir):
+    """Every segment's link of highest coverage, ties to the least end."""
+    return _links(spark, sf_dir).groupBy("s0").agg(F.min_by("s1", F.struct((-F.col("coverage")).alias("c"), "s1")).alias("s1"))
+
+
 def _members(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.ascii("event_type").cast("long").alias("segment"), F.col("event_id").alias("at"))
     return J.segment_members(e, "owner", "segment", "at")
@@ -278,7 +285,7 @@ QUERIES = {
     "hierarchical_phase": lambda s, d: D.hierarchical_phase(_sides(s, d), 2, **_LOOSE),
     "segment_journeys": _journeys,
     "transitions": _steps, "links": _links,
-    "back_segments": lambda s, d: J.back_segments(_links(s, d, 20)),
+    "back_segments": lambda s, d: J.back_segments(_main_links(s, d)),
     "segment_members": _members,
     "pair_offsets": lambda s, d: J.pair_offsets(_members(s, d), "owner", "segment"),
     "segment_pairs": segment_pairs,
@@ -347,9 +354,9 @@ _MODEL = ", ".join(f"({y}, {x}, {p!r}, {q!r})" for y, x, p, q in N.geometric_mod
 ORACLES = {
     "marker_edges": f"WITH {_V} SELECT * FROM e",
     "strict_edges": f"WITH {_V} SELECT src, dst, props AS sequence, count(*) AS coverage FROM st WHERE dst IS NOT NULL GROUP BY 1, 2, 3",
-    "secondary_edges": f"""WITH {_V}, good AS (SELECT * FROM e WHERE coverage >= 3), c AS (SELECT src, dst, count(*) AS coverage FROM st WHERE dst IS NOT NULL AND src <> dst AND src NOT IN (SELECT src FROM good) GROUP BY 1, 2)
+    "secondary_edges": f"""WITH {_V}, good AS (SELECT * FROM e WHERE coverage > 1.9 * (SELECT avg(coverage) FROM e)), c AS (SELECT src, dst, count(*) AS coverage FROM st WHERE dst IS NOT NULL AND src <> dst AND src NOT IN (SELECT src FROM good) GROUP BY 1, 2)
 SELECT src, dst, coverage FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY coverage DESC, dst) AS k FROM c) WHERE k = 1""",
-    "prune_leaves": f"WITH {_V}, p1 AS (SELECT * FROM fw WHERE dst IN (SELECT src FROM fw) AND src IN (SELECT dst FROM fw)) SELECT * FROM p1 WHERE dst IN (SELECT src FROM p1) AND src IN (SELECT dst FROM p1)",
+    "prune_leaves": f"WITH {_V}, p0 AS (SELECT * FROM fw), " + ", ".join(f"p{i + 1} AS (SELECT * FROM p{i} WHERE dst IN (SELECT src FROM p{i}) AND src IN (SELECT dst FROM p{i}))" for i in range(6)) + " SELECT * FROM p6",
     "marker_vertices": "WITH RECURSIVE " + _CHAIN + """, en AS (SELECT r0 * 16777216 + o0 AS a, r1 * 16777216 + o1 AS b FROM chain), sy AS (SELECT a, b FROM en UNION SELECT b, a FROM en),
 rc(node, other) AS (SELECT a, a FROM sy UNION SELECT r.node, s.b FROM rc r JOIN sy s ON r.other = s.a), cp AS (SELECT node, min(other) AS vid FROM rc GROUP BY node),
 ok AS (SELECT vid FROM cp GROUP BY vid HAVING count(*) BETWEEN 2 AND 100 AND count(DISTINCT node // 16777216) = count(*))
@@ -405,7 +412,7 @@ SELECT count(*) FILTER (a <> b AND a % 2 = b % 2) AS transitions, count(*) FILTE
     "segment_journeys": f"WITH {_JOUR} SELECT * FROM jo",
     "transitions": f"WITH {_JOUR} SELECT *, first1 - last0 AS gap FROM tr WHERE s1 IS NOT NULL",
     "links": f"WITH {_JOUR} SELECT * FROM li WHERE coverage >= 3",
-    "back_segments": f"WITH {_JOUR}, k AS (SELECT * FROM li WHERE coverage >= 20), o AS (SELECT s0 AS segment, count(*) AS n, min(s1) AS t FROM k GROUP BY 1), i AS (SELECT s1 AS segment, count(*) AS n, min(s0) AS t FROM k GROUP BY 1) SELECT segment FROM o JOIN i USING (segment) WHERE o.n = 1 AND i.n = 1 AND o.t = i.t",
+    "back_segments": f"WITH {_JOUR}, k AS (SELECT s0, s1 FROM li WHERE coverage >= 3 QUALIFY row_number() OVER (PARTITION BY s0 ORDER BY coverage DESC, s1) = 1), o AS (SELECT s0 AS segment, count(*) AS n, min(s1) AS t FROM k GROUP BY 1), i AS (SELECT s1 AS segment, count(*) AS n, min(s0) AS t FROM k GROUP BY 1) SELECT segment FROM o JOIN i USING (segment) WHERE o.n = 1 AND i.n = 1 AND o.t = i.t",
     "segment_members": f"WITH {_MEM} SELECT segment, owner, n, off AS \"offset\" FROM me",
     "pair_offsets": f"WITH {_MEM} SELECT a, b, common, off AS \"offset\" FROM po",
     "segment_pairs": f"""WITH {_MEM}, sp AS (SELECT user_id AS owner, min(event_id) AS f, max(event_id) AS l FROM events GROUP BY 1),
