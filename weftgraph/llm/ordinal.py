@@ -43,13 +43,16 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarra
     """Fit by full-batch Adam with a proximal step for `l1`; `rising` allows weights that raise the grade only.
 
     Thresholds are a first one and positive gaps, so they stay ordered. With no rows or one grade only, the weights
-    are zero and the thresholds follow the grades seen.
+    are zero and the thresholds follow the grades seen. A column that no row has keeps the weight zero, so only the
+    others are fitted.
     """
     grades, y = np.unique(grade.astype(float), return_inverse=True)
     k, n = len(grades), len(grade)
-    weights = np.zeros(width)
     if k < 2:
-        return OrdinalModel(grades if k else np.zeros(1), weights, np.zeros(0))
+        return OrdinalModel(grades if k else np.zeros(1), np.zeros(width), np.zeros(0))
+    used, column = np.unique(column, return_inverse=True)
+    whole, width = np.zeros(width), len(used)
+    weights = np.zeros(width)
     share = np.cumsum(np.bincount(y, minlength=k))[:-1] / n
     thresholds = np.log(share / (1 - share))
     free = np.concatenate([thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
@@ -80,7 +83,8 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarra
         if rising:
             weights = np.maximum(weights, 0)
         free = free - 0.3 * lr * (m_t / c1) / (np.sqrt(v_t / c2) + 1e-8)
-    return OrdinalModel(grades, weights, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))]))
+    whole[used] = weights
+    return OrdinalModel(grades, whole, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, rows: int, features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
