@@ -313,8 +313,11 @@ def _possible(n: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray, sim
     return (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (node[i] != node[j])
 
 
-def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.ndarray, label: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lesser node, greater node, bits): pairs of equal key (of LISTED rows at most), at most `most` differing bits and sizes that allow `similarity`, without those of one label."""
+def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.ndarray, label: np.ndarray, most: int, similarity: float, whole: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lesser node, greater node, bits): pairs of equal key (of LISTED rows at most), at most `most` differing bits and sizes that allow `similarity`, without those of one label.
+
+    Where `whole` has the words of all prints, pairs that differ in more than `total` of their bits are left out too.
+    """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def split(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -335,6 +338,8 @@ def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.
         i, bits = i[bits <= most], bits[bits <= most]
         fits = _possible(n, node, i, i + step, similarity)
         fits &= split(i, i + step)
+        if len(whole):
+            fits &= np.bitwise_count(whole[:, i] ^ whole[:, i + step]).astype(np.int16).sum(0) <= total
         out.append((node[i[fits]], node[i[fits] + step], bits[fits]))
     if not out:
         return node[:0], node[:0], node[:0]
@@ -355,14 +360,14 @@ def _partners(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarra
     return node[kept], partner[kept], bits[kept]
 
 
-def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, every: bool) -> DataFrame:
-    """(kind, key, node, bits) of rows (key, w0, w1, node, n, label) that share keys.
+def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, every: bool, total: int) -> DataFrame:
+    """(kind, key, node, bits) of rows (key, w0, w1, node, n, label, x0, ...) that share keys; x0 and on are the words of all prints or missing.
 
     kind 0: a pair (key, node) from a key of at most LISTED members: with `every` all pairs of different labels, else each node's nearest
     partner and its least, which is the same for many members of a crowd. Keys of over LISTED members, whose rows pass by in pieces, are passed over
     with `every`, else give kind 1, a pair of a row and the nearest of the key's first PIVOTS rows, and kind 2, each (key, node), so that the pairs left out can be found.
     """
-    columns = ["key", "w0", "w1", "node", "n", "label"]
+    columns = ["key", "w0", "w1", "node", "n", "label", *(c for c in rows.columns if c[0] == "x")]
 
     def out(kind: int, key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (np.full(len(key), kind), key, node, bits)], ["kind", "key", "node", "bits"])
@@ -374,8 +379,9 @@ def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, ever
             if not piece:
                 _, inverse, count = np.unique(rows[0], return_inverse=True, return_counts=True)
                 big = count[inverse] > LISTED
-                key, w0, w1, node, n, label = rows[:, ~big]
-                a, b, bits = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, label, most, similarity)
+                key, w0, w1, node, n, label, *whole = rows[:, ~big]
+                words = np.array(whole, np.int64).reshape(len(whole), len(key)).view(np.uint64)
+                a, b, bits = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, label, most, similarity, words, total)
                 if not every:
                     b, a, bits = _partners(a, b, bits)
                 yield out(0, a, b, bits)
@@ -434,50 +440,55 @@ def _to_pivots(rows: DataFrame, most: int, similarity: float, turn: int) -> Data
     return dealt.mapInArrow(run, "a long, b long, bits long")
 
 
-def _left(rows: DataFrame, most: int, similarity: float) -> DataFrame:
+def _left(rows: DataFrame, most: int, similarity: float, total: int) -> DataFrame:
     """(a, b): all pairs of a key that may be links and have not one label yet, as a join of the rows outside each key's largest label with all its rows."""
     size = rows.where("label != 0").groupBy("key", "label").count()
     top = size.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
-    one = rows.join(top, "key", "left").where("top is null or label != top").select("key", *(F.col(c).alias(f"{c}_") for c in ("w0", "w1", "node", "n", "label")))
+    one = rows.join(top, "key", "left").where("top is null or label != top").select("key", *(F.col(c).alias(f"{c}_") for c in rows.columns if c != "key"))
+    whole = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_"))) for x in rows.columns if x[0] == "x")
     bits = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in ("w0", "w1"))
     fits = F.least("n", "n_") + 1e-9 >= similarity * F.greatest("n", "n_")
-    met = one.join(rows, "key").where((F.col("node") != F.col("node_")) & ((F.col("label") != F.col("label_")) | (F.col("label") == 0)) & fits & (bits <= most))
+    met = one.join(rows, "key").where((F.col("node") != F.col("node_")) & ((F.col("label") != F.col("label_")) | (F.col("label") == 0)) & fits & (bits <= most) & (whole <= total))
     return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
 
 
-def _expanded(distinct: DataFrame, p: int) -> DataFrame:
-    """Every node, with its label, under all keys of its print p."""
-    columns = ["key", "w0", "w1", "node", "n", "label"]
+def _expanded(distinct: DataFrame, p: int, whole: bool) -> DataFrame:
+    """Every node, with its label and, if asked for, the words of all its prints, under all keys of its print p."""
+    names = [c for c in distinct.columns if c[0] == "w" and c[1:].isdigit()] if whole else []
+    columns = ["key", "w0", "w1", "node", "n", "label", *(f"x{c[1:]}" for c in names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                w0, w1, node, n, label = (x.to_numpy() for x in batch.slice(at, 500).columns)
+                w0, w1, *rest = (x.to_numpy() for x in batch.slice(at, 500).columns)
                 keys = (_keys([w0, w1], PARTS, WIDTH) | (np.uint64(p) << np.uint64(52))).view(np.int64)
                 each = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(x, each) for x in (w0, w1, node, n, label)))], columns)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(x, each) for x in (w0, w1, *rest)))], columns)
 
-    return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n", "label").mapInArrow(run, ", ".join(f"{x} long" for x in columns))
+    return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n", "label", *(F.col(c).alias(f"x{c[1:]}") for c in names)).mapInArrow(run, ", ".join(f"{x} long" for x in columns))
 
 
-def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity: float = 0.8, prints: int = 5, most: int = 36, text: str = "text") -> DataFrame:
+def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity: float = 0.8, prints: int = 5, most: int = 36, share: float = 0.205, text: str = "text") -> DataFrame:
     """(key, component) of every row: rows joined, directly or through others, by links of at least this Jaccard similarity of shingle sets.
 
     Rows of equal sets are merged. Candidates are sets of which one of `prints` independent prints of 128 bits differs in at most
     `most` bits, and in at most one of some 24-bit segment (deletion variants, as in links()); every candidate is then checked on the
     sets themselves, so that no component holds a false link. Of the pairs of a key first each set's nearest and least partner are checked, and in keys of over LISTED
-    members pairs with a few pivots, round by round, which joins crowds of near copies; all pairs that are still in different components then follow, so none is left out.
+    members pairs with a few pivots, round by round, which joins crowds of near copies; all pairs that are still in different components then follow, so none is left out,
+    but for those that differ in more than `share` of the bits of all prints: at a similarity of 0.8 that is nearly four standard deviations above the mean.
     """
     spark = rows.sparkSession
     held = materialize(set_prints(rows, shingle=shingle, prints=prints, key=key, text=text), "prints")
     names = [f"w{i}" for i in range(2 * prints)]
+    total = int(share * PRINT * prints)
     distinct = materialize(held.where("n > 0").groupBy("node").agg(F.min(key).alias(key), *(F.first(c).alias(c) for c in ("n", *names))), "sets")
 
     def listed(nodes: DataFrame, every: bool) -> list[DataFrame]:
         """One written table of _listed() for each print."""
-        # a set becomes PARTS * (WIDTH + 1) rows of 56 bytes, so the partitions are sized for these and not for the input
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PARTS * (WIDTH + 1) * 56 // PARTITION_BYTES))
-        return [materialize(_listed(_expanded(nodes, p), most, similarity, partitions, every), "pairs") for p in range(prints)]
+        # a set becomes PARTS * (WIDTH + 1) rows of so many bytes, so the partitions are sized for these and not for the input
+        width = 56 + 16 * prints * every
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PARTS * (WIDTH + 1) * width // PARTITION_BYTES))
+        return [materialize(_listed(_expanded(nodes, p, every), most, similarity, partitions, every, total), "pairs") for p in range(prints)]
 
     passes = listed(distinct.withColumn("label", F.lit(0).cast("long")), False)
     out = reduce(DataFrame.unionByName, passes)
@@ -490,14 +501,19 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     texts = rows.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(small_enough(owners, 32), "__key")
     sets = materialize(_shingles(texts, shingle, "text"), "shingles")
 
+    tried: list[DataFrame] = []
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct(), "candidates")
+        """The links among pairs; pairs that were checked before aren't checked again."""
+        pairs = pairs.distinct()
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "candidates")
+        tried.append(pairs)
         one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         kept = F.col("common") + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))
-        links = materialize(both.where(kept).select("a", "b"), "verified")
-        discard(pairs)
-        return links
+        return materialize(both.where(kept).select("a", "b"), "verified")
 
     def nearest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b")
@@ -519,7 +535,7 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
         met = materialize(held_keys.join(open_, "key", "left_semi"), "mixed")
         p = F.shiftright("key", 52)
         words = [F.element_at(F.array(*(F.col(f"w{2 * i + j}") for i in range(prints))), (p + 1).cast("int")).alias(f"w{j}") for j in (0, 1)]
-        return materialize(met.join(distinct.select("node", "n", *names), "node").select("key", *words, "node", "n", "label"), "mixed")
+        return materialize(met.join(distinct.select("node", "n", *names), "node").select("key", *words, "node", "n", "label", *(F.col(c).alias(f"x{c[1:]}") for c in names)), "mixed")
 
     left = mixed()
     for turn in range(ROUNDS):
@@ -532,9 +548,9 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
         parts = materialize(connected_components(edges), "parts")
         left = mixed()
     if not left.isEmpty():
-        edges = edges.unionByName(verified(_left(left, most, similarity)))
+        edges = edges.unionByName(verified(_left(left, most, similarity, total)))
         parts = materialize(connected_components(edges), "parts")
-    discard(sets)
+    discard(sets, *tried)
     return held.join(parts, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
 
 
