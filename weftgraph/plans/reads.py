@@ -116,18 +116,17 @@ def _random(spark, sf_dir):
     return K.select_random(_frequency(spark, sf_dir), RANDOM)
 
 
-def _markers(spark, sf_dir):
-    return K.find_markers(_dna(spark, sf_dir), _random(spark, sf_dir), KMER)
+def _markers(spark, sf_dir, **named):
+    return K.find_markers(_dna(spark, sf_dir), _random(spark, sf_dir), KMER, **named)
 
 
 def markers_by_kmer(spark, sf_dir):
-    found = K.markers_by_kmer(_markers(spark, sf_dir))
+    found = K.markers_by_kmer(K.marker_arrays(_dna(spark, sf_dir), _random(spark, sf_dir), KMER))
     return found.select("oriented_id", F.md5(F.array_join(F.transform("sorted_markers", lambda x: F.concat_ws(":", x["kmer"], x["ordinal"].cast("string"))), ",")).alias("digest"))
 
 
 def marker_partners(spark, sf_dir):
-    lengths = _dna(spark, sf_dir).select("read_id", F.length("bases").alias("length"))
-    found = K.reverse_complement_markers(_markers(spark, sf_dir), lengths, KMER)
+    found = K.reverse_complement_markers(_markers(spark, sf_dir, counted=True), None, KMER)
     return found.groupBy("oriented_id").agg(F.count("*").alias("n"), F.sum(F.col("ordinal") * F.col("position")).cast("long").alias("checksum"))
 
 
@@ -146,7 +145,7 @@ QUERIES = {
     "marker_frequency": lambda s, d: K.marker_frequency(_markers(s, d)),
     "markers_by_kmer": markers_by_kmer,
     "marker_partners": marker_partners,
-    "downsample_markers": lambda s, d: K.downsample_markers(_markers(s, d), SAMPLE),
+    "downsample_markers": lambda s, d: _markers(s, d, sample=SAMPLE).where("sampled_ordinal is not null"),
 }
 
 _RC = "translate(reverse({0}), 'ACGT', 'TGCA')"
