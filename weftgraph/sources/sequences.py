@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftgraph.storage import materialize
 
 FASTA = ("fasta", "fa", "FASTA", "FA")
 FASTQ = ("fastq", "fq", "FASTQ", "FQ")
@@ -31,20 +34,41 @@ def read_fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame
 def read_fastq(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
     """(name, meta, bases, length) of FASTQ files of strictly four lines a read; any violation is an error.
 
-    The third line may go on after its '+'; qualities are checked for length only. Records can't be told from a line alone, so one file is
-    one task's scan; many files are many tasks.
+    The third line may go on after its '+'; qualities are checked for length only. Only a header and a quality may start with '@', so
+    '\\n@' parts a file into pieces of four lines, or of three and one where the quality starts so, and any number of tasks scan one file.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n$", "").alias("value"))
-    lines = F.split("value", "\n")
-    n = F.size(lines)
-    checked = whole.select(F.when((F.col("value") != "") & (n % 4 != 0), F.raise_error(F.lit("a FASTQ file needs four lines a read"))).otherwise(lines).alias("lines"))
-    rows = checked.where(F.size("lines") >= 4).select("lines", F.explode(F.sequence(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1)).alias("i"))
-    at = lambda k: F.element_at("lines", F.col("i") * 4 + k + 1)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    raw = spark.read.option("lineSep", "\n@").text(path).select("value", *place)
+    # one row a block of a file: where its pieces begin and end
+    blocks = raw.groupBy("file", "block").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    by = Window.partitionBy("file").orderBy("block")
+    blocks = materialize(blocks.select("*", F.lead("block").over(by).alias("next_block"), F.lead("low").over(by).alias("next_low"), (F.row_number().over(by) == 1).alias("head")), "blocks")
+    placed = raw.join(F.broadcast(blocks), ["file", "block"], "left")  # one row a block
+    other = F.raise_error(F.lit("the FASTQ file, or how it is split, has changed since its blocks were listed")).cast("boolean")
+    first, last = F.col("head") & (F.col("id") == F.col("low")), F.col("next_block").isNull() & (F.col("id") == F.col("high"))
+    text = F.when(last, F.regexp_replace("value", r"\n$", "")).otherwise(F.col("value"))
+    empty = first & last & (text == "")
+    headless = first & ~text.startswith("@")
+    lines = F.split(F.when(first, F.substring(text, 2, 1 << 30)).otherwise(text), "\n")
+    rows = placed.where(F.when(F.coalesce(F.col("id").between(F.col("low"), F.col("high")), F.lit(False)), ~empty).otherwise(other)).select("file", "block", "id", "high", "next_block", "next_low", headless.alias("headless"), lines.alias("lines"))
+    n = F.size("lines")
+    odd = rows.where(n != 4).select(
+        "file", "block", "id", "high", "next_block", "next_low", n.alias("n"), F.when(n == 3, F.length(F.get("lines", F.lit(1)))).otherwise(F.length(F.get("lines", F.lit(0))) + 1).alias("length"),
+    )
+    odd = materialize(odd, "odd_pieces")
+    more = F.col("id") < F.col("high")
+    opened = odd.where("n = 3").select("file", F.when(more, F.col("block")).otherwise(F.col("next_block")).alias("block"), F.when(more, F.col("id") + 1).otherwise(F.col("next_low")).alias("id"), F.col("length").alias("bases"))
+    paired = opened.join(odd.where("n = 1").select("file", "block", "id", F.col("length").alias("quality")), ["file", "block", "id"], "full").where("bases is null or quality is null or bases != quality")
+    wrong = paired.select("file").unionByName(odd.where("n not in (1, 3)").select("file"))
+    at = lambda k: F.get("lines", F.lit(k))
     bases = F.upper(at(1))
-    bad = ~at(0).startswith("@") | ~at(2).startswith("+") | (F.length(at(1)) != F.length(at(3))) | ~bases.rlike("^[ACGT]*$")
-    rows = rows.select(F.substring(at(0), 2, 1 << 30).alias("header"), F.when(bad, F.raise_error(F.concat(F.lit("bad FASTQ read "), at(0)))).otherwise(bases).alias("bases"))
+    bad = F.col("headless") | ~at(2).startswith("+") | ((n == 4) & (F.length(at(1)) != F.length(at(3)))) | ~bases.rlike("^[ACGT]*$")
+    found = rows.where(n.isin(3, 4)).select(at(0).alias("header"), F.when(bad, F.raise_error(F.concat(F.lit("bad FASTQ read "), at(0)))).otherwise(bases).alias("bases"))
     name, meta = _header(F.col("header"))
-    return rows.where(F.length("bases") >= min_length).select(name.alias("name"), meta.alias("meta"), "bases", F.length("bases").cast("long").alias("length"))
+    kept = found.where(F.length("bases") >= min_length).select(name.alias("name"), meta.alias("meta"), "bases", F.length("bases").cast("long").alias("length"))
+    stop = F.raise_error(F.concat(F.lit("a FASTQ file needs four lines a read, and a quality as long as its bases: "), F.col("file"))).cast("string")
+    none = wrong.where(stop.isNotNull()).select(*(F.lit(None).cast(kind).alias(c) for c, kind in kept.dtypes))
+    return kept.unionByName(none)
 
 
 def load_reads(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
