@@ -246,14 +246,23 @@ def key_segments(compressed: DataFrame) -> DataFrame:
 
 
 def subset_graph(sets: DataFrame, owner: str, member: str) -> DataFrame:
-    """(larger, smaller): a set holds all members of another and more. Pairs come from common members, not from all pairs of sets."""
-    distinct = sets.select(owner, member).distinct()
-    sizes = distinct.groupBy(owner).agg(F.count("*").alias("size"))
-    a = distinct.select(F.col(owner).alias("larger"), member)
-    b = distinct.select(F.col(owner).alias("smaller"), member)
-    common = a.join(b, member).where("larger != smaller").groupBy("larger", "smaller").agg(F.count("*").alias("common"))
-    la, sb = sizes.select(F.col(owner).alias("larger"), F.col("size").alias("ls")), sizes.select(F.col(owner).alias("smaller"), F.col("size").alias("ss"))
-    return common.join(la, "larger").join(sb, "smaller").where("common = ss and ss < ls").select("larger", "smaller")
+    """(larger, smaller): a set holds all members of another and more.
+
+    A set is looked up by its rarest member alone, among the sets that hold it. Of those, 64 bits drawn from the members leave few that the
+    members themselves must be compared with. A null is a member that equals no other.
+    """
+    distinct = materialize(sets.select(F.col(owner).alias("owner"), F.col(member).alias("member")).where("owner is not null").distinct(), "sets")
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(member), 64) as int))")
+    whole = materialize(distinct.groupBy("owner").agg(F.count("*").alias("size"), F.bit_or(bit).alias("bits"), F.sort_array(F.collect_set("member")).alias("members")), "whole")
+    held = whole.select("owner", "size", "bits", F.explode("members").alias("member"))
+    rarity = distinct.groupBy("member").agg(F.count("*").alias("n"))
+    full = held.join(rarity, "member").groupBy("owner").agg(F.min(F.struct("n", "member")).alias("rarest"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.count("*").alias("known")).where("known = size")
+    probes = full.select(F.col("owner").alias("smaller"), F.col("size").alias("ss"), F.col("bits").alias("sb"), F.col("rarest.member").alias("member"))
+    index = held.select(F.col("owner").alias("larger"), F.col("size").alias("ls"), F.col("bits").alias("lb"), "member")
+    met = probes.join(index, "member").where((F.col("ss") < F.col("ls")) & (F.col("sb").bitwiseAND(F.col("lb")) == F.col("sb"))).select("larger", "smaller", "ss")
+    one = met.where("ss = 1").select("larger", "smaller")  # its only member was looked up
+    rest = met.where("ss > 1").join(whole.select(F.col("owner").alias("larger"), F.col("members").alias("x")), "larger").join(whole.select(F.col("owner").alias("smaller"), F.col("members").alias("y")), "smaller")
+    return one.unionByName(rest.where(F.size(F.array_except("y", "x")) == 0).select("larger", "smaller"))
 
 
 # ---- Small graphs, inside one task (B18) -----------------------------------------------------------
