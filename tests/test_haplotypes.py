@@ -101,3 +101,14 @@ def test_regions_and_outputs(spark):
         gfa = sinks.gfa_lines(pieces.selectExpr("name as id", "sequence", "0 as reads"), H.joined(pieces)).count()
         assert gfa == 1 + len(names) + len(links)
     assert H.phased(df.limit(0)).count() == 0 and H.transfer(df.limit(0)).count() == 0
+
+
+def test_no_frame_shrinks_along_a_chain(spark):
+    rows = [(1, i, 0, "A", 1, (i // 9) if i % 2 else None, 0) for i in range(50)]
+    spans = H.phasing_spans(spark.createDataFrame(rows, SCHEMA))
+    assert "UNBOUNDED FOLLOWING" not in spans._jdf.queryExecution().optimizedPlan().toString().upper().replace("UNBOUNDEDFOLLOWING$()", "UNBOUNDED FOLLOWING")
+    got = {x.position: x.component for x in spans.collect()}
+    for i in range(50):
+        behind = [c for _, p, _, _, _, c, _ in rows if p >= i and c is not None][:1]
+        before = [c for _, p, _, _, _, c, _ in rows if p <= i and c is not None][-1:]
+        assert got[i] == (before[0] if before and before == behind else None)

@@ -77,8 +77,10 @@ def phasing_spans(branches: DataFrame) -> DataFrame:
     """
     edges = branches.groupBy("chain", "position").agg(F.max("component").alias("component"))
     by = Window.partitionBy("chain").orderBy("position")
-    upto, since = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    seen = edges.select("chain", "position", F.last("component", True).over(upto).alias("before"), F.first("component", True).over(since).alias("behind"), "component")
+    back = Window.partitionBy("chain").orderBy(F.desc("position"))
+    # both frames grow row by row; one that shrinks towards the end would be gone through anew for every row
+    upto, since = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (by, back))
+    seen = edges.select("chain", "position", F.last("component", True).over(upto).alias("before"), F.last("component", True).over(since).alias("behind"), "component")
     # an edge between two bubbles of one component lies in their region, if no other component came in between: the next phased bubble is the next one
     phased = seen.withColumn("component", F.when(F.col("before") == F.col("behind"), F.col("before")))
     changed = ~F.col("component").eqNullSafe(F.lag("component").over(by)) | F.lag("position").over(by).isNull()
