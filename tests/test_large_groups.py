@@ -5,7 +5,10 @@ import random
 import pytest
 
 from weftgraph.operators import assembly_graph as B
+from weftgraph.operators import journeys as J
 from weftgraph.operators import marker_graph as G
+from weftgraph.operators import snippets as S
+from weftgraph.operators import walks as W
 from weftgraph.sources.sequences import load_reads
 
 
@@ -98,3 +101,55 @@ def test_fastq_errors(spark, tmp_path, text):
     (tmp_path / "x.fastq").write_text(text)
     with pytest.raises(Exception, match="FASTQ"):
         load_reads(spark, f"file://{tmp_path}/x.fastq").collect()
+
+
+def test_segment_pairs_join_no_pair_with_all_owners(spark):
+    draw = random.Random(8)
+    members = sorted({(s, o) for o in range(300) for s in draw.sample(range(12), 2)})
+    members = [(s, o, 1, draw.randrange(400) if draw.random() < 0.97 else None) for s, o in members]
+    spans = [(o, *sorted((draw.randrange(-50, 450), draw.randrange(-50, 450)))) for o in range(290)]
+    lengths = [(s, draw.randrange(1, 200)) for s in range(11)]
+    want, at, span, long = {}, {(s, o): x for s, o, _, x in members}, {o: x for o, *x in spans}, dict(lengths)
+    got = J.segment_pairs(spark.createDataFrame(members, "segment long, owner long, n long, offset long"), spark.createDataFrame(spans, "owner long, first long, last long"), spark.createDataFrame(lengths, "segment long, length long"))
+    rows = {(r.a, r.b): r for r in got.collect()}
+    offsets = {(r.a, r.b): r.offset for r in J.pair_offsets(spark.createDataFrame(members, "segment long, owner long, n long, offset long"), "owner", "segment").collect()}
+    for (a, b), off in offsets.items():
+        want[a, b] = []
+        for here, there, sign in ((a, b, 1), (b, a, -1)):
+            n = [0, 0]
+            for (s, o), x in at.items():
+                if s == here and (there, o) not in at and x is not None and o in span and there in long and off is not None:
+                    begin = x + sign * off
+                    n[not (begin < span[o][1] and begin + long[there] > span[o][0])] += 1
+            want[a, b] += n
+    assert {k: [r.unexplained_a, r.short_a, r.unexplained_b, r.short_b] for k, r in rows.items()} == want
+    assert rows_of_joins(got) <= 2 * len(members)
+
+
+def test_a_step_meets_each_owner_with_its_own_links(spark):
+    steps = [(o, 0, 1 + o % 40) for o in range(400)]
+    visits = [(o, i, s) for o, a, b in steps for i, s in enumerate((a, b))]
+    links = [(0, 1 + i, 0) for i in range(40)]
+    ground = W._Ground(
+        spark.createDataFrame(visits, "owner long, idx long, segment long"), spark.createDataFrame(steps, "owner long, s0 long, s1 long"), spark.createDataFrame(links, "s0 long, s1 long, separation long"),
+        spark.createDataFrame([], "a long, b long, common long, raw_jaccard double"), "owner", "segment", True, W.WalkOptions(),
+    )
+    moved = ground.step(spark.createDataFrame([(x, 0, 0) for x in range(5)], "start long, ref long, at long"))
+    assert sorted((r.start, r.next) for r in moved.collect()) == [(x, 1) for x in range(5)]
+    assert rows_of_joins(moved) <= 400
+
+
+@pytest.mark.parametrize("universe", [14, 90])
+def test_containment_shuffles_no_pair_that_fails(spark, universe):
+    draw = random.Random(9)
+    sets = list({tuple(sorted(draw.sample(range(universe), draw.randrange(1, 14)))) for _ in range(250)})
+    sets = [(i, i % 2, list(x)) for i, x in enumerate(sets)]
+    got = S.containment(spark.createDataFrame(sets, "id long, subgraph int, members array<long>"), 0.1)
+    want = {(i, j) for i, g, x in sets for j, h, y in sets if g == h and i != j and len(set(y) - set(x)) <= int(0.1 * len(y) + 0.5)}
+    rows = [(r.larger, r.smaller) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    try:
+        joined = rows_of_joins(got)
+    except ValueError:  # no join is left once nothing is to be compared
+        joined = 0
+    assert joined <= (3 * len(want) if universe > 64 else 0)

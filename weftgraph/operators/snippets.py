@@ -10,6 +10,10 @@ from weftgraph.operators.graph import strong_components
 from weftgraph.storage import discard, materialize
 
 
+#: Bits of a long.
+BITS = 64
+
+
 def journey_snippets(journeys: DataFrame, subgraphs: DataFrame, *, owner: str = "owner", segment: str = "segment") -> DataFrame:
     """(subgraph, owner, first, last, segments, members): maximal runs of each journey (owner, idx, segment) inside each subgraph (subgraph, segment).
 
@@ -27,18 +31,29 @@ def containment(sets: DataFrame, fraction: float = 0.05) -> DataFrame:
     """(larger, smaller) of sets (id, subgraph, members) of which the larger holds all but round(fraction * size) members of the smaller.
 
     A set that holds all but t members of another holds at least one of any t + 1 of them: the t + 1 rarest are looked up, so
-    a member that all sets share is looked up only by sets that have no rarer ones.
+    a member that all sets share is looked up only by sets that have no rarer ones. A set's members are also bits of a long, so that pairs
+    of which too much is missing go where they are met, before they are shuffled.
     """
     sized = sets.select("id", "subgraph", "members", F.size("members").alias("size"), F.round(F.lit(fraction) * F.size("members")).cast("int").alias("spare"))
     member = materialize(sized.select("id", "subgraph", "size", "spare", F.explode("members").alias("member")), "members")
     rarity = member.groupBy("subgraph", "member").agg(F.count("*").alias("n"))
+    # each member of a subgraph has a bit; beyond BITS members share bits, and what passes by bits is then held against the members
+    place = F.row_number().over(Window.partitionBy("subgraph").orderBy("n", "member")) - 1
+    rarity = materialize(rarity.withColumns({"bit": place, "few": F.count("*").over(Window.partitionBy("subgraph")) <= BITS}), "members")
+    bits = member.join(rarity, ["subgraph", "member"]).groupBy("id").agg(F.bit_or(F.expr(f"shiftleft(1L, bit % {BITS})")).alias("bits"))
+    member = materialize(member.join(rarity, ["subgraph", "member"]).join(bits, "id"), "members")
     by = Window.partitionBy("id").orderBy("n", "member")
-    probes = member.join(rarity, ["subgraph", "member"]).withColumn("k", F.row_number().over(by)).where(F.col("k") <= F.col("spare") + 1)
-    probes = probes.select("subgraph", "member", F.col("id").alias("smaller"), (F.col("size") - F.col("spare")).alias("least"))
-    met = probes.join(member.select("subgraph", "member", F.col("id").alias("larger"), "size"), ["subgraph", "member"]).where("larger != smaller and size >= least").select("larger", "smaller", "least").distinct()
+    probes = member.withColumn("k", F.row_number().over(by)).where(F.col("k") <= F.col("spare") + 1)
+    probes = probes.select("subgraph", "member", F.col("id").alias("smaller"), (F.col("size") - F.col("spare")).alias("least"), "spare", F.col("bits").alias("y"), "few")
+    held = probes.join(member.select("subgraph", "member", F.col("id").alias("larger"), "size", F.col("bits").alias("x")), ["subgraph", "member"])
+    held = held.where("larger != smaller and size >= least and bit_count(y & ~x) <= spare")
+    # a set without spare members has one probe, so meets each other set once
+    met = held.where("spare = 0").select("larger", "smaller", "least", "few").unionByName(held.where("spare > 0").select("larger", "smaller", "least", "few").distinct())
+    met = materialize(met, "met")
     own = sized.select("id", "members")
-    both = met.join(own.select(F.col("id").alias("larger"), F.col("members").alias("x")), "larger").join(own.select(F.col("id").alias("smaller"), F.col("members").alias("y")), "smaller")
-    return both.where(F.size(F.array_intersect("x", "y")) >= F.col("least")).select("larger", "smaller")
+    crowded = met.where("not few").join(own.select(F.col("id").alias("larger"), F.col("members").alias("x")), "larger").join(own.select(F.col("id").alias("smaller"), F.col("members").alias("y")), "smaller")
+    crowded = crowded.where(F.size(F.array_intersect("x", "y")) >= F.col("least"))
+    return met.where("few").select("larger", "smaller").unionByName(crowded.select("larger", "smaller"))
 
 
 def snippet_clusters(snippets: DataFrame, *, fraction: float = 0.05, least_snippets: int = 6) -> DataFrame:

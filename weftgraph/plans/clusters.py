@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from weftgraph.operators import snippets as S
 from weftgraph.operators import superbubbles as D
 from weftgraph.plans.common import table
-from weftgraph.plans.walks import _GROUND, _ground, _listed
+from weftgraph.plans.walks import _GROUND, _listed, _visits
 
 
 def _shipments(spark, sf_dir) -> DataFrame:
@@ -43,7 +43,7 @@ def superbubble_verdicts(spark, sf_dir):
 
 
 def snippet_clusters(spark, sf_dir):
-    visits = _ground(spark, sf_dir)[0]
+    visits = _visits(spark, sf_dir)
     three_days = F.floor(F.col("segment") / 300).alias("subgraph")
     parts = S.journey_snippets(visits, visits.select(three_days, "segment").distinct())
     return S.cluster_segments(S.snippet_clusters(parts)).select("subgraph", _listed("top"), "segment", "coverage")
