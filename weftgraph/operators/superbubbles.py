@@ -74,17 +74,18 @@ def choke_points(edges: list[tuple[int, int]], start: int, stop: int) -> tuple[l
     return path, chunk
 
 
-def _take_apart(pdf: pd.DataFrame, chunk_edges: int, chunk_paths: int) -> list[tuple]:
-    """What becomes of one superbubble: rows (chunk, kind, src, dst, eids)."""
-    start, stop = int(pdf["start"].iloc[0]), int(pdf["stop"].iloc[0])
-    info = {int(e): (int(s), int(t), float(c), float(n)) for e, s, t, c, n in zip(pdf["eid"], pdf["src"], pdf["dst"], pdf["coverage"], pdf["length"], strict=True)}
+def _take_apart(start: int, stop: int, info: dict[int, tuple[int, int, float, float]], chunk_edges: int, chunk_paths: int) -> list[tuple]:
+    """What becomes of one superbubble of edges eid: (src, dst, coverage, length): rows (chunk, kind, src, dst, eids)."""
     pairs = sorted({x[:2] for x in info.values()})
     path, chunk_of = choke_points(pairs, start, stop)
     if not path:
         return [(-1, "no way through", start, stop, [])]
     rows = [(-1, "unreachable", s, t, []) for s, t in pairs if (s, t) not in chunk_of]
+    chunks: dict = defaultdict(list)
+    for e, (s, t, _, _) in info.items():
+        chunks[chunk_of.get((s, t))].append((e, s, t))
     for i, (here, there) in enumerate(zip(path, path[1:])):
-        inside = [(e, s, t) for e, (s, t, _, _) in info.items() if chunk_of.get((s, t)) == i]
+        inside = chunks[i]
         if all(t == there for _, s, t in inside if s == here):
             continue
         if len(inside) > chunk_edges:
@@ -115,13 +116,15 @@ def _take_apart(pdf: pd.DataFrame, chunk_edges: int, chunk_paths: int) -> list[t
     return rows
 
 
-def superbubbles(edges: DataFrame, *, inner: str = "inner", most_nodes: int = 50) -> DataFrame:
+def superbubbles(edges: DataFrame, *, inner: str = "inner", most_nodes: int = 50, parts: DataFrame | None = None) -> DataFrame:
     """(component, nodes, start, stop, verdict) of every component of inner edges that isn't a single chain of edges.
 
     edges has (eid, src, dst, `inner`), each eid once. An entrance has an edge from outside and one to the inside, an exit the reverse; the verdict is "ready" with
-    one of each and at most most_nodes nodes, else the reason why the superbubble is left as it is.
+    one of each and at most most_nodes nodes, else the reason why the superbubble is left as it is. `parts` are the
+    components (node, component) of the inner edges, if known.
     """
-    parts = materialize(connected_components(edges.where(F.col(inner)), "src", "dst"), "superbubbles")
+    if parts is None:
+        parts = materialize(connected_components(edges.where(F.col(inner)), "src", "dst"), "superbubbles")
     side = lambda x, name: parts.select(F.col("node").alias(x), F.col("component").alias(name))
     placed = edges.where("src != dst").join(side("src", "cs"), "src", "left").join(side("dst", "cd"), "dst", "left").select("src", "dst", "cs", "cd")
     inside = F.col("cs").eqNullSafe(F.col("cd"))
@@ -142,7 +145,7 @@ def superbubbles(edges: DataFrame, *, inner: str = "inner", most_nodes: int = 50
     return found.select("component", "nodes", "start", "stop", verdict.alias("verdict"))
 
 
-def superbubble_plans(edges: DataFrame, found: DataFrame, *, inner: str = "inner", chunk_edges: int = 20, chunk_paths: int = 20) -> DataFrame:
+def superbubble_plans(edges: DataFrame, found: DataFrame, *, inner: str = "inner", chunk_edges: int = 20, chunk_paths: int = 20, parts: DataFrame | None = None) -> DataFrame:
     """What becomes of each ready superbubble of superbubbles(): (component, chunk, kind, src, dst, eids).
 
     The dominator trees from both ends give the choke points that cut a superbubble into chunks. "unreachable" edges (src, dst) lie on no way
@@ -152,17 +155,23 @@ def superbubble_plans(edges: DataFrame, found: DataFrame, *, inner: str = "inner
     A group holds at most most_nodes nodes and, of parallel edges, one more than chunk_edges, which already decide that a chunk stays.
     """
     ship(edges.sparkSession)
-    parts = found.where("verdict = 'ready'")
+    ready = found.where("verdict = 'ready'").select("component", "start", "stop")
     members = edges.where(F.col(inner) & (F.col("src") != F.col("dst")))
     kept = members.withColumn("k", F.row_number().over(Window.partitionBy("src", "dst").orderBy("eid"))).where(F.col("k") <= chunk_edges + 1)
-    labels = connected_components(members, "src", "dst").join(parts.select("component", "start", "stop"), "component")
-    rows = kept.join(labels, F.col("src") == F.col("node")).select("component", "start", "stop", "eid", "src", "dst", F.col("coverage").cast("double").alias("coverage"), F.col("length").cast("double").alias("length"))
+    labels = connected_components(members, "src", "dst") if parts is None else parts
+    fields = {"eid": "long", "src": "long", "dst": "long", "coverage": "double", "length": "double"}
+    rows = kept.join(labels, F.col("src") == F.col("node")).select("component", F.struct(*(F.col(x).cast(kind).alias(x) for x, kind in fields.items())).alias("e"))
+    whole = rows.groupBy("component").agg(F.collect_list("e").alias("e")).join(ready, "component").select("component", "start", "stop", *(F.transform("e", lambda e: e[x]).alias(x) for x in fields))  # noqa: B023
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _take_apart(pdf, chunk_edges, chunk_paths)
-        return pd.DataFrame([(int(pdf["component"].iloc[0]), *x) for x in out], columns=["component", "chunk", "kind", "src", "dst", "eids"])
+    def take(batches):
+        for pdf in batches:
+            out = []
+            for component, start, stop, *lists in zip(*(pdf[x].tolist() for x in pdf.columns), strict=True):
+                info = {e: tuple(x) for e, *x in zip(*(x.tolist() for x in lists), strict=True)}
+                out += [(component, *x) for x in _take_apart(start, stop, info, chunk_edges, chunk_paths)]
+            yield pd.DataFrame(out, columns=["component", "chunk", "kind", "src", "dst", "eids"])
 
-    return rows.groupBy("component").applyInPandas(take, _PLAN)
+    return whole.mapInPandas(take, _PLAN)
 
 
 def resolve_superbubbles(edges: DataFrame, *, inner: str = "inner", most_nodes: int = 50, chunk_edges: int = 20, chunk_paths: int = 20) -> DataFrame:
@@ -171,12 +180,14 @@ def resolve_superbubbles(edges: DataFrame, *, inner: str = "inner", most_nodes:
     An edge that stays is a path of its own, of kind "kept"; new edges are "single" or one of two "branch" edges, their paths the edges they stand for. Self-loops inside a
     superbubble stay. Without a superbubble the edges come back as they are.
     """
-    found = materialize(superbubbles(edges, inner=inner, most_nodes=most_nodes), "superbubbles")
-    plans = materialize(superbubble_plans(edges, found, inner=inner, chunk_edges=chunk_edges, chunk_paths=chunk_paths), "superbubbles")
+    edges = materialize(edges, "superbubbles")
+    parts = materialize(connected_components(edges.where(F.col(inner)), "src", "dst"), "superbubbles")
+    found = materialize(superbubbles(edges, inner=inner, most_nodes=most_nodes, parts=parts), "superbubbles")
+    plans = materialize(superbubble_plans(edges, found, inner=inner, chunk_edges=chunk_edges, chunk_paths=chunk_paths, parts=parts), "superbubbles")
     gone = plans.where("kind = 'replaced'").select(F.explode("eids").alias("eid"))
     dead = plans.where("kind = 'unreachable'").select("src", "dst").withColumn(inner, F.lit(True))
     left = edges.join(gone, "eid", "left_anti").join(dead, ["src", "dst", inner], "left_anti")
     kept = left.select("src", "dst", F.lit("kept").alias("kind"), F.array("eid").alias("path"))
     out = materialize(kept.unionByName(plans.where("kind in ('single', 'branch')").select("src", "dst", "kind", F.col("eids").alias("path"))), "resolved")
-    discard(found, plans)
+    discard(edges, parts, found, plans)
     return out
