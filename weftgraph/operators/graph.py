@@ -98,18 +98,23 @@ def spanning_forest(edges: DataFrame, score: str = "log_p") -> DataFrame:
     Equal scores go by (a, b), so the forest is unique and that of sorted greedy insertion.
     """
     edges = materialize(edges, "forest")
-    order = [F.col(score).alias("s"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb")]
-    label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("c", F.col("node"))
-    chosen: DataFrame | None = None
+    rank = F.struct(F.col(score).alias("s"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
+    # what is left between components, under their labels; a round works on the last one's components alone
+    left = edges.where("a != b").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"), rank.alias("rank"))
+    chosen: list[DataFrame] = []
     while True:
-        la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-        across = edges.join(la, "a").join(lb, "b").where("ca != cb")
-        ends = across.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct(*order).alias("rank"), "a", "b")
-        best = ends.groupBy("c").agg(F.max_by(F.struct("a", "b"), "rank").alias("e")).select(F.col("e.a").alias("a"), F.col("e.b").alias("b")).distinct()
-        best = materialize(best, "forest")
+        ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), "rank", F.struct("a", "b", "ca", "cb").alias("e"))
+        best = materialize(ends.groupBy("c").agg(F.max_by("e", "rank").alias("e")).select("e.*").distinct(), "forest")
         if best.isEmpty():
             break
-        chosen = best if chosen is None else materialize(chosen.unionByName(best).distinct(), "forest")
-        parts = connected_components(chosen)
-        label = materialize(label.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "forest")
-    return edges.join(chosen, ["a", "b"]).select(edges.columns) if chosen is not None else edges.limit(0)
+        chosen.append(best.select("a", "b"))
+        parts = materialize(connected_components(best, "ca", "cb"), "forest")
+        la, lb = parts.select(F.col("node").alias("ca"), F.col("component").alias("na")), parts.select(F.col("node").alias("cb"), F.col("component").alias("nb"))
+        left = left.join(la, "ca").join(lb, "cb").where("na != nb").select("a", "b", F.col("na").alias("ca"), F.col("nb").alias("cb"), "rank")
+        left = materialize(left, "forest")
+    if not chosen:
+        return edges.limit(0)
+    found = chosen[0]
+    for more in chosen[1:]:
+        found = found.unionByName(more)
+    return edges.join(found, ["a", "b"]).select(edges.columns)
