@@ -6,8 +6,10 @@ import pytest
 
 from weftgraph.operators import assembly_graph as B
 from weftgraph.operators import journeys as J
+from weftgraph.operators import lowhash as L
 from weftgraph.operators import marker_graph as G
 from weftgraph.operators import snippets as S
+from weftgraph.operators import superbubbles as D
 from weftgraph.operators import walks as W
 from weftgraph.sources.sequences import load_reads
 
@@ -153,3 +155,75 @@ def test_containment_shuffles_no_pair_that_fails(spark, universe):
     except ValueError:  # no join is left once nothing is to be compared
         joined = 0
     assert joined <= (3 * len(want) if universe > 64 else 0)
+
+
+def test_common_members_are_counted_without_a_join(spark):
+    draw = random.Random(10)
+    rows = [(draw.choice([None, *range(30)]), draw.choice([None, *range(50)])) for _ in range(900)]
+    got = L.common_members(spark.createDataFrame(rows, "o long, m long"), "o", "m")
+    held = {o: {m for x, m in rows if x == o and m is not None} for o, _ in rows if o is not None}
+    want = {(a, b, len(held[a] & held[b])) for a in held for b in held if a < b and held[a] & held[b]}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_superbubbles_label_components_once(spark, monkeypatch):
+    rows = []
+    for b in range(20):
+        x = b * 10
+        rows += [(x, x - 5000, x, 1, 1, False), (x + 1, x, x + 1, 5 + b % 2, 1, True), (x + 2, x, x + 2, 3, 1, True), (x + 3, x + 1, x + 3, 5, 1, True), (x + 4, x + 2, x + 3, 4, 1, True), (x + 5, x, x + 3, 1, 1, True), (x + 6, x + 3, x + 5000, 1, 1, False)]
+    calls, real = [], D.connected_components
+    monkeypatch.setattr(D, "connected_components", lambda *args: calls.append(args) or real(*args))
+    got = D.resolve_superbubbles(spark.createDataFrame(rows, "eid long, src long, dst long, coverage long, length long, inner boolean"))
+    want = []
+    for b in range(20):
+        x = b * 10
+        want += [(x - 5000, x, "kept", [x]), (x + 3, x + 5000, "kept", [x + 6]), (x, x + 3, "branch", [x + 1, x + 3]), (x, x + 3, "branch", [x + 2, x + 4])]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert len(calls) == 1
+
+
+def test_forest_rounds_work_on_what_is_left(spark, monkeypatch):
+    from weftgraph.operators import graph
+
+    draw = random.Random(11)
+    rows = sorted({(*sorted(draw.sample(range(60), 2)), draw.randrange(40)) for _ in range(160)})
+    rows = list({x[:2]: x for x in rows}.values())
+    sizes, real = [], graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda edges, *names: sizes.append(edges.count()) or real(edges, *names))
+    got = graph.spanning_forest(spark.createDataFrame(rows, "a long, b long, s long"), "s")
+    parent = {x: x for x in range(60)}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    want = []
+    for a, b, s in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            want.append((a, b, s))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert len(sizes) > 1 and sum(sizes) == len(want)
+
+
+def test_marker_connectivity_looks_outwards_only(spark, monkeypatch):
+    draw = random.Random(12)
+    rows = sorted({(a, draw.randrange(4), a + draw.randrange(1, 6), draw.randrange(4)) for a in range(0, 200, 3) for _ in range(2)})
+    monkeypatch.setattr(G, "connected_components", None)
+    got = G.marker_connectivity(spark.createDataFrame(rows, "r0 long, o0 int, r1 long, o1 int"), rows[0][0], rows[0][1])
+    near = {rows[0][:2]}
+    while len(near) != len(near := near | {x for r in rows for x in (r[:2], r[2:]) if r[:2] in near or r[2:] in near}):
+        pass
+    assert sorted(tuple(r) for r in got.collect()) == sorted(r for r in rows if r[:2] in near)
+
+
+def test_rounds_of_candidates_grow(spark, monkeypatch):
+    texts = [" ".join(f"d{i}w{j}" for j in range(3)) + f" p{i // 2}a p{i // 2}b p{i // 2}c p{i // 2}d" for i in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, real = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, label: written.append(label) or real(df, label))
+    got = L.candidates_until(L.word_features(docs, 4), 24, L.LowHashOptions(hash_fraction=0.02)).collect()
+    assert sorted((r.r0, r.r1) for r in got) == [(2 * i, 2 * i + 1) for i in range(12)] and min(r.hits for r in got) >= 2
+    assert written.count("hits") <= 2 * 10
