@@ -8,10 +8,12 @@ from weftgraph.operators import assembly_graph as B
 from weftgraph.operators import journeys as J
 from weftgraph.operators import lowhash as L
 from weftgraph.operators import marker_graph as G
+from weftgraph.operators import read_graph as R
 from weftgraph.operators import snippets as S
 from weftgraph.operators import superbubbles as D
 from weftgraph.operators import walks as W
 from weftgraph.sources.sequences import load_reads
+from weftgraph.storage import materialize
 
 
 def rows_of_joins(df):
@@ -227,3 +229,27 @@ def test_rounds_of_candidates_grow(spark, monkeypatch):
     got = L.candidates_until(L.word_features(docs, 4), 24, L.LowHashOptions(hash_fraction=0.02)).collect()
     assert sorted((r.r0, r.r1) for r in got) == [(2 * i, 2 * i + 1) for i in range(12)] and min(r.hits for r in got) >= 2
     assert written.count("hits") <= 2 * 10
+
+
+def test_inconsistent_fits_a_neighbourhood_once(spark, monkeypatch):
+    rng = random.Random(5)
+    offset = {(u, v): float(rng.randrange(-300, 300)) for c in (0, 10) for u in range(c, c + 6) for v in range(u + 1, c + 6)}
+    offset |= {(6, 7): 500.0}  # in no triangle
+    written = {}
+
+    def spy(df, label="stage"):
+        written[label] = kept = materialize(df, label)
+        return kept
+
+    monkeypatch.setattr(R, "materialize", spy)
+    found = R.inconsistent(spark.createDataFrame([(u, v, w) for (u, v), w in offset.items()], "u long, v long, offset double"), most=20.0)
+    want = set()
+    for c in (0, 10):
+        rows = sorted((u, v, w) for (u, v), w in offset.items() if c <= u < c + 6 and v < c + 6)
+        while rows:
+            residual = abs(R.least_squares_positions(rows)[1])
+            if residual.max() < 20:
+                break
+            want.add(rows.pop(int(residual.argmax()))[:2])
+    assert {tuple(x) for x in found.collect()} == want
+    assert written["graphs"].count() == 2  # of up to 40 bad triangles
