@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from weftgraph.llm.decontaminate import contamination
 from weftgraph.llm.mixing import mix, word_count
 from weftgraph.llm.simhash import similar_documents
 from weftgraph.llm.suffix_dedup import remove_repeats
-from weftgraph.storage import materialize
+from weftgraph.storage import collected, discard, materialize, remove
 
 #: The near-duplicate stage: links of at least this Jaccard similarity of the sets of five-word shingles.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -71,12 +74,42 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return joined.select(*kept, "copy", *(F.col(f"__{c}").alias(c) for c in new[1:]))
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Paths of the tables that the last stages of a session wrote for themselves.
+_LEFT: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+
+
+def sweep(spark: SparkSession, reading: DataFrame | None = None) -> None:
+    """Delete what the stages of STAGES that ran before left, but for tables that `reading` still reads."""
+    left = _LEFT.pop(spark, [])
+    files = reading.inputFiles() if reading is not None and left else []
+    used = [x for x in left if any(f"/{x.rpartition('/')[2]}/" in f for f in files)]
+    for path in set(left).difference(used):
+        remove(spark, path)
+    if used:
+        _LEFT[spark] = used
+
+
+def swept(stage: Stage) -> Stage:
+    """`stage`, which before it begins deletes the tables of stages before it: their results have been written by then, or are what it reads."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, docs)
+        with collected() as paths:
+            out = stage(spark, docs, sf_dir)
+        _LEFT[spark] = [*_LEFT.get(spark, []), *paths]
+        return out
+
+    return run
+
+
+#: The result of one is written before the next begins, see swept().
 STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("repeats", repeats_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
+    ("quality", swept(quality_stage)),
+    ("near_duplicates", swept(near_duplicate_stage)),
+    ("repeats", swept(repeats_stage)),
+    ("decontamination", swept(decontamination_stage)),
+    ("mixing", swept(mixing_stage)),
 ]
 
 #: Fits, components and byte-level cuts are beyond SQL; tests hold the stages against brute force.
@@ -87,5 +120,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
+    sweep(spark)
     return docs

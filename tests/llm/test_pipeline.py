@@ -115,3 +115,21 @@ def test_crowded_near_copies_lose_no_link(spark):
     got = {r.doc_id for r in P.near_duplicate_stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF).collect()}
     print("groups", len(want), "kept", len(got))
     assert len(want) > 1 and want <= got and len(got) <= 1.02 * len(want) + 1
+
+
+def test_a_stage_drops_what_those_before_it_left(spark, stages):
+    from pathlib import Path
+
+    from weftgraph.storage import materialize
+
+    stage, there = dict(P.STAGES), lambda paths: [x for x in paths if Path(x.removeprefix("file:")).exists()]
+    P.sweep(spark)
+    near = materialize(stage["near_duplicates"](spark, stages[1], SF), "near")
+    left = list(P._LEFT[spark])
+    assert there(left)
+    clean = stage["decontamination"](spark, near, SF)
+    assert not there(left) and near.count() == stages[2].count()
+    mixed = stage["mixing"](spark, clean, SF)  # of a result that isn't written: its tables stay
+    assert mixed.select("doc_id").distinct().count() <= clean.count() > 0
+    P.sweep(spark)
+    assert not there(P._LEFT.get(spark, []))
