@@ -5,6 +5,7 @@ import random
 import pytest
 
 from weftgraph.operators import assembly_graph as B
+from weftgraph.operators import consensus as N
 from weftgraph.operators import journeys as J
 from weftgraph.operators import lowhash as L
 from weftgraph.operators import marker_graph as G
@@ -253,3 +254,16 @@ def test_inconsistent_fits_a_neighbourhood_once(spark, monkeypatch):
             want.add(rows.pop(int(residual.argmax()))[:2])
     assert {tuple(x) for x in found.collect()} == want
     assert written["graphs"].count() == 2  # of up to 40 bad triangles
+
+
+def test_edge_consensus_counts_equal_intervals(spark):
+    edges = {
+        1: ([(2, ""), (3, ""), (3, ""), (2, ""), (0, "AC")], (2, "")), 2: ([(0, "ACGT"), (0, "AGT"), (0, "ACGT"), (4, "")], (0, "ACGT")),
+        3: ([(0, "A" * 30), (0, "C" * 12), (0, "A" * 12), (5, None)], (0, "A" * 12)), 4: ([(0, ""), (0, ""), (0, "G")], (0, "")),
+        5: ([(None, "T"), (0, None), (0, "C"), (0, "C")], (0, "C")), 6: ([(1, ""), (0, "")], (0, "")),
+    }
+    rows = [(k, o, s) for k, (told, _) in edges.items() for o, s in told] + [(7, 0, "ACG")] * 500
+    found = N.edge_consensus(spark.createDataFrame(rows, "eid long, overlap int, sequence string"), "eid", longest=20)
+    assert {r.eid: (r.overlap, r.sequence) for r in found.collect()} == {k: want for k, (_, want) in edges.items()} | {7: (0, "ACG")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan  # groups of an edge's intervals don't pass through pandas
