@@ -253,6 +253,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 64, segmen
 PRINT, PARTS, WIDTH, LISTED = 128, 5, 24, 64
 #: Members of a more crowded key that all others are held against in a round, and rounds before the pairs left are joined.
 PIVOTS, ROUNDS = 16, 4
+#: Rows of a task's nearest partners and crowded keys that are held before they go out.
+KEPT = 1 << 17
 #: Bytes of keyed rows dealt to a task; they are sorted and pass by in pieces, so memory doesn't depend on it.
 PARTITION_BYTES = 32 << 20
 
@@ -348,24 +350,64 @@ def _pairs_of(key: np.ndarray, words: list[np.ndarray], node: np.ndarray, n: np.
     return both[:, 0], both[:, 1], both[:, 2]
 
 
-def _partners(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, partner, bits): of the pairs, each node's nearest partner and its least one."""
-    node, partner, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
+def _partners(node: np.ndarray, partner: np.ndarray, bits: np.ndarray, least: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, partner, bits): each node's nearest partner and, with `least`, its least one."""
     if not len(node):
         return node, partner, bits
     chosen = []
-    for order in (np.lexsort((partner, bits, node)), np.lexsort((partner, node))):
+    for order in (np.lexsort((partner, bits, node)), *([np.lexsort((partner, node))] if least else [])):
         chosen.append(order[np.append(True, node[order[1:]] != node[order[:-1]])])
     kept = np.unique(np.concatenate(chosen))
     return node[kept], partner[kept], bits[kept]
 
 
+def _masks(segment: np.ndarray, node: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, node, places): of each segment of a node, the bits of all its places."""
+    order = np.lexsort((node, segment))
+    segment, node, places = segment[order], node[order], places[order]
+    begin = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (node[1:] != node[:-1]))[: len(order)])
+    return segment[begin], node[begin], np.bitwise_or.reduceat(places, begin) if len(begin) else places
+
+
+class _Best:
+    """The rows of _listed() kept while a task's keys pass by, so that a node gives a few rows a task and not a few a key.
+
+    Rows are merged as those of different tasks are later; beyond `most` merged rows they go out early, so memory doesn't grow with the task.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.held, self.rows = most, {}, 0
+
+    def add(self, kind: int, *rows: np.ndarray) -> Iterator[tuple]:
+        self.held.setdefault(kind, []).append(rows)
+        self.rows += len(rows[0])
+        if self.rows > 2 * self.most:
+            self.held = {k: [x] for k, *x in self.merged()}
+            self.rows = sum(len(x[0][0]) for x in self.held.values())
+            if self.rows > self.most:
+                yield from self.drained()
+
+    def merged(self) -> Iterator[tuple]:
+        for kind, parts in self.held.items():
+            x, y, z = (np.concatenate(c) for c in zip(*parts, strict=True))
+            if kind == 2:
+                yield kind, *_masks(x, y, z)
+            else:
+                y, x, z = _partners(y, x, z, least=kind == 0)
+                yield kind, x, y, z
+
+    def drained(self) -> Iterator[tuple]:
+        yield from self.merged()
+        self.held, self.rows = {}, 0
+
+
 def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, every: bool, total: int) -> DataFrame:
     """(kind, key, node, bits) of rows (key, w0, w1, node, n, label, x0, ...) that share keys; x0 and on are the words of all prints or missing.
 
     kind 0: a pair (key, node) from a key of at most LISTED members: with `every` all pairs of different labels, else each node's nearest
-    partner and its least, which is the same for many members of a crowd. Keys of over LISTED members, whose rows pass by in pieces, are passed over
-    with `every`, else give kind 1, a pair of a row and the nearest of the key's first PIVOTS rows, and kind 2, each (key, node), so that the pairs left out can be found.
+    partner in a task and its least, which is the same for many members of a crowd. Keys of over LISTED members, whose rows pass by in pieces, are passed over
+    with `every`, else give kind 1, a pair of a row and the nearest of the keys' first PIVOTS rows, and kind 2, (segment of a print, node, bits of the places
+    whose keys are crowded), so that the pairs left out can be found, see _crowded_keys().
     """
     columns = ["key", "w0", "w1", "node", "n", "label", *(c for c in rows.columns if c[0] == "x")]
 
@@ -373,7 +415,7 @@ def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, ever
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (np.full(len(key), kind), key, node, bits)], ["kind", "key", "node", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = _Pivots(most, similarity)
+        pivots, best = _Pivots(most, similarity), _Best(KEPT)
         for part, piece in sorted_runs(batches, "key", LISTED):
             rows = np.stack([part.column(c).to_numpy() for c in columns])
             if not piece:
@@ -382,18 +424,22 @@ def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, ever
                 key, w0, w1, node, n, label, *whole = rows[:, ~big]
                 words = np.array(whole, np.int64).reshape(len(whole), len(key)).view(np.uint64)
                 a, b, bits = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, label, most, similarity, words, total)
-                if not every:
-                    b, a, bits = _partners(a, b, bits)
-                yield out(0, a, b, bits)
+                if every:
+                    yield out(0, a, b, bits)
+                else:
+                    yield from (out(*x) for x in best.add(0, np.append(b, a), np.append(a, b), np.append(bits, bits).astype(np.int64)))
                 rows = rows[:, big]
             if rows.shape[1] and not every:
-                yield out(2, rows[0], rows[3], np.zeros(rows.shape[1]))
-                for a, b, bits in pivots.pairs(rows):
-                    yield out(1, a, b, bits)
-
-    # by place and upper half of the segment, which the variants that clear a lower bit share: these rows of a set stay side by side
-    half = F.shiftright("key", WIDTH // 2).bitwiseAND((1 << WIDTH // 2) - 1)
-    dealt = rows.select(*columns).repartition(partitions, F.shiftright("key", 48), half).sortWithinPartitions("key", "node")
+                yield from (out(*x) for x in best.add(2, rows[0] >> 48, rows[3], np.int64(1) << (rows[0] >> 40 & 255)))
+                for x in pivots.pairs(rows):
+                    yield from (out(*y) for y in best.add(1, *x))
+        yield from (out(*x) for x in best.drained())
+
+    # by place and the half of the segment that holds no bit the key clears: so all keys of a segment of a set are in two places, and side by side
+    half = WIDTH // 2
+    upper = F.shiftright("key", 40).bitwiseAND(255).between(half, WIDTH - 1)
+    side = F.when(upper, F.col("key").bitwiseAND((1 << half) - 1)).otherwise(F.shiftright("key", half).bitwiseAND((1 << half) - 1))
+    dealt = rows.select(*columns).repartition(partitions, F.shiftright("key", 48), upper, side).sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, "kind long, key long, node long, bits long")
 
 
@@ -468,6 +514,28 @@ def _expanded(distinct: DataFrame, p: int, whole: bool) -> DataFrame:
     return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n", "label", *(F.col(c).alias(f"x{c[1:]}") for c in names)).mapInArrow(run, ", ".join(f"{x} long" for x in columns))
 
 
+def _crowded_keys(held: DataFrame) -> DataFrame:
+    """(node, keys) of rows (node, w0, w1, ..., segments), segments being an array of (segment of a print, places): the keys at these places, PARTS * (WIDTH + 1) for each print at most."""
+    names = [c for c in held.columns if c[0] == "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                words = [part.column(c).to_numpy() for c in names]
+                each = [_keys(words[2 * p : 2 * p + 2], PARTS, WIDTH) | (np.uint64(p) << np.uint64(52)) for p in range(len(words) // 2)]
+                keys = np.stack(each, 1).reshape(len(part), -1, PARTS, WIDTH + 1)
+                wanted = np.zeros(keys.shape, bool)
+                lists = part.column("segments")
+                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+                segment, places = (x.to_numpy() for x in lists.flatten().flatten())
+                marks = (places[:, None] >> np.arange(WIDTH + 1) & 1).astype(bool)
+                np.logical_or.at(wanted, (row, segment >> 4, segment & 15), marks)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([k[w].view(np.int64) for k, w in zip(keys, wanted, strict=True)], pa.list_(pa.int64()))], ["node", "keys"])
+
+    return held.select("node", *names, "segments").mapInArrow(run, "node long, keys array<long>")
+
+
 def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity: float = 0.8, prints: int = 5, most: int = 36, share: float = 0.205, text: str = "text") -> DataFrame:
     """(key, component) of every row: rows joined, directly or through others, by links of at least this Jaccard similarity of shingle sets.
 
@@ -495,7 +563,8 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     met = out.where("kind = 0").groupBy("node").agg(F.min_by("key", F.struct("bits", "key")).alias("near"), F.min("key").alias("least"))
     met = materialize(met, "met")
     first = met.select("node", F.explode(F.array_distinct(F.array("near", "least"))).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    crowded = materialize(out.where("kind = 2").groupBy("node").agg(F.collect_list("key").alias("keys")), "crowded")  # PARTS * (WIDTH + 1) for each print at most
+    segments = out.where("kind = 2").groupBy("node").agg(F.collect_list(F.struct("key", "bits")).alias("segments"))
+    crowded = materialize(_crowded_keys(distinct.join(small_enough(materialize(segments, "crowded"), 640), "node")), "crowded")
     ends = materialize(met.select("node").unionByName(crowded.select("node")).distinct(), "ends")
     owners = materialize(distinct.join(ends, "node", "left_semi").select(F.col(key).alias("__key"), "node"), "ends")
     texts = rows.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(small_enough(owners, 32), "__key")
