@@ -28,6 +28,8 @@ ANCHOR = 32
 #: Bytes of stretches that one merge takes, and of one of its shards.
 MERGE_BYTES = 128 << 10
 SHARD_BYTES = 16 << 10
+#: Rounds of a merge at most; the words of a round are named by doubling if they don't fit a number.
+ROUNDS = 4
 #: Bytes whose anchors are chosen at a time.
 SKETCH_BYTES = 256 << 10
 #: A group of more distinct stretches than this is dealt out again by a longer text around the anchor, and then window by window.
@@ -115,19 +117,48 @@ def _packed(text: np.ndarray, first: int, step: int, bits: int) -> np.ndarray:
     return out
 
 
-def shard_transform(text: np.ndarray, depth: int, step: int, bits: int) -> np.ndarray:
-    """Suffix order of one shard's symbols (0 ends a string) by doubling from `step` symbols on; suffixes that agree in `depth` symbols may stand in any order."""
-    n = len(text)
-    words = _packed(text, 0, step, bits)
+def _ranked(key: np.ndarray, wide: np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys and their dense ranks; a place takes `wide` bits, and where a key leaves these free, both are sorted as one number."""
+    if int(key.max()).bit_length() + int(wide) < 64:
+        sorted_ = np.sort(key << wide | np.arange(len(key)))
+        order = sorted_ & ((np.int64(1) << wide) - 1)
+        sorted_ >>= wide
+    else:
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.append(False, sorted_[1:] != sorted_[:-1]))
+    return order, rank
+
+
+def _turned(symbols: np.ndarray, cuts: np.ndarray, by: int) -> np.ndarray:
+    """The symbol `by` places ahead of every place, each shard read in a circle."""
+    return np.concatenate([np.roll(symbols[a:b], -by) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def word_names(shards: list[np.ndarray], width: int, bits: int) -> np.ndarray:
+    """Numbers, in the order of the words, of the words of `width` symbols that begin at every place of the shards; those of longer words than 63 bits by doubling."""
+    cuts = np.cumsum([0, *(len(x) for x in shards)])
+    done = min(width, 63 // max(1, bits))
+    words = np.concatenate([_packed(x, 0, done, bits) for x in shards])
     order = np.argsort(words)
     words = words[order]
-    place, wide, rank = np.arange(n, dtype=np.int64), np.int64(n.bit_length()), np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.append(False, words[1:] != words[:-1]))
+    names = np.empty(len(words), np.int64)
+    names[order] = np.cumsum(np.append(False, words[1:] != words[:-1]))
+    while done < width:
+        by = min(done, width - done)
+        _, names = _ranked(names * np.int64(len(names)) + _turned(names, cuts, by), np.int64(len(names).bit_length()))
+        done += by
+    return names
+
+
+def shard_transform(names: np.ndarray, depth: int, step: int) -> np.ndarray:
+    """Suffix order of one shard by doubling from the names of its words of `step` symbols on; suffixes that agree in `depth` symbols may stand in any order."""
+    n = len(names)
+    wide = np.int64(n.bit_length())
+    order, rank = _ranked(names, wide)
     while step < depth and rank[order[-1]] < n - 1:
-        key = np.sort((rank * np.int64(n) + np.roll(rank, -step)) << wide | place)
-        order = key & ((np.int64(1) << wide) - 1)
-        key >>= wide
-        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        order, rank = _ranked(rank * np.int64(n) + np.roll(rank, -step), wide)
         step *= 2
     return order
 
@@ -145,17 +176,18 @@ def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray,
 
     The interleave says which shard each place of the merged order belongs to. It starts as one block,
     shard after shard; each round moves every place by the symbols before it, as many as fit a word of 63
-    bits, stably, so after k rounds of s symbols the places are in the order of their suffixes' first k * s
+    bits or, if these are fewer than a ROUNDS-th of `depth`, that many, stably, so after k rounds of s symbols the places are in the order of their suffixes' first k * s
     symbols and a block holds those that share them. No suffix is sorted again. A border between blocks
     keeps its place once it is there, so the round in which it appears gives `common`: the length of the
     common prefix with the suffix before, rounded down to whole rounds, and `depth` if that many symbols agree.
     """
     bits = max(int(x.max()) for x in shards).bit_length()
-    rounds = -(-depth // min(depth, 63 // max(1, bits)))
+    rounds = min(ROUNDS, -(-depth // min(depth, 63 // max(1, bits))))
     most = -(-depth // rounds)
-    parts = [shard_transform(x, depth, most, bits) for x in shards]
-    at = np.cumsum([0, *(len(x) for x in shards)])[:-1]
-    suffixes = np.concatenate([order + a for order, a in zip(parts, at, strict=True)])
+    cuts = np.cumsum([0, *(len(x) for x in shards)])
+    ahead = word_names(shards, most, bits)
+    parts = [shard_transform(ahead[a:b], depth, most) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    suffixes = np.concatenate([order + a for order, a in zip(parts, cuts[:-1], strict=True)])
     kind = np.uint8 if len(shards) < 256 else np.uint16
     interleave = np.repeat(np.arange(len(shards), dtype=kind), [len(x) for x in shards])
     size = len(suffixes)
@@ -166,9 +198,9 @@ def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     while done < depth:
         step = min(most, depth - done)
         if step not in names_of:  # the symbols before each place, in the shards' own orders, under names in their order
-            words = np.concatenate([_packed(x, -step, step, bits)[order] for x, order in zip(shards, parts, strict=True)])
-            used, names = np.unique(words, return_inverse=True)
-            names_of[step] = names.astype(np.uint8 if len(used) <= 1 << 8 else np.uint16 if len(used) <= 1 << 16 else np.uint32)
+            names = _turned(ahead if step == most else word_names(shards, step, bits), cuts, -step)[suffixes]
+            used = int(names.max()) + 1
+            names_of[step] = names.astype(np.uint8 if used <= 1 << 8 else np.uint16 if used <= 1 << 16 else np.uint32)
         bwt = names_of[step]
         symbol = np.empty_like(bwt)
         symbol[np.argsort(interleave, kind="stable")] = bwt  # a shard's places come in its own order
@@ -216,12 +248,11 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, doc: np.ndarray, s
     looked = place[merged] < windows[text_of[merged]]
     merged, block = merged[looked], block[looked]
     owner = text_of[merged]
-    at = start[owner] + place[merged]
-    order = np.lexsort((at, doc[owner], block))
-    block, owner, at = block[order], owner[order], at[order]
-    doc_ = doc[owner]
-    first = np.maximum.accumulate(np.where(np.append(True, block[1:] != block[:-1])[: len(block)], np.arange(len(block)), 0))
-    again = (doc_ != doc_[first]) | (at != at[first])
+    at, doc_ = start[owner] + place[merged], doc[owner]
+    begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+    numbers = np.unique(doc, return_inverse=True)[1]
+    where = numbers[owner] << 32 | at  # in the order of (doc, start)
+    again = where != np.repeat(np.minimum.reduceat(where, begin), np.diff(np.append(begin, len(where)))) if len(where) else np.zeros(0, bool)
     return *_runs(doc_[again], at[again], at[again] + length), len(shards)
 
 
