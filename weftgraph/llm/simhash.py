@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes, bound_batches, small_enough, sorted_runs, table
@@ -255,6 +255,8 @@ PRINT, PARTS, WIDTH, LISTED = 128, 5, 24, 64
 PIVOTS, ROUNDS = 16, 4
 #: Rows of a task's nearest partners and crowded keys that are held before they go out.
 KEPT = 1 << 17
+#: Shingles of the sets of one block.
+BLOCK = 1 << 17
 #: Bytes of keyed rows dealt to a task; they are sorted and pass by in pieces, so memory doesn't depend on it.
 PARTITION_BYTES = 32 << 20
 
@@ -404,12 +406,12 @@ class _Best:
 def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, every: bool, total: int) -> DataFrame:
     """(kind, key, node, bits) of rows (key, w0, w1, node, n, label, x0, ...) that share keys; x0 and on are the words of all prints or missing.
 
-    kind 0: a pair (key, node) from a key of at most LISTED members: with `every` all pairs of different labels, else each node's nearest
-    partner in a task and its least, which is the same for many members of a crowd. Keys of over LISTED members, whose rows pass by in pieces, are passed over
-    with `every`, else give kind 1, a pair of a row and the nearest of the keys' first PIVOTS rows, and kind 2, (segment of a print, node, bits of the places
+    With `every`, whose rows have a block too, (a, b, block_a, block_b) instead: all pairs of different labels from keys of at most LISTED members. Else kind 0: a pair (key, node) from such a key, each node's nearest
+    partner in a task and its least, which is the same for many members of a crowd. Keys of over LISTED members, whose rows pass by in pieces, give kind 1, a pair of a row and the nearest of the keys' first PIVOTS rows, and kind 2, (segment of a print, node, bits of the places
     whose keys are crowded), so that the pairs left out can be found, see _crowded_keys().
     """
-    columns = ["key", "w0", "w1", "node", "n", "label", *(c for c in rows.columns if c[0] == "x")]
+    columns = ["key", "w0", "w1", "node", "n", "label", *(c for c in rows.columns if c[0] == "x"), *(["block"] if every else [])]
+    pair = ["a", "b", "block_a", "block_b"]
 
     def out(kind: int, key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (np.full(len(key), kind), key, node, bits)], ["kind", "key", "node", "bits"])
@@ -421,11 +423,13 @@ def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, ever
             if not piece:
                 _, inverse, count = np.unique(rows[0], return_inverse=True, return_counts=True)
                 big = count[inverse] > LISTED
-                key, w0, w1, node, n, label, *whole = rows[:, ~big]
+                key, w0, w1, node, n, label, *whole = rows[: len(columns) - every, ~big]
                 words = np.array(whole, np.int64).reshape(len(whole), len(key)).view(np.uint64)
                 a, b, bits = _pairs_of(key.view(np.uint64), [w0.view(np.uint64), w1.view(np.uint64)], node, n, label, most, similarity, words, total)
                 if every:
-                    yield out(0, a, b, bits)
+                    known, at = np.unique(node, return_index=True)
+                    blocks = [rows[-1, ~big][at[np.searchsorted(known, x)]] for x in (a, b)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, *blocks)], pair)
                 else:
                     yield from (out(*x) for x in best.add(0, np.append(b, a), np.append(a, b), np.append(bits, bits).astype(np.int64)))
                 rows = rows[:, big]
@@ -440,7 +444,7 @@ def _listed(rows: DataFrame, most: int, similarity: float, partitions: int, ever
     upper = F.shiftright("key", 40).bitwiseAND(255).between(half, WIDTH - 1)
     side = F.when(upper, F.col("key").bitwiseAND((1 << half) - 1)).otherwise(F.shiftright("key", half).bitwiseAND((1 << half) - 1))
     dealt = rows.select(*columns).repartition(partitions, F.shiftright("key", 48), upper, side).sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "kind long, key long, node long, bits long")
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in (pair if every else ["kind", "key", "node", "bits"])))
 
 
 class _Pivots:
@@ -487,21 +491,96 @@ def _to_pivots(rows: DataFrame, most: int, similarity: float, turn: int) -> Data
 
 
 def _left(rows: DataFrame, most: int, similarity: float, total: int) -> DataFrame:
-    """(a, b): all pairs of a key that may be links and have not one label yet, as a join of the rows outside each key's largest label with all its rows."""
+    """(a, b, block_a, block_b): all pairs of a key that may be links and have not one label yet, as a join of the rows outside each key's largest label with all its rows.
+
+    A pair comes once, from the first segment where it meets; where that key isn't crowded, _listed() has given it.
+    """
     size = rows.where("label != 0").groupBy("key", "label").count()
     top = size.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
-    one = rows.join(top, "key", "left").where("top is null or label != top").select("key", *(F.col(c).alias(f"{c}_") for c in rows.columns if c != "key"))
-    whole = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_"))) for x in rows.columns if x[0] == "x")
+    one = rows.join(top, "key", "left").where("top is null or label != top").select("key", F.col("top").alias("top_"), *(F.col(c).alias(f"{c}_") for c in rows.columns if c != "key"))
+    words = [c for c in rows.columns if c[0] == "x"]
+    diff = [F.col(c).bitwiseXOR(F.col(f"{c}_")) for c in words]
+    whole = sum(F.bit_count(x) for x in diff)
     bits = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in ("w0", "w1"))
     fits = F.least("n", "n_") + 1e-9 >= similarity * F.greatest("n", "n_")
-    met = one.join(rows, "key").where((F.col("node") != F.col("node_")) & ((F.col("label") != F.col("label_")) | (F.col("label") == 0)) & fits & (bits <= most) & (whole <= total))
-    return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
+    once = F.coalesce(F.col("label") == F.col("top_"), F.lit(False)) | (F.col("node_") < F.col("node"))
+    met = one.join(rows, "key").where((F.col("node") != F.col("node_")) & ((F.col("label") != F.col("label_")) | (F.col("label") == 0)) & once & fits & (bits <= most) & (whole <= total) & _first_meeting(diff, most))
+    sides = [F.struct(F.col(f"node{x}").alias("node"), F.col(f"block{x}").alias("block")) for x in ("", "_")]
+    a, b = F.least(*sides), F.greatest(*sides)
+    return met.select(a["node"].alias("a"), b["node"].alias("b"), a["block"].alias("block_a"), b["block"].alias("block_b"))
+
+
+def _first_meeting(diff: list[Column], most: int) -> Column:
+    """Whether a pair that shares `key` and differs by `diff` differs in the bit that the key clears, if any, and meets in no earlier segment; as `split`."""
+
+    def segment(p: int, s: int) -> Column:
+        start = s * WIDTH
+        low, high = diff[2 * p], diff[2 * p + 1]
+        own = F.shiftright(high, start - 64) if start >= 64 else F.shiftrightunsigned(low, start)
+        if start < 64 < start + WIDTH:
+            own = own.bitwiseOR(F.shiftleft(high, 64 - start))
+        return own.bitwiseAND((1 << WIDTH) - 1)
+
+    at, place = F.shiftright("key", 48), F.shiftright("key", 40).bitwiseAND(255)
+    first = F.lit(True)
+    for p in range(len(diff) // 2):
+        near = (F.bit_count(diff[2 * p]) + F.bit_count(diff[2 * p + 1])) <= most
+        for s in range(PARTS):
+            alike = F.bit_count(segment(p, s))
+            first = first & ~((at > 16 * p + s) & (alike <= 1) & near) & ~((at == 16 * p + s) & (place < WIDTH) & (alike == 0))
+    return first
+
+
+def _common(pairs: pa.Table, sets: pa.Table, similarity: float) -> pa.Table:
+    """The pairs (a, b) of sets (node, shingles) of at least this Jaccard similarity."""
+    node = sets.column("node").to_numpy()
+    each = [x.values.to_numpy() for x in sets.column("shingles")]
+    size = np.array([len(x) for x in each])
+    ids = np.unique(np.concatenate(each), return_inverse=True)[1]
+    begin = np.cumsum(size) - size
+    order = np.argsort(node)
+    a, b = (order[np.searchsorted(node, pairs.column(c).to_numpy(), sorter=order)] for c in "ab")
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], b[by]
+    common, held = np.zeros(len(a), np.int64), np.zeros(len(ids), bool)
+    bounds = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(a)], strict=True):
+        own = ids[begin[a[lo]] : begin[a[lo]] + size[a[lo]]]
+        held[own] = True
+        common[lo:hi] = [np.count_nonzero(held[ids[x : x + n]]) for x, n in zip(begin[b[lo:hi]].tolist(), size[b[lo:hi]].tolist(), strict=True)]
+        held[own] = False
+    kept = common + 1e-9 >= similarity * (size[a] + size[b] - common)
+    return pa.table({"a": node[a[kept]], "b": node[b[kept]]})
+
+
+def _in_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links among pairs (a, b, block_a, block_b): the sets of two blocks meet in one group, once, however many of their pairs are looked at."""
+    dealt = pairs.select("a", "b", F.least("block_a", "block_b").alias("one"), F.greatest("block_a", "block_b").alias("two"))
+    wanted = reduce(DataFrame.unionByName, [dealt.select(F.col("one").alias("first"), F.col("two").alias("second"), F.col(x).alias("node")) for x in "ab"]).distinct()
+
+    def check(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return _common(x, y, similarity)
+
+    return dealt.groupBy("one", "two").cogroup(wanted.join(sets, "node").groupBy("first", "second")).applyInArrow(check, "a long, b long")
+
+
+def _blocks(distinct: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, block) of the nodes that met another (node, least): those of one crowd, known by its least members, stand in one block or, if they have over BLOCK shingles, in several."""
+    hop = met.select(F.col("node").alias("crowd"), "least")
+    crowd = met.select("node", F.least("node", "least").alias("crowd")).join(hop, "crowd", "left").select("node", F.least("crowd", "least").alias("crowd"))
+    crowd = materialize(crowd.join(distinct.select("node", "n"), "node"), "crowds")
+    many = max(1, (crowd.agg(F.sum("n")).first()[0] or 0) // BLOCK)
+    parts = crowd.groupBy("crowd").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    split = F.xxhash64("crowd", F.pmod(F.xxhash64("node"), "parts"))
+    return crowd.join(parts, "crowd").select("node", F.when(F.col("parts") > 1, split).otherwise(F.pmod(F.xxhash64("crowd"), F.lit(many))).alias("block"))
 
 
 def _expanded(distinct: DataFrame, p: int, whole: bool) -> DataFrame:
-    """Every node, with its label and, if asked for, the words of all its prints, under all keys of its print p."""
+    """Every node, with its label and, if asked for, the words of all its prints and its block, under all keys of its print p."""
     names = [c for c in distinct.columns if c[0] == "w" and c[1:].isdigit()] if whole else []
-    columns = ["key", "w0", "w1", "node", "n", "label", *(f"x{c[1:]}" for c in names)]
+    columns = ["key", "w0", "w1", "node", "n", "label", *(f"x{c[1:]}" for c in names), *(["block"] if whole else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -511,7 +590,7 @@ def _expanded(distinct: DataFrame, p: int, whole: bool) -> DataFrame:
                 each = keys.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(x, each) for x in (w0, w1, *rest)))], columns)
 
-    return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n", "label", *(F.col(c).alias(f"x{c[1:]}") for c in names)).mapInArrow(run, ", ".join(f"{x} long" for x in columns))
+    return distinct.select(f"w{2 * p}", f"w{2 * p + 1}", "node", "n", "label", *(F.col(c).alias(f"x{c[1:]}") for c in names), *(["block"] if whole else [])).mapInArrow(run, ", ".join(f"{x} long" for x in columns))
 
 
 def _crowded_keys(held: DataFrame) -> DataFrame:
@@ -554,7 +633,7 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     def listed(nodes: DataFrame, every: bool) -> list[DataFrame]:
         """One written table of _listed() for each print."""
         # a set becomes PARTS * (WIDTH + 1) rows of so many bytes, so the partitions are sized for these and not for the input
-        width = 56 + 16 * prints * every
+        width = 56 + (16 * prints + 8) * every
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PARTS * (WIDTH + 1) * width // PARTITION_BYTES))
         return [materialize(_listed(_expanded(nodes, p, every), most, similarity, partitions, every, total), "pairs") for p in range(prints)]
 
@@ -573,7 +652,7 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     tried: list[DataFrame] = []
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs; pairs that were checked before aren't checked again."""
+        """The links among pairs of nearest ones; pairs of these that were checked before aren't checked again."""
         pairs = pairs.distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
@@ -584,6 +663,13 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
         kept = F.col("common") + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))
         return materialize(both.where(kept).select("a", "b"), "verified")
 
+    def all_verified(pairs: DataFrame) -> DataFrame:
+        """The links among all pairs that are left (a, b, block_a, block_b)."""
+        pairs = materialize(pairs.distinct(), "candidates")
+        links_ = materialize(_in_blocks(pairs, sets, similarity), "verified")
+        discard(pairs)
+        return links_
+
     def nearest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b")
 
@@ -592,19 +678,23 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
     discard(*passes)
     # all pairs of small keys that these links have not joined
     open_nodes = distinct.join(met.select("node"), "node", "left_semi").join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
-    passes = listed(materialize(open_nodes, "met"), True)
-    edges = edges.unionByName(verified(reduce(DataFrame.unionByName, passes).select(F.col("key").alias("a"), F.col("node").alias("b"))))
+    blocks = materialize(_blocks(distinct, met), "blocks")
+    passes = listed(materialize(open_nodes.join(blocks, "node"), "met"), True)
+    edges = edges.unionByName(all_verified(reduce(DataFrame.unionByName, passes)))
     parts = materialize(connected_components(edges), "parts")
     discard(*passes)
 
+    crowded = materialize(crowded.select("node", F.explode("keys").alias("key")), "crowded")
+
     def mixed() -> DataFrame:
         """Rows of the crowded keys whose members aren't all joined yet."""
-        held_keys = crowded.join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"]).select("node", "label", F.explode("keys").alias("key"))
+        held_keys = crowded.join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
         open_ = held_keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high or low = 0").select("key")
         met = materialize(held_keys.join(open_, "key", "left_semi"), "mixed")
         p = F.shiftright("key", 52)
         words = [F.element_at(F.array(*(F.col(f"w{2 * i + j}") for i in range(prints))), (p + 1).cast("int")).alias(f"w{j}") for j in (0, 1)]
-        return materialize(met.join(distinct.select("node", "n", *names), "node").select("key", *words, "node", "n", "label", *(F.col(c).alias(f"x{c[1:]}") for c in names)), "mixed")
+        block = F.coalesce("block", F.xxhash64("node")).alias("block")
+        return materialize(met.join(distinct.select("node", "n", *names).join(blocks, "node", "left"), "node").select("key", *words, "node", "n", "label", block, *(F.col(c).alias(f"x{c[1:]}") for c in names)), "mixed")
 
     left = mixed()
     for turn in range(ROUNDS):
@@ -617,7 +707,7 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
         parts = materialize(connected_components(edges), "parts")
         left = mixed()
     if not left.isEmpty():
-        edges = edges.unionByName(verified(_left(left, most, similarity, total)))
+        edges = edges.unionByName(all_verified(_left(left, most, similarity, total)))
         parts = materialize(connected_components(edges), "parts")
     discard(sets, *tried)
     return held.join(parts, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
