@@ -688,9 +688,10 @@ def similar_documents(rows: DataFrame, *, key: str, shingle: int = 5, similarity
 
     def mixed() -> DataFrame:
         """Rows of the crowded keys whose members aren't all joined yet."""
-        held_keys = crowded.join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"])
+        held_keys = materialize(crowded.join(parts.select("node", F.col("component").alias("label")), "node", "left").fillna(0, ["label"]), "mixed")
         open_ = held_keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high or low = 0").select("key")
         met = materialize(held_keys.join(open_, "key", "left_semi"), "mixed")
+        discard(held_keys)
         p = F.shiftright("key", 52)
         words = [F.element_at(F.array(*(F.col(f"w{2 * i + j}") for i in range(prints))), (p + 1).cast("int")).alias(f"w{j}") for j in (0, 1)]
         block = F.coalesce("block", F.xxhash64("node")).alias("block")
