@@ -18,6 +18,8 @@ from weftgraph.storage import discard, materialize
 
 #: Terms of the documents that share one shard of the index.
 SHARD_TERMS = 1_000_000
+#: Shards, of some 10 MB each, that a task holds at a time when it writes or reads the index.
+GROUP_SHARDS = 1
 #: Query terms that are sent to the executors, and searched, at a time; more items take more rounds.
 SLICE_TERMS = 400_000
 #: Postings of the first step of a search; each further step takes twice as many as the one before.
@@ -207,14 +209,14 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 20, text: str =
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    counted = materialize(count_terms(docs, text=text, key=doc_key, shard_terms=shard_terms), "counted")
+    counted = materialize(count_terms(docs, text=text, key=doc_key, shard_terms=shard_terms), "counted", group_rows=GROUP_SHARDS)
     queries = materialize(_query_terms(items, text, item_key), "items")
     total = counted.agg(F.sum(F.size("doc_id").cast("long")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     n_docs, n_terms = (int(x or 0) for x in total)
     empty = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     if not n_docs:
         return empty
-    index = materialize(impact_index(counted, n_docs, n_terms), "impacts")
+    index = materialize(impact_index(counted, n_docs, n_terms), "impacts", group_rows=GROUP_SHARDS)
     wanted = queries.select(F.explode("terms").alias("t")).select("t.term").distinct()
     held = counted.select(F.explode(F.arrays_zip("terms", F.transform("ends", lambda x, i: x - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("n"))).alias("t"))
     df = held.select("t.terms", F.col("t.n").alias("n")).join(wanted, F.col("terms") == F.col("term"), "left_semi").groupBy(F.col("terms").alias("term")).agg(F.sum("n").alias("df"))
